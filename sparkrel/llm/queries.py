@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, jaccard_join, packing, secret_scan, sharding, token_counts, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -29,6 +29,10 @@ def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.jaccard_components(spark, table(spark, sf_dir, "documents"))
 
 
+def op4_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(spark, table(spark, sf_dir, "embeddings"))
+
+
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shards(table(spark, sf_dir, "documents"))
 
@@ -54,7 +58,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filter, op3_jaccard_join, op5_sharding, op6_secret_scan, op7_decontamination, op9_packing, op10_token_counts)
+    for f in (op2_url_filter, op3_jaccard_join, op4_embedding_dedup, op5_sharding, op6_secret_scan, op7_decontamination, op9_packing, op10_token_counts)
 }
 
 #: The smallest id that links lead to, for every id of ``ids`` under the links ``e`` (both ways).
@@ -84,4 +88,10 @@ WITH d AS (SELECT doc_id, regexp_extract_all({LOWERED}, '[^\x00-\x2F\x3A-\x60\x7
 SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
 FROM d LEFT JOIN k USING (doc_id) LEFT JOIN t USING (doc_id)"""
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op3_jaccard_join": JACCARD, "op7_decontamination": DECONTAMINATION}
+EMBEDDINGS = f"""
+WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+  e AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+  {REACHED.format(id="vec_id", ids="embeddings")}
+SELECT vec_id, (SELECT count(*) FROM e WHERE x = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN c ON id = vec_id"""
+
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op3_jaccard_join": JACCARD, "op4_embedding_dedup": EMBEDDINGS, "op7_decontamination": DECONTAMINATION}
