@@ -25,6 +25,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .shared import keep
+
 #: (verdict, host, path); of the rules that fit a url, the longest wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -42,49 +44,74 @@ def _fits(host: str, path: str) -> str:
 def _general(seg: str) -> str:
     """A segment's lexical class: number, hash or identifier with digits, or itself."""
     rx = lambda r: f"regexp_extract({seg}, '{r}', 0) <> ''"
-    return f"CASE WHEN {rx('^[0-9]+([.][A-Za-z]+)?$')} THEN '<n>' WHEN {rx('^[0-9a-f]{16,}$')} THEN '<h>' WHEN {rx('[0-9]')} AND length({seg}) >= 8 THEN '<i>' ELSE {seg} END"
-
-
-def _level(i: int, source: str, rare: int, z: float) -> str:
-    """Replaces g{i} by the tree's token at that level, given the tokens of the levels above (t1 .. t{i-1})."""
-    up = ", ".join(["host", *(f"t{k}" for k in range(1, i))])
-    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in up.split(", "))
-    return f"""
-  b{i} AS (SELECT {up}, g{i}, sum(n) AS bn, sum(nl) AS bl, sum(nb) AS bb FROM {source} GROUP BY {up}, g{i}),
-  p{i} AS (SELECT {up}, sum(bn) AS pn, sum(bl) AS pl, sum(bb) AS pb, count(*) AS kids FROM b{i} GROUP BY {up}),
-  k{i} AS (SELECT {', '.join(f'b{i}.{c}' for c in up.split(', '))}, g{i},
+    return f"CASE WHEN {rx('^[0-9]+([.][A-Za-z]+)?$')} THEN '<n>' WHEN {rx('^[0-9a-f]{{16,}}$')} THEN '<h>' WHEN {rx('[0-9]')} AND length({seg}) >= 8 THEN '<i>' ELSE {seg} END"
+
+
+def _level(i: int, rare: int, z: float) -> list[tuple[str, str]]:
+    """Adds t{i}, the tree's token for g{i}, given the tokens of the levels above (t1 .. t{i-1})."""
+    up = ["host", *(f"t{k}" for k in range(1, i))]
+    source, keys = f"{{u{i - 1}}}", ", ".join(up)
+    on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in up)
+    rate = "pb * 1.0e0 / pl"
+    return [
+        (f"b{i}", f"SELECT {keys}, g{i}, sum(n) AS bn, sum(nl) AS bl, sum(nb) AS bb FROM {source} GROUP BY {keys}, g{i}"),
+        (f"p{i}", f"SELECT {keys}, sum(bn) AS pn, sum(bl) AS pl, sum(bb) AS pb, count(*) AS kids FROM {{b{i}}} GROUP BY {keys}"),
+        (
+            f"k{i}",
+            f"""SELECT {', '.join(f'b.{c}' for c in up)}, g{i},
       CASE WHEN kids > {rare} AND bn * {rare} < pn THEN '*'
-           WHEN bl = 0 OR bl = pl OR abs(bb * 1.0e0 / bl - pb * 1.0e0 / pl) <= {z} * sqrt(pb * 1.0e0 / pl * (1 - pb * 1.0e0 / pl) * (1.0e0 / bl - 1.0e0 / pl)) THEN CASE WHEN kids = 1 THEN g{i} ELSE '~' END
+           WHEN bl = 0 OR bl = pl OR abs(bb * 1.0e0 / bl - {rate}) <= {z} * sqrt({rate} * (1 - {rate}) * (1.0e0 / bl - 1.0e0 / pl)) THEN CASE WHEN kids = 1 THEN g{i} ELSE '~' END
            ELSE g{i} END AS t{i}
-    FROM b{i} JOIN p{i} ON {on(f'b{i}', f'p{i}')}),
-  u{i} AS (SELECT s.*, t{i} FROM {source} s JOIN k{i} ON {on('s', f'k{i}')} AND s.g{i} = k{i}.g{i})"""
+    FROM {{b{i}}} b JOIN {{p{i}}} p ON {on('b', 'p')}""",
+        ),
+        (f"u{i}", f"SELECT s.*, t{i} FROM {source} s JOIN {{k{i}}} k ON {on('s', 'k')} AND s.g{i} = k.g{i}"),
+    ]
 
 
-def sql(rules=RULES, *, pages: str = "pages", id_col: str = "page_id", url_col: str = "url", rare: int = 16, z: float = 1.96, weight: float = 4.0, threshold: float = 0.5) -> str:
-    """The query's text; pages: a table's name or a placeholder."""
+def steps(rules=RULES, *, id_col: str = "page_id", url_col: str = "url", rare: int = 16, z: float = 1.96, weight: float = 4.0, threshold: float = 0.5) -> list[tuple[str, str]]:
+    """The query as named steps; {name} stands for an earlier step or for the pages."""
     by_length = sorted(rules, key=lambda r: -len(r[1] + r[2]))
     rule = " ".join(f"WHEN {_fits(h, p)} THEN {_quoted(h + p)}" for _, h, p in by_length)
     said = " ".join(f"WHEN rule = {_quoted(h + p)} THEN {_quoted(v)}" for v, h, p in by_length)
     url = "'(?s)^.*?://([^/?#]*)([^?#]*)'"
     seg = "^/([^/]*)", "^/[^/]*/([^/]*)", "^/[^/]*/[^/]*/(.*)"
-    return f"""
-WITH a AS (SELECT {id_col} AS page_id, translate(regexp_extract(coalesce({url_col}, ''), {url}, 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce({url_col}, ''), {url}, 2) AS path FROM {pages}),
-  r AS (SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule FROM a),
-  v AS (SELECT page_id, host, path, rule, CASE {said} ELSE NULL END AS said, {', '.join(f"regexp_extract(path, '(?s){s}', 1) AS s{i}" for i, s in enumerate(seg, 1))} FROM r),
-  g AS (SELECT page_id, host, path, rule, said, {', '.join(f"{_general(f's{i}')} AS g{i}" for i in (1, 2, 3))} FROM v),
-  u0 AS (SELECT host, g1, g2, g3, count(*) AS n, count(said) AS nl, count(CASE WHEN said = 'block' THEN 1 END) AS nb FROM g GROUP BY host, g1, g2, g3),
-  {_level(1, 'u0', rare, z)},
-  {_level(2, 'u1', rare, z)},
-  {_level(3, 'u2', rare, z)},
-  w AS (SELECT coalesce(sum(nb) * 1.0e0 / nullif(sum(nl), 0), 0.0e0) AS overall FROM u3),
-  x AS (SELECT t1, t2, t3, (sum(nb) + {weight}e0 * max(overall)) / (sum(nl) + {weight}e0) AS shape FROM u3 CROSS JOIN w GROUP BY t1, t2, t3),
-  y AS (SELECT host, t1, t2, t3, sum(nb) AS tb, sum(nl) AS tl FROM u3 GROUP BY host, t1, t2, t3),
-  q AS (SELECT y.host, y.t1, y.t2, y.t3, (tb + {weight}e0 * shape) / (tl + {weight}e0) AS purity, tl FROM y JOIN x ON y.t1 = x.t1 AND y.t2 = x.t2 AND y.t3 = x.t3),
-  l AS (SELECT u3.host, g1, g2, g3, concat('/', u3.t1, '/', u3.t2, '/', u3.t3) AS template, round(purity, 6) AS purity, tl FROM u3 JOIN q ON u3.host = q.host AND u3.t1 = q.t1 AND u3.t2 = q.t2 AND u3.t3 = q.t3)
-SELECT g.page_id, g.host, g.path, g.rule, CASE WHEN said IS NOT NULL THEN said WHEN tl > 0 AND l.purity >= {threshold}e0 THEN 'block' ELSE 'allow' END AS verdict, l.template, l.purity
-FROM g JOIN l ON g.host = l.host AND g.g1 = l.g1 AND g.g2 = l.g2 AND g.g3 = l.g3"""
+    return [
+        ("a", f"SELECT {id_col} AS page_id, translate(regexp_extract(coalesce({url_col}, ''), {url}, 1), '{UPPER}', '{LOWER}') AS host, regexp_extract(coalesce({url_col}, ''), {url}, 2) AS path FROM {{pages}}"),
+        ("r", f"SELECT page_id, host, path, CASE {rule} ELSE NULL END AS rule FROM {{a}}"),
+        ("v", f"""SELECT page_id, host, path, rule, CASE {said} ELSE NULL END AS said, {', '.join(f"regexp_extract(path, '(?s){s}', 1) AS s{i}" for i, s in enumerate(seg, 1))} FROM {{r}}"""),
+        ("g", f"""SELECT page_id, host, path, rule, said, {', '.join(f"{_general(f's{i}')} AS g{i}" for i in (1, 2, 3))} FROM {{v}}"""),
+        ("u0", "SELECT host, g1, g2, g3, count(*) AS n, count(said) AS nl, count(CASE WHEN said = 'block' THEN 1 END) AS nb FROM {g} GROUP BY host, g1, g2, g3"),
+        *(x for i in (1, 2, 3) for x in _level(i, rare, z)),
+        ("y", "SELECT host, t1, t2, t3, sum(nb) AS tb, sum(nl) AS tl FROM {u3} GROUP BY host, t1, t2, t3"),
+        ("w", "SELECT coalesce(sum(tb) * 1.0e0 / nullif(sum(tl), 0), 0.0e0) AS overall FROM {y}"),
+        ("x", f"SELECT t1, t2, t3, (sum(tb) + {weight}e0 * (SELECT overall FROM {{w}})) / (sum(tl) + {weight}e0) AS shape FROM {{y}} GROUP BY t1, t2, t3"),
+        ("q", f"SELECT y.host, y.t1, y.t2, y.t3, (tb + {weight}e0 * shape) / (tl + {weight}e0) AS purity, tl FROM {{y}} y JOIN {{x}} x ON y.t1 = x.t1 AND y.t2 = x.t2 AND y.t3 = x.t3"),
+        ("l", "SELECT u.host, g1, g2, g3, concat('/', u.t1, '/', u.t2, '/', u.t3) AS template, round(purity, 6) AS purity, tl FROM {u3} u JOIN {q} q ON u.host = q.host AND u.t1 = q.t1 AND u.t2 = q.t2 AND u.t3 = q.t3"),
+        (
+            "judged",
+            f"""SELECT g.page_id, g.host, g.path, g.rule, CASE WHEN said IS NOT NULL THEN said WHEN tl > 0 AND l.purity >= {threshold}e0 THEN 'block' ELSE 'allow' END AS verdict, l.template, l.purity
+FROM {{g}} g JOIN {{l}} l ON g.host = l.host AND g.g1 = l.g1 AND g.g2 = l.g2 AND g.g3 = l.g3""",
+        ),
+    ]
+
+
+def sql(rules=RULES, *, pages: str = "pages", **options) -> str:
+    """The query as one text."""
+    all_steps = steps(rules, **options)
+    names = {n: n for n, _ in all_steps} | {"pages": pages}
+    *ctes, (_, last) = [(n, s.format(**names)) for n, s in all_steps]
+    return "WITH " + ",\n  ".join(f"{n} AS ({s})" for n, s in ctes) + "\n" + last
+
+
+#: Steps that later steps use more than once are written once; all are aggregates.
+KEPT = ("u0", "u1", "u2", "u3", "y", "l")
 
 
 def judge(spark: SparkSession, pages: DataFrame, rules=RULES, **options) -> DataFrame:
     """Per url: page_id, host, path, rule, verdict, template, purity."""
-    return spark.sql(sql(rules, pages="{pages}", **options).replace("[0-9a-f]{16,}", "[0-9a-f]{{16,}}"), pages=pages)
+    have = {"pages": pages}
+    for name, text in steps(rules, **options):
+        used = {n: df for n, df in have.items() if f"{{{n}}}" in text}
+        step = spark.sql(text, **used)
+        have[name] = keep(step, f"url-{name}") if name in KEPT else step
+    return have["judged"]
