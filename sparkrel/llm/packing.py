@@ -36,14 +36,24 @@ END_ID = 2
 #: Tokens that one salt of a class holds about; decides the number of salts.
 SALT_TOKENS = 1 << 27
 #: Words whose ids a worker remembers.
-WORDS = 300_000
+WORDS = 800_000
+
+
+_IS_ALNUM = np.zeros(256, bool)
+_IS_ALNUM[48:58] = _IS_ALNUM[97:123] = True
+_IS_SPACE = np.zeros(256, bool)
+_IS_SPACE[9:14] = _IS_SPACE[32] = True
 
 
 class WordEncoder:
-    """Token ids of whole texts for a tokenizer whose tokens never cross ASCII white space.
+    """Token ids of whole texts for a lower-casing word tokenizer whose tokens never cross ASCII white space.
 
     Such a text's ids are its words' ids in turn, so each word is encoded once
-    and remembered. Ids are kept as little-endian unsigned 32-bit bytes.
+    and remembered, in lower case and without a final full stop or comma after
+    a letter or digit (a piece of its own to the tokenizer). New words of
+    letters alone are encoded in one string: each is one piece, and a piece's
+    last token is marked in the vocabulary. A text that may hold a special
+    token is encoded as it is. Ids are little-endian unsigned 32-bit bytes.
     """
 
     def __init__(self, path: str):
@@ -51,19 +61,54 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        split = [t.split() for t in texts]
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
+    def encode(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
+        """Ids of each text of a block."""
+        raw = data.tobytes()
+        lower = np.frombuffer(raw.lower(), np.uint8)
+        n = len(lower)
+        stop = np.flatnonzero((lower == 46) | (lower == 44))
+        if n:
+            edge = np.zeros(n + 1, bool)
+            edge[starts] = True
+            stop = stop[(stop > 0) & ~edge[stop]]
+            stop = stop[_IS_ALNUM[lower[stop - 1]] & (edge[stop + 1] | _IS_SPACE[lower[np.minimum(stop + 1, n - 1)]])]
+        spaced = np.insert(lower, stop, 32).tobytes()
+        at = (starts + np.searchsorted(stop, starts)).tolist()
+        split = [spaced[a:b].split() for a, b in zip(at, at[1:], strict=False)]
         known = self.known
-        new = [w for w in set().union(*split) if w not in known]
+        words = set().union(*split)
+        new = [w for w in words if w not in known]
         if len(known) + len(new) > WORDS:
             known.clear()
-            new = list(set().union(*split))
-        for i in range(0, len(new), 20_000):
-            part = new[i : i + 20_000]
-            got = self.tokenizer.encode_batch_fast([w.decode() for w in part], add_special_tokens=False)
-            known.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(part, got, strict=True))
-        return [b"".join(map(known.__getitem__, words)) for words in split]
+            new = list(words)
+        self.learn(new)
+        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        if b"<|" in raw:
+            for d in range(len(out)):
+                text = raw[starts[d] : starts[d + 1]]
+                if b"<|" in text:
+                    out[d] = self.ids(text.decode()).tobytes()
+        return out
+
+    def learn(self, new: list[bytes]) -> None:
+        whole, rest = [], []
+        for w in new:
+            (whole if (w if w.isascii() else w.decode()).isalpha() else rest).append(w)
+        ids = self.ids(b" ".join(whole).decode())
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) == len(whole):
+            raw, cut = ids.tobytes(), (ends * 4).tolist()
+            self.known.update(zip(whole, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
+        else:  # the tokenizer's Unicode tables differ from Python's
+            rest = new
+        got = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
+        self.known.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(rest, got, strict=True))
 
 
 @lru_cache(2)
@@ -96,8 +141,7 @@ def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer_path)
         for block in blocks(batches):
-            raw = block.data.tobytes()
-            ids = enc.encode([raw[a:b] for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist(), strict=True)])
+            ids = enc.encode(block.data, block.starts)
             row, start, length, crc, total = [], [], [], [], []
             for d, x in enumerate(ids):
                 x += last
