@@ -36,7 +36,7 @@ END_ID = 2
 #: Tokens that one salt of a class holds about; decides the number of salts.
 SALT_TOKENS = 1 << 27
 #: Words whose ids a worker remembers.
-WORDS = 800_000
+WORDS = 1_200_000
 
 
 _IS_ALNUM = np.zeros(256, bool)
@@ -82,13 +82,14 @@ class WordEncoder:
         at = (starts + np.searchsorted(stop, starts)).tolist()
         split = [spaced[a:b].split() for a, b in zip(at, at[1:], strict=False)]
         known = self.known
-        words = set().union(*split)
-        new = [w for w in words if w not in known]
-        if len(known) + len(new) > WORDS:
+        if len(known) > WORDS:
             known.clear()
-            new = list(words)
-        self.learn(new)
-        out = [b"".join(map(known.__getitem__, words)) for words in split]
+        found = [list(map(known.get, words)) for words in split]
+        part = [d for d, ids in enumerate(found) if None in ids]
+        self.learn({w for d in part for w, ids in zip(split[d], found[d], strict=True) if ids is None})
+        for d in part:
+            found[d] = map(known.__getitem__, split[d])
+        out = list(map(b"".join, found))
         if b"<|" in raw:
             for d in range(len(out)):
                 text = raw[starts[d] : starts[d + 1]]
@@ -96,7 +97,7 @@ class WordEncoder:
                     out[d] = self.ids(text.decode()).tobytes()
         return out
 
-    def learn(self, new: list[bytes]) -> None:
+    def learn(self, new: set[bytes]) -> None:
         whole, rest = [], []
         for w in new:
             (whole if (w if w.isascii() else w.decode()).isalpha() else rest).append(w)
