@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +21,10 @@ def vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(spark, table(spark, sf_dir, "pages"))
 
@@ -58,7 +62,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op2_url_filter, op3_jaccard_join, op4_embedding_dedup, op5_sharding, op6_secret_scan, op7_decontamination, op9_packing, op10_token_counts)
+    for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_embedding_dedup, op5_sharding, op6_secret_scan, op7_decontamination, op9_packing, op10_token_counts)
 }
 
 #: The smallest id that links lead to, for every id of ``ids`` under the links ``e`` (both ways).
