@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, token_counts, toxicity, url_filter
+from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, suffix_dedup, token_counts, toxicity, url_filter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -50,6 +50,10 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("items")
 
 
+def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.deduplicate(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
@@ -62,7 +66,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_embedding_dedup, op5_sharding, op6_secret_scan, op7_decontamination, op9_packing, op10_token_counts)
+    for f in (op1_toxicity, op2_url_filter, op3_jaccard_join, op4_embedding_dedup, op5_sharding, op6_secret_scan, op7_decontamination, op8_suffix_dedup, op9_packing, op10_token_counts)
 }
 
 #: The smallest id that links lead to, for every id of ``ids`` under the links ``e`` (both ways).
