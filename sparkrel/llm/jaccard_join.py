@@ -53,6 +53,8 @@ NUM, DEN = 4, 5
 RANKED = 1 << 17
 CHUNK = 2_000_000
 BLOCK = 256
+#: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
+BROADCAST_IDS = 1_000_000
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[9:14] = IS_WORD[32] = False
@@ -123,7 +125,12 @@ def summarise(width: int):
 
 
 def prefixes(ranks, width: int, num: int, den: int):
-    """Rows (token, key) for the prefix of each document's set under the global order."""
+    """Rows (token, key, place) for the extended prefix of each document's set under the global order.
+
+    place is four times the set's size, plus 2 within the prefix itself, plus 1
+    where the token stands so early that the set can be the smaller one of a
+    pair whose first common token it is.
+    """
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, level = ranks.value
@@ -137,25 +144,75 @@ def prefixes(ranks, width: int, num: int, den: int):
             order = np.lexsort((h, rank, d)) if rank.any() else np.arange(len(h))
             first = np.searchsorted(d, np.arange(len(block)))
             length = n - -(-num * n // den) + 1
-            in_prefix = order[np.arange(len(h)) - first[d] < length[d]]
-            yield pa.RecordBatch.from_arrays([pa.array(h[in_prefix].view(np.int64)), pa.array(k1[d[in_prefix]])], names=["token", "key"])
+            place = np.arange(len(h)) - first[d]
+            early = n - -(-2 * num * n // (num + den)) + 1
+            at = np.flatnonzero(place < extended(n, num, den)[d])
+            take, of = order[at], d[at]
+            yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(k1[of]), pa.array(4 * n[of] + 2 * (place[at] < length[of]) + (place[at] < early[of]))], names=["token", "key", "place"])
 
     return part
 
 
-def references(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Index lists of this partition's tokens; each list with two sets or more relates its members to its smallest key."""
-    held = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
-    if not held:
-        return
-    token, key = (np.concatenate(x) for x in zip(*held, strict=True))
-    order = np.lexsort((key, token))
-    token, key = token[order], key[order]
+def extended(n, num: int, den: int):
+    """Length of the extended prefix of a set of n: a tenth longer than the prefix, so that a similar set shares more than a third of it."""
+    return np.minimum(n, n - -(-num * n // den) + 1 + n // 10)
+
+
+def _lists(batches: Iterable[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+    """(token, key, place) of a partition without repeats, each list in order of size, early members first among equals."""
+    held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
+    token, key, place = (np.concatenate(x) for x in zip(*held, strict=True)) if held else (np.zeros(0, np.int64),) * 3
+    order = np.lexsort((key, 3 - place % 4, place // 4, token))
+    token, key, place = token[order], key[order], place[order]
     new = np.ones(len(token), bool)
-    new[1:] = token[1:] != token[:-1]
-    lead = key[np.flatnonzero(new)][np.cumsum(new) - 1]
-    pair = np.unique(np.stack([lead, key], 1)[lead != key], axis=0)
-    yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["ref", "key"])
+    new[1:] = (token[1:] != token[:-1]) | (key[1:] != key[:-1])
+    return token[new], key[new], place[new]
+
+
+def shared_tokens(num: int, den: int):
+    """The rows of a partition's lists whose token another set of a compatible size has too."""
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, key, place = _lists(batches)
+        size = place // 4
+        pair = (token[1:] == token[:-1]) & (den * size[:-1] >= num * size[1:])
+        ok = np.concatenate([pair, [False]]) | np.concatenate([[False], pair]) if len(token) else np.zeros(0, bool)
+        yield pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(key[ok]), pa.array(place[ok])], names=["token", "key", "place"])
+
+    return part
+
+
+def references(num: int, den: int):
+    """Index lists of a partition's tokens, each in order of size and cut where sizes are too far apart; a list's members relate to its smallest key.
+
+    A member stays only if some pair of it passes the filters: sizes within
+    the threshold's ratio, and the token early enough in the smaller set.
+    """
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, key, place = _lists(batches)
+        if not len(token):
+            return
+        size, early = place // 4, place % 2 == 1
+        n = len(token)
+        start = np.ones(n, bool)
+        start[1:] = token[1:] != token[:-1]
+        # The largest early member before each one in its list, and the next member of any kind.
+        last = np.maximum.accumulate(np.where(early, np.arange(n), -1))
+        before = np.concatenate([[-1], last[:-1]])
+        ok = (before >= np.maximum.accumulate(np.where(start, np.arange(n), 0))) & (den * size[before] >= num * size)
+        ok[:-1] |= early[:-1] & ~start[1:] & (den * size[:-1] >= num * size[1:])
+        token, key, size = token[ok], key[ok], size[ok]
+        new = np.ones(len(token), bool)
+        new[1:] = (token[1:] != token[:-1]) | (den * size[:-1] < num * size[1:])
+        if not len(token):
+            return
+        at = np.flatnonzero(new)
+        lead = np.minimum.reduceat(key, at)[np.cumsum(new) - 1]
+        pair = np.unique(np.stack([lead, key], 1)[lead != key], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["ref", "key"])
+
+    return part
 
 
 class Index:
@@ -309,12 +366,21 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WID
     level = np.array([r.n.bit_length() for r in top], np.int8)[order] if top else np.zeros(0, np.int8)
     ranks = spark.sparkContext.broadcast((tokens[order], level))
 
-    listed = source.mapInArrow(prefixes(ranks, width, num, den), "token long, key long").repartition("token")
-    pairs = keep(listed.mapInArrow(references, "ref long, key long").distinct(), "pairs")
+    rows_of = "token long, key long, place long"
+    listed = source.mapInArrow(prefixes(ranks, width, num, den), rows_of).repartition("token")
+    shared = keep(listed.mapInArrow(shared_tokens(num, den), rows_of), "shared")
+    # A similar set lacks at most n - ceil(num/den n) of a set's tokens, so the rest of its extended prefix is shared.
+    n, lacks = F.expr("place div 4"), F.expr(f"place div 4 - ((place div 4) * {num} + {den - 1}) div {den}")
+    needed = F.least(n, lacks + 1 + F.expr("place div 4 div 10")) - lacks
+    likely = shared.select("key", needed.alias("needed")).groupBy("key").agg((F.count(F.lit(1)) >= F.max("needed")).alias("enough")).filter("enough").select("key")
+    relisted = shared.filter("place % 4 >= 2").join(likely, "key", "left_semi").select("token", "key", "place").repartition("token")
+    pairs = keep(relisted.mapInArrow(references(num, den), "ref long, key long").distinct(), "pairs")
     members = pairs.union(pairs.select("ref", F.col("ref").alias("key")).distinct())
     sizes = pairs.groupBy("ref").agg((F.ceil((F.count(F.lit(1)) + 1) / block)).cast("int").alias("k"))
     wanted = members.select("key").distinct().join(classes.select(F.col("k1").alias("key"), "rep"), "key").select(F.col("rep").alias("doc_id")).filter("doc_id is not null")
-    sets = keep(source.join(wanted.distinct().hint("shuffle_hash"), "doc_id", "left_semi").mapInArrow(full_sets(width), "rep long, key long, hashes array<long>"), "shingles")
+    wanted = keep(wanted.distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
+    sets = keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets(width), "rep long, key long, hashes array<long>"), "shingles")
 
     own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
     placed = members.join(sizes, "ref").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
