@@ -21,7 +21,6 @@ are ignored. An empty benchmark hits nothing.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -30,10 +29,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix64, prefix_hash, span_hash, text_buffers, word_spans
+from .shared import keep
 
 WINDOW = 13
 PART_BYTES = 4_000_000
 LANE = 384
+BROADCAST_IDS = 1_000_000
 
 #: Word bytes: 0-9, A-Z (read as a-z), a-z and every byte of a non-ASCII character.
 IS_WORD = np.zeros(256, bool)
@@ -230,5 +231,9 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, sha
     )
 
 
-def sha_of(names: Iterable[str]) -> str:
-    return hashlib.sha256(",".join(sorted(names)).encode()).hexdigest()
+def drop_contaminated(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """docs without contaminated ones. Rows that share an id go together; a row without an id stays."""
+    found = decontaminate(spark, docs, items, id_col=id_col, **options).filter("contaminated and doc_id is not null").select(F.col("doc_id").alias(id_col)).distinct()
+    found = keep(found, "contaminated")
+    found = F.broadcast(found) if found.count() <= BROADCAST_IDS else found.hint("shuffle_hash")
+    return docs.join(found, id_col, "left_anti").select(*docs.columns)

@@ -389,3 +389,20 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WID
     roots = components(links)
     named = rows.join(classes.withColumnRenamed("n", "_n").hint("shuffle_merge"), (F.col("n") == F.col("_n")) & (rows.k1 == classes.k1) & (rows.k2 == classes.k2), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
     return named.join(roots.hint("shuffle_merge"), named.rep == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+
+
+def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """docs with one document of each component, the one with the smallest id.
+
+    Of rows that repeat an id one stays. Rows without an id can't be named by
+    another: of them exact copies go.
+    """
+    found = keep(jaccard_components(spark, docs, id_col=id_col, text_col=text_col, **options).filter("doc_id is not null"), "components")
+    losers = found.filter("component_id != doc_id").select(F.col("doc_id").alias(id_col)).distinct()
+    losers = F.broadcast(losers) if losers.count() <= BROADCAST_IDS else losers.hint("shuffle_hash")
+    left = docs.filter(F.col(id_col).isNotNull()).join(losers, id_col, "left_anti").select(*docs.columns)
+    again = found.groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias(id_col))
+    if not again.isEmpty():
+        left = left.join(again, id_col, "left_anti").select(*docs.columns).unionByName(left.join(again, id_col, "left_semi").select(*docs.columns).dropDuplicates([id_col]))
+    nameless = docs.filter(F.col(id_col).isNull())
+    return left if nameless.isEmpty() else left.unionByName(nameless.dropDuplicates([text_col]))

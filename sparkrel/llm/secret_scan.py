@@ -120,14 +120,16 @@ def _p_value(x: Column, q: Column, n: Column) -> Column:
     return F.least(F.lit(1.0), 3 * F.least(tail(z_chi), 2 * tail(z_runs), 2 * tail(z_serial)))
 
 
-def scan(docs: DataFrame, *, alpha: float = 0.05, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
-    """Per document: doc_id, carried columns, and found: array<struct<start, kind, end>> by start, then kind."""
+def scan(docs: DataFrame, *, alpha: float = 0.05, id_col: str = "doc_id", text_col: str = "text", carry: bool = False) -> DataFrame:
+    """Per document: doc_id, _base and found (array<struct<start, kind, end>> by start, then kind; found holds all spans), and with carry the row as _row."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *carry, text.alias("_text"))
-    d = d.select("doc_id", *carry, placed(F.col("_text"), ASSIGN, 0).alias("_assign"), placed(F.col("_text"), ACCESS, 1).alias("_access"), placed(F.col("_text"), HEX, 2).alias("_hex"), placed(F.col("_text"), TOKEN, 3).alias("_token"))
+    row = [F.struct("*").alias("_row")] if carry else []
+    kept = ["_row"] if carry else []
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), *row, text.alias("_text"))
+    d = d.select("doc_id", *kept, placed(F.col("_text"), ASSIGN, 0).alias("_assign"), placed(F.col("_text"), ACCESS, 1).alias("_access"), placed(F.col("_text"), HEX, 2).alias("_hex"), placed(F.col("_text"), TOKEN, 3).alias("_token"))
     value = lambda s: F.length(F.regexp_extract(s.token, ASSIGN, 2)) >= 6
     plain = lambda c: F.transform(c, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
-    d = d.select("doc_id", *carry, F.array_sort(F.concat(plain(F.filter("_assign", value)), plain(F.col("_access")), plain(F.col("_hex")))).alias("_base"), F.filter(F.transform("_token", tested), lambda t: t.encoding.isNotNull()).alias("_tested"))
+    d = d.select("doc_id", *kept, F.array_sort(F.concat(plain(F.filter("_assign", value)), plain(F.col("_access")), plain(F.col("_hex")))).alias("_base"), F.filter(F.transform("_token", tested), lambda t: t.encoding.isNotNull()).alias("_tested"))
     apart = lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (t.start < b.end))
     d = d.withColumn("_tested", F.filter("_tested", apart))
     judged = lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), (t.encoding * 64 + F.floor(F.log2(t.n.cast("double"))).cast("int")).alias("stratum"), F.least(F.lit(GRID_END), F.floor(-GRID * F.log10(battery(t) + F.lit(1e-300)))).cast("int").alias("grid"))
@@ -138,7 +140,7 @@ def scan(docs: DataFrame, *, alpha: float = 0.05, id_col: str = "doc_id", text_c
     least = lambda t: F.coalesce(F.try_element_at(limits, t.stratum), F.lit(GRID_END + 1))
     spared = F.filter("_tested", lambda t: t.grid < least(t))
     extra = F.transform(spared, lambda t: F.struct(t.start.alias("start"), F.lit(3).alias("kind"), t.end.alias("end")))
-    return d.select("doc_id", *carry, "_base", F.array_sort(F.concat("_base", extra)).alias("found"))
+    return d.select("doc_id", *kept, "_base", F.array_sort(F.concat("_base", extra)).alias("found"))
 
 
 def dismissals(counts: DataFrame, alpha: float) -> Column:
@@ -165,10 +167,10 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, *, mark: str = "[SECRET]", text_col: str = "text", **options) -> DataFrame:
-    """docs with every span of text_col replaced by a mark; overlapping spans share one. Other columns stay."""
-    names = docs.columns
-    found = scan(docs, text_col=text_col, carry=tuple(n for n in names if n != "doc_id"), **options)
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    """docs with every span of text_col replaced by a mark; overlapping spans share one. Other columns and other rows stay as they are."""
+    found = scan(docs, text_col=text_col, carry=True, **options)
+    text = F.col("_row").getField(text_col).cast("string")
     step = lambda a, s: F.when(s.start >= a.at, F.struct(F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), F.lit(mark)).alias("out"), s.end.alias("at"))).otherwise(F.struct(a.out.alias("out"), F.greatest(a.at, s.end).alias("at")))
     clean = F.aggregate("found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
-    return found.withColumn(text_col, F.when(F.size("found") > 0, clean).otherwise(F.col(text_col))).select(*names)
+    column = lambda n: F.when(F.size("found") > 0, clean).otherwise(text) if n == text_col else F.col("_row").getField(n)
+    return found.select(*(column(n).alias(n) for n in docs.columns))

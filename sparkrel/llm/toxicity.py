@@ -138,20 +138,20 @@ def folded(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def exact_norm(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """sqrt(k(w, w)) before normalisation."""
-    n = len(start)
-    if not n:
-        return np.zeros(0)
-    parts = list(subsequences(data, start, end))
-    key = np.concatenate([(w << 3 * BITS) | u for w, u, _ in parts])
-    weight = np.concatenate([np.full(len(w), x) for w, _, x in parts])
-    order = np.argsort(key)
-    key, weight = key[order], weight[order]
-    if not len(key):
-        return np.ones(n)
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    norm = np.sqrt(np.bincount(key[first] >> 3 * BITS, np.add.reduceat(weight, first) ** 2, n))
-    return np.where(norm > 0, norm, 1.0)
+    """sqrt(k(w, w)) before normalisation; 1 where it is 0."""
+    out = np.ones(len(start))
+    for i in range(0, len(start), 10_000):
+        s = start[i : i + 10_000]
+        parts = list(subsequences(data, s, end[i : i + 10_000]))
+        key = np.concatenate([(w << 3 * BITS) | u for w, u, _ in parts])
+        weight = np.concatenate([np.full(len(w), x) for w, _, x in parts])
+        if len(key):
+            order = np.argsort(key)
+            key, weight = key[order], weight[order]
+            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            norm = np.sqrt(np.bincount(key[first] >> 3 * BITS, np.add.reduceat(weight, first) ** 2, len(s)))
+            out[i : i + 10_000] = np.where(norm > 0, norm, 1.0)
+    return out
 
 
 @dataclass
@@ -395,3 +395,18 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options)
     """Per document: doc_id, held_out, score, predicted."""
     out = score(spark, docs, fit(docs, labels, **options))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
+    """docs without those that score threshold or more; rows stay as they are."""
+    shared = spark.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **options))
+    names = docs.columns
+    at = names.index(text_col)
+
+    def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = [shared.value.scores(b) for b in blocks([batch], at, at)]
+            if scores:
+                yield batch.filter(pa.array(np.concatenate(scores) < threshold))
+
+    return docs.mapInArrow(part, docs.schema)
