@@ -10,8 +10,9 @@ segment, and segments meet by their anchor's hash.
 * Segments with the same content are one class. All its occurrences but the
   earliest go; this collapses copies, however many, before any text moves.
 * An anchor with a single class is done. For the others, the classes' earliest
-  segments are compared by a suffix array of their texts: suffixes whose first
-  100 bytes agree are neighbours in it, and all but the earliest start go.
+  segments are compared by a suffix array of their texts, in four-byte symbols
+  aligned to the anchor: equal windows are neighbours in it, and all but the
+  earliest go.
 
 The suffix array is built by grouping suffixes by their Lyndon prefixes.
 Groups are processed in descending order; pointers to the previous suffix of a
@@ -47,7 +48,9 @@ LENGTH = 100
 ANCHOR = 32
 CLASSES = 2000
 #: Bytes of text for one suffix array.
-ARRAY_BYTES = 400_000
+ARRAY_BYTES = 1_000_000
+#: Bytes in one symbol of a suffix array.
+SYMBOL_BYTES = 4
 BROADCAST_IDS = 1_000_000
 LAST_ID = (1 << 63) - 1
 
@@ -135,8 +138,8 @@ def window_minima(hashes: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, starts: np.ndarray, length: int, anchor: int) -> tuple[np.ndarray, ...]:
-    """(document number, first window, windows, anchor hash, content hash) of each anchor occurrence; positions in data."""
-    none = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
+    """(document number, first window, windows, anchor's place in it, anchor hash, content hash) of each anchor occurrence; positions in data."""
+    none = (np.zeros(0, np.int64),) * 4 + (np.zeros(0, np.uint64),) * 2
     if len(data) < length:
         return none
     h = prefix_hash(data, BYTE_CODES)
@@ -154,9 +157,11 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, anchor: int) ->
     n = np.diff(np.append(at, len(p)))
     lo, a = p[at], first[at]
     content = mix64(span_hash(h, lo, lo + n - 1 + length) ^ (mix64((a - lo).astype(np.uint64))))
-    return doc[at], lo, n, span_hash(h, a, a + anchor), content
+    return doc[at], lo, n, a - lo, span_hash(h, a, a + anchor), content
 
 
+#: n holds a segment's windows times PACK plus its anchor's place.
+PACK = 1 << 20
 SEGMENTS = "anchor long, content long, doc_id long, lo long, n long"
 SPANS = "doc_id long, lo long, hi long"
 
@@ -165,8 +170,8 @@ def find_segments(length: int, anchor: int):
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks(batches, max_bytes=1 << 20):
             for offset, data, starts, ids in pieces(block, length):
-                doc, lo, n, a, c = segments(data, starts, length, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(doc)), pa.array(lo - starts[doc] + offset), pa.array(n)], names=["anchor", "content", "doc_id", "lo", "n"])
+                doc, lo, n, off, a, c = segments(data, starts, length, anchor)
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(doc)), pa.array(lo - starts[doc] + offset), pa.array(n * PACK + off)], names=["anchor", "content", "doc_id", "lo", "n"])
 
     return part
 
@@ -214,7 +219,7 @@ def collapse(length: int, classes: int):
 
 
 def cut_texts(length: int):
-    """(anchor, doc_id, lo, text) for each segment (anchor, lo, n) listed beside its document's text."""
+    """(anchor, doc_id, lo, off, text) for each segment (anchor, lo, n) listed beside its document's text."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -223,50 +228,78 @@ def cut_texts(length: int):
             out: list[tuple] = []
             for d, (i, segs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
                 for s in segs:
-                    at = int(starts[d]) + s["lo"]
+                    at, (n, off) = int(starts[d]) + s["lo"], divmod(s["n"], PACK)
                     if s["open"] == 1:
-                        out.append((s["anchor"], i, s["lo"], raw[at : at + s["n"] - 1 + length]))
+                        out.append((s["anchor"], i, s["lo"], off, raw[at : at + n - 1 + length]))
                     else:
-                        for k in range(s["n"]):
+                        for k in range(n):
                             w = raw[at + k : at + k + length]
-                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, s["lo"] + k, w))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["anchor", "doc_id", "lo", "text"])
+                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, s["lo"] + k, 0, w))
+            cols = list(zip(*out, strict=True)) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*(pa.int64(),) * 4, pa.binary()), strict=True)], names=["anchor", "doc_id", "lo", "off", "text"])
 
     return part
 
 
-def repeats(texts: list[bytes], doc: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(segment, place in it) of every window that an earlier one of these segments equals, by a suffix array of all texts."""
+def repeats(texts: list[bytes], off: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(segment, place in it) of every window that an earlier one of these segments equals.
+
+    off: where a segment's anchor stands. Equal windows hold their anchor at
+    the same place, so the suffix array is of the texts in blocks of bytes
+    that are aligned to the anchor: windows agree where all whole blocks do,
+    which makes them neighbours in it, and then the bytes beside the blocks.
+    """
     size = np.array([len(t) for t in texts], np.int64)
-    first = np.cumsum(size + 1) - size - 1
-    joined = b"\0".join(texts)
-    sa = np.array(suffix_array(np.frombuffer(joined, np.uint8)), np.int64)
+    data = np.frombuffer(b"".join(texts), np.uint8)
+    base = np.cumsum(size) - size
+    lead = off % SYMBOL_BYTES
+    blocks_in = np.maximum((size - lead) // SYMBOL_BYTES, 0)
+    whole = (length - SYMBOL_BYTES + 1) // SYMBOL_BYTES
+    beside = length - whole * SYMBOL_BYTES
+    first = np.cumsum(blocks_in + 1) - blocks_in - 1  # a separator follows each segment
+    symbol = np.zeros(int((blocks_in + 1).sum()), np.int64)
+    of = np.repeat(np.arange(len(texts)), blocks_in)
+    number = np.arange(len(of)) - np.repeat(np.cumsum(blocks_in) - blocks_in, blocks_in)
+    at = base[of] + lead[of] + SYMBOL_BYTES * number
+    value = np.zeros(len(of), np.int64)
+    for k in range(SYMBOL_BYTES):
+        value = (value << 8) | data[at + k]
+    symbol[first[of] + number] = np.unique(value, return_inverse=True)[1] + 1
+    sa = np.array(suffix_array(symbol), np.int64)
     seg = np.searchsorted(first, sa, "right") - 1
-    at = sa - first[seg]
-    ok = at + length <= size[seg]
-    sa, seg, at = sa[ok], seg[ok], at[ok]
-    if not len(sa):
-        return seg, at
-    starts = sa.tolist()
-    same = np.fromiter((joined[a : a + length] == joined[b : b + length] for a, b in zip(starts, starts[1:], strict=False)), bool, len(starts) - 1)
-    run = np.cumsum(np.concatenate([[True], ~same])) - 1
-    order = np.lexsort((lo[seg] + at, doc[seg], run))
-    run, seg, at = run[order], seg[order], at[order]
-    head = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))[run]
-    later = (doc[seg] != doc[seg[head]]) | (lo[seg] + at != lo[seg[head]] + at[head])
-    return seg[later], at[later]
+    ok = sa - first[seg] + whole <= blocks_in[seg]
+    sa, seg = sa[ok], seg[ok]
+    same = np.ones(max(len(sa) - 1, 0), bool)
+    for k in range(whole):
+        same &= symbol[sa[:-1] + k] == symbol[sa[1:] + k]
+    run = np.cumsum(np.concatenate([[True], ~same])) - 1 if len(sa) else sa
+    out = []
+    for head in range(min(SYMBOL_BYTES, beside + 1)):
+        start = lead[seg] + SYMBOL_BYTES * (sa - first[seg]) - head
+        ok = (start >= 0) & (start + length <= size[seg])
+        r, g, start = run[ok], seg[ok], start[ok]
+        rest = np.zeros(len(r), np.uint64)
+        for k in [*range(head), *range(head + whole * SYMBOL_BYTES, length)]:
+            rest = (rest << np.uint64(8)) | data[base[g] + start + k]
+        order = np.lexsort((lo[g] + start, doc[g], rest, r))
+        r, g, start, rest = r[order], g[order], start[order], rest[order]
+        new = np.ones(len(r), bool)
+        new[1:] = (r[1:] != r[:-1]) | (rest[1:] != rest[:-1])
+        earliest = np.flatnonzero(new)[np.cumsum(new) - 1]
+        later = (doc[g] != doc[g[earliest]]) | (lo[g] + start != lo[g[earliest]] + start[earliest])
+        out.append((g[later], start[later]))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
 def compare(length: int, array_bytes: int):
     """Spans of the segments' windows that repeat an earlier one with the same anchor; several anchors share a suffix array."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_pylist()) for b in batches]
+        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()) for b in batches]
         if not held:
             return
-        anchor, doc, lo = (np.concatenate([h[k] for h in held]) for k in range(3))
-        texts = [t for h in held for t in h[3]]
+        anchor, doc, lo, off = (np.concatenate([h[k] for h in held]) for k in range(4))
+        texts = [t for h in held for t in h[4]]
         order = np.argsort(anchor, kind="stable")
         change = np.flatnonzero(np.diff(anchor[order]) != 0) + 1
         groups = np.split(order, change) if len(order) else []
@@ -275,7 +308,7 @@ def compare(length: int, array_bytes: int):
 
         def flush() -> pa.RecordBatch:
             at = np.concatenate(pending)
-            seg, place = repeats([texts[i] for i in at.tolist()], doc[at], lo[at], length)
+            seg, place = repeats([texts[i] for i in at.tolist()], off[at], doc[at], lo[at], length)
             start = lo[at[seg]] + place
             return merged_batch(doc[at[seg]], start, start + length)
 
@@ -323,10 +356,10 @@ def repeated_spans(spark: SparkSession, source: DataFrame, *, length: int = LENG
     """(doc_id, lo, hi): spans of bytes to remove; they may touch or overlap. source: doc_id (no nulls), text."""
     rows = source.mapInArrow(find_segments(length, anchor), SEGMENTS).repartition("anchor")
     found = keep(rows.mapInArrow(collapse(length, classes), "open int, anchor long, doc_id long, lo long, n long"), "segments")
-    whole = found.filter("open = 0").select("doc_id", "lo", (F.col("lo") + F.col("n") - 1 + length).alias("hi"))
+    whole = found.filter("open = 0").select("doc_id", "lo", (F.col("lo") + F.floor(F.col("n") / PACK).cast("long") - 1 + length).alias("hi"))
     wanted = keep(found.filter("open > 0").groupBy("doc_id").agg(F.collect_list(F.struct("open", "anchor", "lo", "n")).alias("segs")), "open-segments")
     hint = F.broadcast if found.filter("open > 0").count() <= BROADCAST_IDS else (lambda d: d.hint("shuffle_hash"))
-    texts = source.join(hint(wanted), "doc_id").select("doc_id", "text", "segs").mapInArrow(cut_texts(length), "anchor long, doc_id long, lo long, text binary")
+    texts = source.join(hint(wanted), "doc_id").select("doc_id", "text", "segs").mapInArrow(cut_texts(length), "anchor long, doc_id long, lo long, off long, text binary")
     compared = texts.repartition("anchor").mapInArrow(compare(length, array_bytes), SPANS)
     return whole.unionByName(compared)
 
