@@ -48,7 +48,7 @@ LENGTH = 100
 ANCHOR = 32
 CLASSES = 2000
 #: Bytes of text for one suffix array.
-ARRAY_BYTES = 1_000_000
+ARRAY_BYTES = 400_000
 #: Bytes in one symbol of a suffix array.
 SYMBOL_BYTES = 4
 BROADCAST_IDS = 1_000_000
@@ -157,26 +157,28 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, anchor: int) ->
     n = np.diff(np.append(at, len(p)))
     lo, a = p[at], first[at]
     content = mix64(span_hash(h, lo, lo + n - 1 + length) ^ (mix64((a - lo).astype(np.uint64))))
-    return doc[at], lo, n, a - lo, span_hash(h, a, a + anchor), content
+    return doc[at], lo, n, a - lo, span_hash(h, a, a + anchor) >> np.uint64(64 - ANCHOR_BITS), content
 
 
-#: n holds a segment's windows times PACK plus its anchor's place.
-PACK = 1 << 20
-SEGMENTS = "anchor long, content long, doc_id long, lo long, n long"
+#: A segment's first window, number of windows and anchor's place in one number.
+PACK = 1 << 10
+SEGMENTS = "anchor long, content long, doc_id long, place long"
+#: An anchor's hash is cut to so many bits; where two anchors meet by that, their segments still differ.
+ANCHOR_BITS = 44
 SPANS = "doc_id long, lo long, hi long"
 
 
 def find_segments(length: int, anchor: int):
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for block in blocks(batches, max_bytes=1 << 20):
+        for block in blocks(batches, max_bytes=1 << 19):
             for offset, data, starts, ids in pieces(block, length):
                 doc, lo, n, off, a, c = segments(data, starts, length, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(doc)), pa.array(lo - starts[doc] + offset), pa.array(n * PACK + off)], names=["anchor", "content", "doc_id", "lo", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(doc)), pa.array(((lo - starts[doc] + offset) * PACK + n) * PACK + off)], names=["anchor", "content", "doc_id", "place"])
 
     return part
 
 
-def pieces(block: Block, length: int, most: int = 1 << 22) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
+def pieces(block: Block, length: int, most: int = 1 << 20) -> Iterator[tuple[int, np.ndarray, np.ndarray, pa.Array]]:
     """A block as it is, or a single longer document in pieces that overlap by length - 1 bytes, so that every window lies in one."""
     if len(block.data) <= most or len(block) > 1:
         yield 0, block.data, block.starts, block.ids
@@ -197,10 +199,11 @@ def collapse(length: int, classes: int):
         held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if not held:
             return
-        anchor, content, doc, lo, n = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, content, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
-        order = np.lexsort((lo, doc, content, anchor))
-        anchor, content, doc, lo, n = anchor[order], content[order], doc[order], lo[order], n[order]
+        order = np.lexsort((place, doc, content, anchor))
+        anchor, content, doc, place = anchor[order], content[order], doc[order], place[order]
+        del order
         new_anchor = np.ones(len(anchor), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new = new_anchor.copy()
@@ -210,31 +213,31 @@ def collapse(length: int, classes: int):
         rest = new & (many > 1)
         # Occurrences in the same place as the class's earliest one are the same document's: not earlier than each other.
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ((doc != doc[first]) | (lo != lo[first]))
+        again = ~new & ((doc != doc[first]) | (place != place[first]))
         pick = again | rest
         kind = np.where(again, 0, np.where(many > classes, 2, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(lo[pick]), pa.array(n[pick])], names=["open", "anchor", "doc_id", "lo", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(place[pick])], names=["open", "anchor", "doc_id", "place"])
 
     return part
 
 
 def cut_texts(length: int):
-    """(anchor, doc_id, lo, off, text) for each segment (anchor, lo, n) listed beside its document's text."""
+    """(anchor, doc_id, lo, off, text) for each segment (open, anchor, place) listed beside its document's text."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_buffers(batch.column(1))
-            raw = data.tobytes()
             out: list[tuple] = []
             for d, (i, segs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+                raw = data[starts[d] : starts[d + 1]].tobytes()
                 for s in segs:
-                    at, (n, off) = int(starts[d]) + s["lo"], divmod(s["n"], PACK)
+                    lo, n, off = s["place"] // PACK // PACK, s["place"] // PACK % PACK, s["place"] % PACK
                     if s["open"] == 1:
-                        out.append((s["anchor"], i, s["lo"], off, raw[at : at + n - 1 + length]))
+                        out.append((s["anchor"], i, lo, off, raw[lo : lo + n - 1 + length]))
                     else:
-                        for k in range(n):
-                            w = raw[at + k : at + k + length]
-                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, s["lo"] + k, 0, w))
+                        for at in range(lo, lo + n):
+                            w = raw[at : at + length]
+                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, at, 0, w))
             cols = list(zip(*out, strict=True)) if out else [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*(pa.int64(),) * 4, pa.binary()), strict=True)], names=["anchor", "doc_id", "lo", "off", "text"])
 
@@ -355,17 +358,19 @@ def merge_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_spans(spark: SparkSession, source: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, classes: int = CLASSES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
     """(doc_id, lo, hi): spans of bytes to remove; they may touch or overlap. source: doc_id (no nulls), text."""
     rows = source.mapInArrow(find_segments(length, anchor), SEGMENTS).repartition("anchor")
-    found = keep(rows.mapInArrow(collapse(length, classes), "open int, anchor long, doc_id long, lo long, n long"), "segments")
-    whole = found.filter("open = 0").select("doc_id", "lo", (F.col("lo") + F.floor(F.col("n") / PACK).cast("long") - 1 + length).alias("hi"))
-    wanted = keep(found.filter("open > 0").groupBy("doc_id").agg(F.collect_list(F.struct("open", "anchor", "lo", "n")).alias("segs")), "open-segments")
-    hint = F.broadcast if found.filter("open > 0").count() <= BROADCAST_IDS else (lambda d: d.hint("shuffle_hash"))
-    texts = source.join(hint(wanted), "doc_id").select("doc_id", "text", "segs").mapInArrow(cut_texts(length), "anchor long, doc_id long, lo long, off long, text binary")
+    found = keep(rows.mapInArrow(collapse(length, classes), "open int, anchor long, doc_id long, place long"), "segments")
+    lo, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(PACK - 1))
+    whole = found.filter("open = 0").select("doc_id", lo.alias("lo"), (lo + n - 1 + length).alias("hi"))
+    wanted = found.filter("open > 0").groupBy("doc_id").agg(F.collect_list(F.struct("open", "anchor", "place")).alias("segs"))
+    texts = source.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "segs").mapInArrow(cut_texts(length), "anchor long, doc_id long, lo long, off long, text binary")
     compared = texts.repartition("anchor").mapInArrow(compare(length, array_bytes), SPANS)
     return whole.unionByName(compared)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **options) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes kept."""
+    if length >= PACK:
+        raise ValueError(f"length is below {PACK}")
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(spark, source, length=length, **options)
     runs = keep(spans.repartition("doc_id").mapInArrow(merge_spans, SPANS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs")), "runs")
@@ -374,10 +379,9 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH, i
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             data, starts = text_buffers(batch.column(1))
-            raw = data.tobytes()
             rows = []
             for d, (i, runs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
-                text = raw[starts[d] : starts[d + 1]]
+                text = data[starts[d] : starts[d + 1]].tobytes()
                 at, kept, removed = 0, [], 0
                 for r in runs or ():
                     kept.append(text[at : r["lo"]])
