@@ -15,7 +15,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-BLOCK_BYTES = 2_000_000
+BLOCK_BYTES = 1_000_000
 
 
 @dataclass

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix64, prefix_hash, span_hash, text_buffers, word_spans
-from .shared import keep
+from .shared import bounded_batches, keep
 
 WINDOW = 13
 PART_BYTES = 4_000_000
@@ -178,6 +178,7 @@ OUT = "doc_id long, n_words long, runs array<struct<s: long, e: long>>, items ar
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
     """One row for each document and benchmark part: words, hit runs of words, items with occurrences; and the number of parts."""
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out, n = None, 0
 

@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix64, prefix_hash, span_hash, word_spans
 from .components import components, forest
-from .shared import keep
+from .shared import bounded_batches, keep
 
 WIDTH = 5
 #: The threshold as a ratio of integers, 4/5.
@@ -355,6 +355,7 @@ def full_sets(width: int):
 
 def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN, block: int = BLOCK, ranked: int = RANKED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
+    bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     summary = keep(source.mapInArrow(summarise(width), "kind int, a long, b long, c long, n long"), "sets")
     rows = summary.filter("kind = 0").select(F.col("a").alias("doc_id"), F.col("b").alias("k1"), F.col("c").alias("k2"), "n")

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import blocks
-from .shared import keep
+from .shared import bounded_batches, keep
 
 CAPACITY = 4096
 END_ID = 2
@@ -137,6 +137,7 @@ OUT = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 def pieces(docs: DataFrame, tokenizer_path: str, *, id_col: str = "doc_id", text_col: str = "text", capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
     """The pieces of all documents, with the crc32 of their ids."""
+    bounded_batches(docs.sparkSession)
     last = np.array([end_id], "<u4").tobytes()
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

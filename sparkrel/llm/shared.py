@@ -14,6 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 KEY = "spark.checkpoint.dir"
+BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def folder(spark: SparkSession) -> str:
@@ -27,6 +28,13 @@ def folder(spark: SparkSession) -> str:
     return at.rstrip("/")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Lowers the session's limit of bytes in an Arrow batch to a few MB: thousands of long texts at once are no worker's business."""
+    have = str(spark.conf.get(BATCH_KEY)).rstrip("b")
+    if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
+        spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
+
+
 def keep(df: DataFrame, what: str = "step") -> DataFrame:
     """df, written to the shared folder and read back."""
     spark = df.sparkSession

@@ -42,7 +42,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BYTE_CODES, Block, blocks, mix64, prefix_hash, span_hash, text_buffers
-from .shared import keep
+from .shared import bounded_batches, keep
 
 LENGTH = 100
 ANCHOR = 32
@@ -371,6 +371,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH, i
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes kept."""
     if length >= PACK:
         raise ValueError(f"length is below {PACK}")
+    bounded_batches(spark)
     source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     spans = repeated_spans(spark, source, length=length, **options)
     runs = keep(spans.repartition("doc_id").mapInArrow(merge_spans, SPANS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs")), "runs")

@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import blocks
+from .shared import bounded_batches
 
 RULES = ("start", "end", "larger")
 OUT = "doc_id long, section long, byte_start long, byte_end long, n_chars long, n_tokens long, n_crossing long, doc_tokens long"
@@ -68,6 +69,8 @@ def token_counts(docs: DataFrame, vocabulary: str, pattern: str, *, rule: str =
     if rule not in RULES:
         raise ValueError(f"rule is one of {RULES}")
 
+    bounded_batches(docs.sparkSession)
+
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, size = encoding(vocabulary, pattern)
         for block in blocks(batches):

@@ -47,6 +47,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, prefix_hash, span_hash, text_buffers, word_spans
+from .shared import bounded_batches
 
 SPAN = 6
 DECAY = 0.7
@@ -382,6 +383,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 def score(spark: SparkSession, docs: DataFrame, model: Model, *, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, score."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -399,6 +401,7 @@ def toxicity(spark: SparkSession, docs: DataFrame, labels: DataFrame, **options)
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, labels: DataFrame, *, threshold: float = 0.5, text_col: str = "text", **options) -> DataFrame:
     """docs without those that score threshold or more; rows stay as they are."""
+    bounded_batches(spark)
     shared = spark.sparkContext.broadcast(fit(docs, labels, text_col=text_col, **options))
     names = docs.columns
     at = names.index(text_col)
