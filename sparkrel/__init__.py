@@ -14,6 +14,7 @@ from .operators.select import asc, desc
 from .plans.relational import RelationError
 from .schema import Check, Col, Enum, ForeignKey, Index, PrimaryKey, Reference, Relation, Relations, Sequence, Table, Unique, fk, many, one, pk, relations
 from .sources import Frames, Jdbc, ParquetFolder, Store
+from .validate import Validator, insert_validator, update_validator
 
 __all__ = [n for n in dir() if not n.startswith("_")]
 

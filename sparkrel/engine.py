@@ -32,17 +32,17 @@ class Engine:
         self.spark, self.source = spark, source
         self.log = logger or log
         values = list(vars(entities).values() if hasattr(entities, "__dict__") and not isinstance(entities, (list, tuple, dict)) else entities.values() if isinstance(entities, dict) else entities)
-        self.tables = {v.name: v for v in values if isinstance(v, Table)}
+        self.tables = {v.table_name: v for v in values if isinstance(v, Table)}
         self.enums = [v for v in values if isinstance(v, Enum)]
         self.sequences = [v for v in values if isinstance(v, Sequence)]
         self._relations: dict[str, dict[str, Relation]] = {}
         for v in values:
             if isinstance(v, Relations):
-                self._relations.setdefault(v.table.name, {}).update(v.items)
+                self._relations.setdefault(v.table.table_name, {}).update(v.items)
         self.shortcuts = Shortcuts(self)
 
     def relations_of(self, table: Table) -> dict[str, Relation]:
-        return self._relations.get(table.name, {})
+        return self._relations.get(table.table_name, {})
 
     def frame(self, what: Named, args: dict[str, Any] | None = None) -> DataFrame:
         """The rows of a table or named query, as declared."""
@@ -81,8 +81,8 @@ class Engine:
         """Spark SQL over the tables as views; args bind ? or :name markers; rows turns the result into something else."""
         began = time.time()
         for t in self.tables.values():
-            if t.name.lower() in sql.lower():
-                self.frame(t).createOrReplaceTempView(t.name)
+            if t.table_name.lower() in sql.lower():
+                self.frame(t).createOrReplaceTempView(t.table_name)
         out = self.spark.sql(sql, args=args) if args else self.spark.sql(sql)
         self.log.info("raw query", extra={"sql": sql, "arguments": args, "duration_ms": (time.time() - began) * 1000})
         return rows(out) if rows else out

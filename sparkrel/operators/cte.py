@@ -27,7 +27,7 @@ class With:
     """Starts of queries that use named ones."""
 
     def __init__(self, engine: Engine, ctes: tuple[Cte, ...]):
-        self.engine, self.ctes = engine, {c.name: c for c in ctes}
+        self.engine, self.ctes = engine, {c.table_name: c for c in ctes}
         for c in ctes:  # data changes take place once, before the query that reads what they return
             if hasattr(c.query, "execute"):
                 c.query.execute()

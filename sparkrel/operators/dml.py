@@ -39,7 +39,7 @@ def _returned(table: Table, what: Any) -> list[str] | None:
     if what == "*":
         return list(table.c)
     if unknown := [c for c in what if c not in table.c]:
-        raise QueryError(f"{table.name} has no column {unknown[0]}")
+        raise QueryError(f"{table.table_name} has no column {unknown[0]}")
     return [c for c in table.c if what.get(c)] if any(what.values()) else [c for c in table.c if c not in what]
 
 
@@ -84,7 +84,7 @@ def _value(v: Any, scope: Scope, table: Table, name: str):
     """A value for a column: an expression, an argument or a plain value."""
     t = table.columns[name].type
     if not isinstance(v, Expr) and not (t.category == "json" and not isinstance(v, str)) and (why := t.accepts(v)):
-        raise ConstraintError(f"{table.name}.{name}: {why}")
+        raise ConstraintError(f"{table.table_name}.{name}: {why}")
     if t.name == "jsonb" and not isinstance(v, Expr):
         import json
 
@@ -142,9 +142,9 @@ class Insert(Change):
                 df = one if df is None else df.unionByName(one)
             has = {c: F.col(f"__has_{c}") for c in given}
         if unknown := given - set(t.columns):
-            raise QueryError(f"{t.name} has no column {sorted(unknown)[0]}")
+            raise QueryError(f"{t.table_name} has no column {sorted(unknown)[0]}")
         if fixed := [c for c in given if t.columns[c].generated == "always"]:
-            raise QueryError(f"{t.name}.{fixed[0]} is generated always")
+            raise QueryError(f"{t.table_name}.{fixed[0]} is generated always")
         out, computed = [], []
         for n, c in t.columns.items():
             fill = F.lit(None)
@@ -158,11 +158,11 @@ class Insert(Change):
             out.append(value.cast(c.type.spark).alias(n))
         numbered = [n for n, c in t.columns.items() if c.numbered]
         flags = [(~has[n] if n in given else F.lit(True)).alias(f"__new_{n}") for n in numbered]
-        df = _persist(self.engine, f"_incoming/{t.name}", df.select("__n", *out, *flags))
+        df = _persist(self.engine, f"_incoming/{t.table_name}", df.select("__n", *out, *flags))
         for n in numbered:
             missing = df.filter(F.col(f"__new_{n}")).count()
             if missing:
-                first = _store(self.engine).take(f"{t.name}.{n}", missing)
+                first = _store(self.engine).take(f"{t.table_name}.{n}", missing)
                 rank = F.row_number().over(Window.partitionBy(f"__new_{n}").orderBy("__n")) if not isinstance(self.rows, DataFrame) else _ranks(df, n)
                 if isinstance(self.rows, DataFrame):
                     df = rank
@@ -174,13 +174,13 @@ class Insert(Change):
 
     def _run(self, scope: Scope) -> DataFrame | None:
         t = self.table
-        new = _persist(self.engine, f"_rows/{t.name}", self._incoming(scope))
+        new = _persist(self.engine, f"_rows/{t.table_name}", self._incoming(scope))
         old = self.engine.frame(t)
         if self.action is None:
             after, shown, added = old.unionByName(new.drop("__n")), new, new
         else:
             after, shown, added = self._conflicts(old, new, scope)
-        replace_rows(self.engine, {t.name: after}, {t.name: added})
+        replace_rows(self.engine, {t.table_name: after}, {t.table_name: added})
         return _show(shown.orderBy("__n"), t, self.returning_)
 
     def _conflicts(self, old: DataFrame, new: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -198,7 +198,7 @@ class Insert(Change):
                 for c in u:
                     whole = whole & F.col(f"`{c}`").isNotNull()
                 fresh = fresh.withColumn("__r", F.row_number().over(Window.partitionBy(*u).orderBy("__n"))).filter((F.col("__r") == 1) | ~whole).drop("__r")
-            fresh = _persist(self.engine, f"_rows/{t.name}", fresh)
+            fresh = _persist(self.engine, f"_rows/{t.table_name}", fresh)
             return old.unionByName(fresh.drop("__n")), fresh, fresh
         key = list(self.target)
         whole = [F.col(f"`{c}`").isNotNull() for c in key]
@@ -211,7 +211,7 @@ class Insert(Change):
         right = new.select(F.struct("__n", *t.columns).alias("e"))
         both = left.join(right, [F.col(f"o.`{c}`") == F.col(f"e.`{c}`") for c in key], "full")
         excluded = Named("excluded", {n: c.type for n, c in t.columns.items()})
-        names = {("column", (t.name, n), ()): n for n in t.columns}
+        names = {("column", (t.table_name, n), ()): n for n in t.columns}
         wide = both.select("o", "e", *(F.col(f"o.`{n}`").alias(f"__old_{n}") for n in t.columns), *(F.col(f"e.`{n}`").alias(f"__new_{n}") for n in t.columns))
         done = {t.c[n].key: f"__old_{n}" for n in t.columns} | {excluded.c[n].key: f"__new_{n}" for n in t.columns}
         inner = Scope(args=scope.args, done=done)
@@ -223,7 +223,7 @@ class Insert(Change):
         for n in t.columns:
             updated = _value(sets_[n], inner, t, n) if n in sets_ else F.col(f"__old_{n}")
             cols.append(F.when(change, updated).when(F.col("o").isNotNull(), F.col(f"__old_{n}")).otherwise(F.col(f"__new_{n}")).alias(n))
-        rows = _persist(self.engine, f"_rows/{t.name}", wide.select(*cols, F.col("e.__n").alias("__n"), (change | F.col("o").isNull()).alias("__touched")))
+        rows = _persist(self.engine, f"_rows/{t.table_name}", wide.select(*cols, F.col("e.__n").alias("__n"), (change | F.col("o").isNull()).alias("__touched")))
         touched = rows.filter("__touched")
         return rows.select(*t.columns), touched, touched
 
@@ -261,18 +261,18 @@ class Update(Change):
             raise QueryError("nothing is set")
         for n in self.values:
             if n not in t.columns:
-                raise QueryError(f"{t.name} has no column {n}")
+                raise QueryError(f"{t.table_name} has no column {n}")
             if t.columns[n].generated == "always":
-                raise QueryError(f"{t.name}.{n} is generated always")
+                raise QueryError(f"{t.table_name}.{n} is generated always")
         sets = {**{n: c.update_fn() for n, c in t.columns.items() if c.update_fn}, **self.values}
         df = _marked(self.engine, t, self.condition, scope)
         hit = F.col("__hit")
-        out = [F.when(hit, _value(sets[n], scope, t, n)).otherwise(F.col(f"`{t.name}`.`{n}`")).cast(c.type.spark).alias(n) if n in sets else F.col(f"`{t.name}`.`{n}`").alias(n) for n, c in t.columns.items()]
-        rows = _persist(self.engine, f"_rows/{t.name}", df.select(*out, "__hit"))
+        out = [F.when(hit, _value(sets[n], scope, t, n)).otherwise(F.col(f"`{t.table_name}`.`{n}`")).cast(c.type.spark).alias(n) if n in sets else F.col(f"`{t.table_name}`.`{n}`").alias(n) for n, c in t.columns.items()]
+        rows = _persist(self.engine, f"_rows/{t.table_name}", df.select(*out, "__hit"))
         for n, c in t.columns.items():
             if c.generated == "always" and c.expression is not None:
                 rows = rows.withColumn(n, as_expr(c.expression(t) if callable(c.expression) else c.expression).lower(Scope(done={r.key: k for k, r in t.c.items()})).cast(c.type.spark))
-        replace_rows(self.engine, {t.name: rows.select(*t.columns)}, {t.name: rows.filter("__hit")})
+        replace_rows(self.engine, {t.table_name: rows.select(*t.columns)}, {t.table_name: rows.filter("__hit")})
         return _show(rows.filter("__hit"), t, self.returning_)
 
 
@@ -292,21 +292,21 @@ class Delete(Change):
 
     def _run(self, scope: Scope) -> DataFrame | None:
         t = self.table
-        df = _marked(self.engine, t, self.condition, scope).select(*(F.col(f"`{t.name}`.`{n}`").alias(n) for n in t.columns), "__hit")
-        rows = _persist(self.engine, f"_rows/{t.name}", df)
+        df = _marked(self.engine, t, self.condition, scope).select(*(F.col(f"`{t.table_name}`.`{n}`").alias(n) for n in t.columns), "__hit")
+        rows = _persist(self.engine, f"_rows/{t.table_name}", df)
         gone = rows.filter("__hit").select(*t.columns)
         states = cascade(self.engine, t, rows.filter("not __hit").select(*t.columns), gone)
-        replace_rows(self.engine, states, {n: d for n, d in states.items() if n != t.name})
+        replace_rows(self.engine, states, {n: d for n, d in states.items() if n != t.table_name})
         return _show(gone, t, self.returning_)
 
 
 def _marked(engine: Engine, table: Table, condition: Expr | None, scope: Scope) -> DataFrame:
     """The table's rows with __hit: whether the condition is true for them."""
-    df = engine.frame(table).alias(table.name)
+    df = engine.frame(table).alias(table.table_name)
     if condition is None:
         return df.withColumn("__hit", F.lit(True))
     if any(hasattr(x, "query") for x in condition.walk()):
-        numbered = _persist(engine, f"_rows/{table.name}", df.withColumn("__id", F.expr("uuid()"))).alias(table.name)
+        numbered = _persist(engine, f"_rows/{table.table_name}", df.withColumn("__id", F.expr("uuid()"))).alias(table.table_name)
         hit = filtered(numbered, condition, scope).select(F.col("__id").alias("__h"))
         return numbered.join(hit, F.col("__id") == F.col("__h"), "left").withColumn("__hit", F.col("__h").isNotNull())
     return df.withColumn("__hit", F.coalesce(condition.lower(scope), F.lit(False)))
@@ -314,15 +314,15 @@ def _marked(engine: Engine, table: Table, condition: Expr | None, scope: Scope)
 
 def cascade(engine: Engine, table: Table, left: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
     """New rows of every table that a deletion reaches through foreign keys, to the fixpoint."""
-    state: dict[str, DataFrame] = {table.name: left}
+    state: dict[str, DataFrame] = {table.table_name: left}
     todo = [(table, gone)]
     while todo:
         parent, lost = todo.pop()
         for child in engine.tables.values():
             for own, target, action in child.foreign_keys():
-                if target[0].table != parent.name:
+                if target[0].table != parent.table_name:
                     continue
-                rows = state.get(child.name)
+                rows = state.get(child.table_name)
                 rows = engine.frame(child) if rows is None else rows
                 keys = lost.select(*(F.col(f"`{c.name}`").alias(f"__t{i}") for i, c in enumerate(target))).distinct()
                 on = [F.col(f"`{c}`") == F.col(f"__t{i}") for i, c in enumerate(own)]
@@ -330,15 +330,15 @@ def cascade(engine: Engine, table: Table, left: DataFrame, gone: DataFrame) -> d
                 if hit.isEmpty():
                     continue
                 if action in ("RESTRICT", "NO ACTION"):
-                    raise ConstraintError(f"rows of {child.name} refer to deleted rows of {parent.name}")
+                    raise ConstraintError(f"rows of {child.table_name} refer to deleted rows of {parent.table_name}")
                 if action == "CASCADE":
-                    hit = _persist(engine, f"_rows/{child.name}", hit)
-                    state[child.name] = _persist(engine, f"_rows/{child.name}", rows.join(keys, on, "left_anti"))
+                    hit = _persist(engine, f"_rows/{child.table_name}", hit)
+                    state[child.table_name] = _persist(engine, f"_rows/{child.table_name}", rows.join(keys, on, "left_anti"))
                     todo.append((child, hit))
                 else:
                     fill = lambda n: literal(child.columns[n].default_value) if action == "SET DEFAULT" and child.columns[n].has_default else F.lit(None)  # noqa: E731, B023
                     marked = rows.join(keys.withColumn("__lost", F.lit(True)), on, "left")
-                    state[child.name] = _persist(engine, f"_rows/{child.name}", marked.select(*(F.when(F.col("__lost"), fill(n)).otherwise(F.col(f"`{n}`")).cast(c.type.spark).alias(n) if n in own else F.col(f"`{n}`").alias(n) for n, c in child.columns.items())))
+                    state[child.table_name] = _persist(engine, f"_rows/{child.table_name}", marked.select(*(F.when(F.col("__lost"), fill(n)).otherwise(F.col(f"`{n}`")).cast(c.type.spark).alias(n) if n in own else F.col(f"`{n}`").alias(n) for n, c in child.columns.items())))
     return state
 
 
@@ -359,27 +359,27 @@ def check_rows(engine: Engine, table: Table, rows: DataFrame, states: dict[str,
     tests = []
     for n, c in table.columns.items():
         if not c.nullable:
-            tests.append((f"{table.name}.{n} is null", F.col(f"`{n}`").isNull()))
+            tests.append((f"{table.table_name}.{n} is null", F.col(f"`{n}`").isNull()))
         if c.type.check is not None:
-            tests.append((f"{table.name}.{n} is no {c.type.name}", ~c.type.check(F.col(f"`{n}`"))))
+            tests.append((f"{table.table_name}.{n} is no {c.type.name}", ~c.type.check(F.col(f"`{n}`"))))
     for name, condition in table.checks():
-        tests.append((f"{table.name} breaks {name}", ~condition.lower(here)))
+        tests.append((f"{table.table_name} breaks {name}", ~condition.lower(here)))
     if tests:
         found = rows.agg(*(F.max(F.coalesce(t, F.lit(False))).alias(f"t{i}") for i, (_, t) in enumerate(tests))).first()
         for (what, _), bad in zip(tests, found, strict=True):
             if bad:
                 raise ConstraintError(what)
     for u in table.unique_sets():
-        whole = states[table.name]
+        whole = states[table.table_name]
         for c in u:
             whole = whole.filter(F.col(f"`{c}`").isNotNull())
         if not whole.groupBy(*u).count().filter("count > 1").isEmpty():
-            raise ConstraintError(f"{table.name} repeats {', '.join(u)}")
+            raise ConstraintError(f"{table.table_name} repeats {', '.join(u)}")
     for own, target, _ in table.foreign_keys():
         parent = engine.tables.get(target[0].table)
-        known = states.get(parent.name) if parent is not None and parent.name in states else engine.frame(parent) if parent is not None else None
+        known = states.get(parent.table_name) if parent is not None and parent.table_name in states else engine.frame(parent) if parent is not None else None
         if known is None:
             raise QueryError(f"no table {target[0].table}")
         wanted = rows.select(*(F.col(f"`{c}`").alias(f"__f{i}") for i, c in enumerate(own))).na.drop().distinct()
         if not wanted.join(known, [F.col(f"__f{i}") == known[c.name] for i, c in enumerate(target)], "left_anti").isEmpty():
-            raise ConstraintError(f"{table.name}.{', '.join(own)} refers to no row of {parent.name}")
+            raise ConstraintError(f"{table.table_name}.{', '.join(own)} refers to no row of {parent.table_name}")

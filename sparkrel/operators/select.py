@@ -126,16 +126,16 @@ class Select:
         out: dict[str, Expr] = {}
         for t in (self.base, *(j[1] for j in self.joins)):
             for n, c in t.c.items():
-                name = f"{t.name}_{n}" if self.suffix and n in out else n
+                name = f"{t.table_name}_{n}" if self.suffix and n in out else n
                 if name in out:
                     raise QueryError(f"several tables have a column {n}; name the columns, or use suffix=True")
                 out[name] = c
         return out
 
     def _source(self, scope: Scope) -> DataFrame:
-        df = self.engine.frame(self.base, scope.args).alias(self.base.name)
+        df = self.engine.frame(self.base, scope.args).alias(self.base.table_name)
         for how, table, on in self.joins:
-            df = df.join(self.engine.frame(table, scope.args).alias(table.name), on.lower(scope), how)
+            df = df.join(self.engine.frame(table, scope.args).alias(table.table_name), on.lower(scope), how)
         return filtered(df, self.condition, scope)
 
     def _keys(self, items: dict[str, Expr]) -> list[Expr] | None:

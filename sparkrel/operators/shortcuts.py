@@ -36,7 +36,7 @@ class Shortcuts:
         return self._rows(table, where).limit(1).agg((F.count(F.lit(1)) > 0).alias("value"))
 
     def _rows(self, table: Named, where: Expr | None) -> DataFrame:
-        return filtered(self.engine.frame(table, {}).alias(table.name), where, Scope())
+        return filtered(self.engine.frame(table, {}).alias(table.table_name), where, Scope())
 
     def first(self, table: Named, where: Expr | None = None) -> dict | None:
         row = self.first_df(table, where).first()

@@ -31,7 +31,7 @@ def picked(table: Table, columns: dict[str, bool] | None) -> list[str]:
     if not columns:
         return list(table.c)
     if unknown := [c for c in columns if c not in table.c]:
-        raise RelationError(f"{table.name} has no column {unknown[0]}")
+        raise RelationError(f"{table.table_name} has no column {unknown[0]}")
     if any(columns.values()):
         return [c for c in table.c if columns.get(c)]
     return [c for c in table.c if c not in columns]
@@ -42,12 +42,12 @@ def joining(parent: Table, relation: Relation) -> tuple[str, str]:
     child, via = relation.target(), relation.via()
     owner, other = (parent, child) if relation.kind == "fk" else (child, parent)
     for own, target, _ in owner.foreign_keys():
-        if len(own) == 1 and target[0].table == other.name and (via is None or via.name == own[0]):
+        if len(own) == 1 and target[0].table == other.table_name and (via is None or via.name == own[0]):
             pair = own[0], target[0].name
             break
     else:
         if via is None or len(other.key_columns) != 1:
-            raise RelationError(f"no foreign key leads from {owner.name} to {other.name}")
+            raise RelationError(f"no foreign key leads from {owner.table_name} to {other.table_name}")
         pair = via.name, other.key_columns[0]
     return pair if relation.kind == "fk" else pair[::-1]
 
@@ -71,7 +71,7 @@ class RelationQuery:
     def frame(self, args: dict[str, Any] | None = None) -> DataFrame:
         scope = Scope(args=args or {})
         o = self.options
-        df = filtered(self.engine.frame(self.table, scope.args).alias(self.table.name), o.get("where"), scope)
+        df = filtered(self.engine.frame(self.table, scope.args).alias(self.table.table_name), o.get("where"), scope)
         limit = 1 if self.first else o.get("limit")
         by = [x.sorted(ordered(x.what, x.what.lower(scope))) for x in orders_of((o["order_by"],) if isinstance(o.get("order_by"), (Order, Expr)) else tuple(o.get("order_by") or ()))]
         if by:
@@ -80,7 +80,7 @@ class RelationQuery:
             df = df.offset(int(scope.value(o["offset"])))
         if limit is not None:
             df = df.limit(int(scope.value(limit)))
-        df = nested(self.engine, self.table, df, o, scope, self.table.name)
+        df = nested(self.engine, self.table, df, o, scope, self.table.table_name)
         if by and o.get("with_"):  # joins don't keep the order
             return df.orderBy(*(F.col(f"__by{i}").desc_nulls_first() if x.descending else F.col(f"__by{i}").asc_nulls_last() for i, x in enumerate(self._orders()))).select(*(c for c in df.columns if not c.startswith("__by")))
         return df
@@ -107,11 +107,11 @@ def nested(engine: Engine, table: Table, df: DataFrame, options: dict, scope: Sc
     wanted = options.get("with_") or {}
     related = engine.relations_of(table)
     if unknown := [r for r in wanted if r not in related]:
-        raise RelationError(f"{table.name} has no relation {unknown[0]}")
+        raise RelationError(f"{table.table_name} has no relation {unknown[0]}")
     if clash := [r for r in wanted if r in columns]:
         raise RelationError(f"{clash[0]} names a column and a relation")
     keys = {r: joining(table, related[r]) for r in wanted}
-    here = Scope({**scope.aliases, table.name: alias}, scope.args)
+    here = Scope({**scope.aliases, table.table_name: alias}, scope.args)
     by = options.get("order_by") if keep is None and wanted else None
     orders = orders_of((by,) if isinstance(by, (Order, Expr)) else tuple(by or ()))
     extra = [F.col(f"`{alias}`.`{p}`").alias(f"__p_{r}") for r, (p, _) in keys.items()]
@@ -134,7 +134,7 @@ def nested(engine: Engine, table: Table, df: DataFrame, options: dict, scope: Sc
 def child_rows(engine: Engine, relation: Relation, column: str, options: dict, scope: Scope, alias: str) -> DataFrame:
     """(__key, __value): a relation's rows for each value of its joining column."""
     table = relation.target()
-    here = Scope({**scope.aliases, table.name: alias}, scope.args)
+    here = Scope({**scope.aliases, table.table_name: alias}, scope.args)
     df = engine.frame(table, scope.args).alias(alias).filter(F.col(f"`{alias}`.`{column}`").isNotNull())
     df = filtered(df, options.get("where"), here)
     key = F.col(f"`{alias}`.`{column}`")

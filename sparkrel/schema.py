@@ -188,17 +188,17 @@ class ForeignKey:
 
 
 class Named:
-    """Something with columns that a query can read: a table or a named query. Columns are attributes, or items of ``c``."""
+    """Something with columns that a query can read: a table or a named query. Columns are attributes (or items, where an attribute of the table itself has the name, such as ``schema``)."""
 
     def __init__(self, name: str, columns: dict[str, ColumnType | None]):
-        self.name = name
+        self.table_name = name
         self.c = {n: ColumnRef(name, n, t) for n, t in columns.items()}
 
     def __getattr__(self, name: str) -> ColumnRef:
         try:
             return self.__dict__["c"][name]
         except KeyError:
-            raise AttributeError(f"{self.__dict__.get('name')} has no column {name}") from None
+            raise AttributeError(f"{self.__dict__.get('table_name')} has no column {name}") from None
 
     def __getitem__(self, name: str) -> ColumnRef:
         return self.c[name]
@@ -232,7 +232,7 @@ class Table(Named):
         return out + [e.columns for e in self.extra if isinstance(e, Index) and e.is_unique]
 
     def checks(self) -> list[tuple[str, Expr]]:
-        out = [(f"{self.name}_{n}_check", fn(self.c[n])) for n, c in self.columns.items() for fn in c.checks]
+        out = [(f"{self.table_name}_{n}_check", fn(self.c[n])) for n, c in self.columns.items() for fn in c.checks]
         return out + [(e.name, e.condition(self)) for e in self.extra if isinstance(e, Check)]
 
 

@@ -28,7 +28,7 @@ class Frames:
     frames: dict[str, DataFrame] = field(hash=False)
 
     def load(self, spark: SparkSession, table: Table) -> DataFrame:
-        return self.frames[table.name]
+        return self.frames[table.table_name]
 
 
 def database_url(host: str, database: str, *, port: int = 5432, user: str | None = None, password: str | None = None, ssl: bool | str | None = None, **params: Any) -> str:
@@ -52,7 +52,7 @@ class Jdbc:
     def load(self, spark: SparkSession, table: Table) -> DataFrame:
         """partitions: table -> (column, lower bound, upper bound, number), to read in parallel."""
         r = spark.read.format("jdbc").option("url", self.url).option("dbtable", f'"{table.schema}"."{table.source}"').options(**self.properties)
-        if table.name in self.partitions:
-            column, low, high, n = self.partitions[table.name]
+        if table.table_name in self.partitions:
+            column, low, high, n = self.partitions[table.table_name]
             r = r.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n)
         return r.load()
