@@ -41,6 +41,18 @@ class Engine:
                 self._relations.setdefault(v.table.table_name, {}).update(v.items)
         self.shortcuts = Shortcuts(self)
 
+    def logged(self, what: str, args: Any, action: Callable[[], Any]) -> Any:
+        """action's result; its duration, or what it raised, goes to the log."""
+        began = time.perf_counter()
+        extra = lambda: {"query": what, "arguments": args, "duration_ms": (time.perf_counter() - began) * 1000}
+        try:
+            out = action()
+        except Exception as e:
+            self.log.error("%s failed: %s", what, e, extra=extra())
+            raise
+        self.log.info("%s", what, extra=extra())
+        return out
+
     def relations_of(self, table: Table) -> dict[str, Relation]:
         return self._relations.get(table.table_name, {})
 
@@ -79,13 +91,10 @@ class Engine:
 
     def raw(self, sql: str, args: list | dict | None = None, rows: Callable[[DataFrame], Any] | None = None) -> Any:
         """Spark SQL over the tables as views; args bind ? or :name markers; rows turns the result into something else."""
-        began = time.time()
         for t in self.tables.values():
             if t.table_name.lower() in sql.lower():
                 self.frame(t).createOrReplaceTempView(t.table_name)
-        out = self.spark.sql(sql, args=args) if args else self.spark.sql(sql)
-        self.log.info("raw query", extra={"sql": sql, "arguments": args, "duration_ms": (time.time() - began) * 1000})
-        return rows(out) if rows else out
+        return self.logged(sql, args, lambda: (rows or (lambda df: df))(self.spark.sql(sql, args=args) if args else self.spark.sql(sql)))
 
     def insert(self, table: Table):
         from .operators.dml import Insert

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..expr import ColumnRef, Expr, QueryError, Scope, as_expr, literal
-from ..schema import Named, Table
+from ..schema import Named, Sequence, Table
 from ..sources.store import Store
 from .select import filtered
 
@@ -65,7 +65,7 @@ class Change:
 
     def execute(self, args: dict[str, Any] | None = None) -> DataFrame | None:
         if args or self.box.get("result") is None:
-            self.box["result"] = (self._run(Scope(args=args or {})),)
+            self.box["result"] = (self.engine.logged(f"{type(self).__name__.lower()} {self.table.table_name}", args, lambda: self._run(Scope(args=args or {}))),)
         return self.box["result"][0]
 
 
@@ -150,7 +150,7 @@ class Insert(Change):
             fill = F.lit(None)
             if c.insert_fn is not None:
                 fill = _value(c.insert_fn(), scope, t, n)
-            elif c.has_default:
+            elif c.has_default and not isinstance(c.default_value, Sequence):
                 fill = _value(c.default_value, scope, t, n)
             if c.generated == "always" and c.expression is not None:
                 computed.append((n, c))
@@ -168,6 +168,13 @@ class Insert(Change):
                     df = rank
                     rank = F.col("__rank")
                 df = df.withColumn(n, F.when(F.col(f"__new_{n}"), (rank + (first - 1)).cast(t.columns[n].type.spark)).otherwise(F.col(n))).drop("__rank")
+        for n, c in t.columns.items():
+            if isinstance(c.default_value, Sequence):  # a number of the sequence for each row that has none; meant for few rows
+                missing = [r[0] for r in df.filter(F.col(f"`{n}`").isNull()).select("__n").orderBy("__n").collect()]
+                numbers = {i: _store(self.engine).nextval(c.default_value) for i in missing}
+                if numbers:
+                    table = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))
+                    df = df.withColumn(n, F.coalesce(F.col(f"`{n}`"), F.try_element_at(table, F.col("__n")).cast(c.type.spark)))
         for n, c in computed:
             df = df.withColumn(n, as_expr(c.expression(t) if callable(c.expression) else c.expression).lower(Scope(done={r.key: k for k, r in t.c.items()})).cast(c.type.spark))
         return df.select("__n", *t.columns)

@@ -186,7 +186,7 @@ class Select:
         return self.frame()
 
     def collect(self, **args: Any) -> list[dict]:
-        return [r.asDict(True) for r in self.frame(args).collect()]
+        return self.engine.logged(f"select from {self.base.table_name}", args, lambda: [r.asDict(True) for r in self.frame(args).collect()])
 
     def explain(self) -> None:
         self.frame().explain("formatted")

@@ -94,7 +94,7 @@ class RelationQuery:
         return self.frame()
 
     def collect(self, **args: Any) -> Any:
-        rows = [r.asDict(True) for r in self.frame(args).collect()]
+        rows = self.engine.logged(f"find in {self.table.table_name}", args, lambda: [r.asDict(True) for r in self.frame(args).collect()])
         return (rows[0] if rows else None) if self.first else rows
 
     def columns(self) -> dict[str, Any]:

@@ -158,3 +158,21 @@ def test_validators():
 )
 def test_type_checks(type_, good, bad):
     assert type_.accepts(good) is None and type_.accepts(bad) and type_.accepts(None) is None
+
+
+def test_sequence_default(spark, tmp_path):
+    step = s.Sequence("step", start=100, increment=2)
+    t = s.Table("t", {"id": s.Col(T.bigint()).default(step).primary_key(), "x": T.text()})
+    e = s.Engine(spark, s.Store(spark, f"file://{tmp_path}/q"), [t, step])
+    e.insert(t).values([{"x": "a"}, {"id": 5, "x": "b"}, {"x": "c"}]).execute()
+    assert sorted((r["id"], r["x"]) for r in e.from_(t).select().collect()) == [(5, "b"), (100, "a"), (102, "c")]
+
+
+def test_log(db, caplog):
+    with caplog.at_level("INFO", "sparkrel"):
+        db.from_(users).select({"n": users.name}).collect()
+        with pytest.raises(s.QueryError):
+            db.insert(users).values({"name": "ann"}).execute()
+    done, failed = caplog.records[0], caplog.records[-1]
+    assert done.query == "select from users" and done.duration_ms > 0 and done.levelname == "INFO"
+    assert failed.levelname == "ERROR" and failed.query == "insert users"
