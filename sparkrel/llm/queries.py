@@ -102,4 +102,17 @@ WITH RECURSIVE v AS (SELECT vec_id, label, list_transform(embedding, lambda x: x
   {REACHED.format(id="vec_id", ids="embeddings")}
 SELECT vec_id, (SELECT count(*) FROM e WHERE x = vec_id) AS n_links, component_id, component_id = vec_id AS kept FROM embeddings JOIN c ON id = vec_id"""
 
-ORACLE: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op3_jaccard_join": JACCARD, "op4_embedding_dedup": EMBEDDINGS, "op7_decontamination": DECONTAMINATION}
+REPEATS = """
+WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b, hex(encode(coalesce(text, ''))) AS x FROM documents),
+  w AS (SELECT doc_id, i, md5(b[i:i + 99]) AS h FROM (SELECT doc_id, b, unnest(range(1, octet_length(b) - 98)) AS i FROM d WHERE octet_length(b) >= 100)),
+  f AS (SELECT h, min({'d': doc_id, 'i': i}) AS f FROM w GROUP BY h HAVING count(*) > 1),
+  g AS (SELECT doc_id, i FROM w JOIN f USING (h) WHERE doc_id <> f.d OR i <> f.i),
+  n AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 100 THEN 0 ELSE 1 END AS new FROM g),
+  r AS (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM n),
+  s AS (SELECT doc_id, min(i) - 1 AS lo, max(i) + 99 AS hi FROM r GROUP BY doc_id, run),
+  p AS (SELECT doc_id, lo, hi, coalesce(lag(hi) OVER (PARTITION BY doc_id ORDER BY lo), 0) AS since FROM s),
+  k AS (SELECT doc_id, string_agg(substr(x, 2 * since + 1, 2 * (lo - since)), '' ORDER BY lo) || substr(any_value(x), 2 * max(hi) + 1) AS kept, sum(hi - lo)::BIGINT AS n_removed, count(*) AS n_spans FROM p JOIN d USING (doc_id) GROUP BY doc_id)
+SELECT doc_id, octet_length(b)::BIGINT AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(coalesce(kept, x))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)"""
+
+ORACLE: dict[str, str] = {"op2_url_filter": url_filter.sql(), "op3_jaccard_join": JACCARD, "op4_embedding_dedup": EMBEDDINGS, "op6_secret_scan": secret_scan.sql(), "op7_decontamination": DECONTAMINATION, "op8_suffix_dedup": REPEATS}

@@ -174,3 +174,39 @@ def redact(docs: DataFrame, *, mark: str = "[SECRET]", text_col: str = "text", *
     clean = F.aggregate("found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
     column = lambda n: F.when(F.size("found") > 0, clean).otherwise(text) if n == text_col else F.col("_row").getField(n)
     return found.select(*(column(n).alias(n) for n in docs.columns))
+
+
+def sql(alpha: float = 0.05) -> str:
+    """digest(scan(documents)) as DuckDB SQL."""
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    assign = quoted(ASSIGN.replace(r"\"", '"').replace(r"\'", "'"))
+
+    def spans(kind: int, pattern: str) -> str:
+        return f"""SELECT id, {kind} AS kind, m[k] AS token, list_sum(list_transform(p[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS start
+    FROM (SELECT id, m, p, unnest(range(1, len(m) + 1)) AS k FROM (SELECT id, regexp_extract_all(t, {pattern}) AS m, regexp_split_to_array(t, {pattern}) AS p FROM d))"""
+
+    encoding = "CASE " + " ".join(f"WHEN regexp_matches(bare, {quoted(p)}) THEN {i}" for i, (_, p, _) in enumerate(ENCODINGS)) + " END"
+    alphabet = "CASE encoding " + " ".join(f"WHEN {i} THEN {quoted(a)}" for i, (_, _, a) in enumerate(ENCODINGS)) + " END"
+    tail = lambda z: f"(CASE WHEN {z} > 3 THEN exp(-{z} * {z} / 2) / ({z} * 2.5066282746 * (1 + 1 / ({z} * {z}))) ELSE 1 / (1 + exp(1.5976 * {z} + 0.07056 * {z} * {z} * {z})) END)"
+    kinds = "[" + ", ".join(map(quoted, KINDS)) + "]"
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS id, doc_id, coalesce(text, '') AS t FROM documents),
+  b AS (SELECT id, kind, start, start + length(token) AS stop FROM (
+    {spans(0, assign)} UNION ALL {spans(1, quoted(ACCESS))} UNION ALL {spans(2, quoted(HEX))}) WHERE kind <> 0 OR length(regexp_extract(token, {assign}, 2)) >= 6),
+  c AS (SELECT id, start, start + length(token) AS stop, regexp_replace(token, '=+$', '') AS bare FROM ({spans(3, quoted(TOKEN))})),
+  e AS (SELECT *, {encoding} AS encoding FROM c WHERE regexp_matches(bare, '[0-9]') AND regexp_matches(bare, '[A-Za-z]') AND NOT EXISTS (SELECT 1 FROM b WHERE b.id = c.id AND b.start < c.stop AND c.start < b.stop)),
+  a AS (SELECT *, {alphabet} AS alphabet, CASE WHEN encoding = 0 THEN lower(bare) ELSE bare END AS s FROM e WHERE encoding IS NOT NULL),
+  x AS (SELECT *, length(alphabet)::DOUBLE AS q, length(bare)::DOUBLE AS n, list_transform(string_split(s, ''), lambda v: instr(alphabet, v) - 1) AS x FROM a),
+  y AS (SELECT *, q / n * list_sum(list_transform(list_distinct(x), lambda v: pow(len(list_filter(x, lambda u: u = v)), 2))) - n AS chi, len(list_filter(x, lambda v: v >= q / 2))::DOUBLE AS n1, list_zip(x[1:len(x) - 1], x[2:]) AS pairs FROM x),
+  z AS (SELECT *, (pow(chi / (q - 1), {1 / 3!r}) - (1 - 2 / (9 * (q - 1)))) / sqrt(2 / (9 * (q - 1))) AS z_chi, 2 * n1 * (n - n1) AS both_, len(list_filter(pairs, lambda v: (v[1] >= q / 2) <> (v[2] >= q / 2)))::DOUBLE AS changes,
+    abs(list_sum(list_transform(pairs, lambda v: (v[1] - (q - 1) / 2) * (v[2] - (q - 1) / 2)))) / ((q * q - 1) / 12) / sqrt(n - 1) AS z_serial FROM y),
+  r AS (SELECT *, both_ * (both_ - n) / (n * n * (n - 1)) AS spread FROM z),
+  u AS (SELECT *, CASE WHEN spread > 0 THEN abs(changes - both_ / n) / sqrt(spread) ELSE 9.0 END AS z_runs FROM r),
+  g AS (SELECT id, start, stop, encoding * 64 + floor(log2(n))::INT AS stratum, least({GRID_END}, floor(-{GRID} * log10(least(1.0, 3 * least({tail('z_chi')}, 2 * {tail('z_runs')}, 2 * {tail('z_serial')})) + 1e-300)))::INT AS grid FROM u),
+  h AS (SELECT stratum, grid, count(*) AS n FROM g GROUP BY ALL),
+  k AS (SELECT stratum, grid, sum(n) OVER (PARTITION BY stratum) AS m, sum(n) OVER (PARTITION BY stratum ORDER BY grid DESC) AS k FROM h),
+  l AS (SELECT stratum, min(grid) AS least_grid FROM k WHERE pow(10.0, -grid / {GRID}.0) <= {alpha} * k / m GROUP BY stratum),
+  f AS (SELECT id, kind, start, stop FROM b UNION ALL SELECT id, 3, start, stop FROM g LEFT JOIN l USING (stratum) WHERE grid < coalesce(least_grid, {GRID_END + 1})),
+  o AS (SELECT id, kind, start, stop, concat_ws(':', {kinds}[kind + 1], start::BIGINT, stop::BIGINT) AS name FROM f),
+  t AS (SELECT id, count(*) FILTER (kind = 0) AS n0, count(*) FILTER (kind = 1) AS n1, count(*) FILTER (kind = 2) AS n2, string_agg(name, ',' ORDER BY start, kind, stop) FILTER (kind < 3) AS base, string_agg(name, ',' ORDER BY start, kind, stop) AS spans FROM o GROUP BY id)
+SELECT doc_id, coalesce(n0, 0) AS n_assign, coalesce(n1, 0) AS n_access, coalesce(n2, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN t USING (id)"""

@@ -86,3 +86,15 @@ def test_redact_keeps_other_columns(spark, odd_docs):
     assert out.columns == odd_docs.columns and sorted(map(str, out.collect())) == sorted(map(str, odd_docs.collect()))
     df = spark.createDataFrame([("a", "token=abcdef12 x token=token:abcdefg 0123456789abcdef01234567", 7)], "found string, text string, doc_id long")
     assert s.redact(df).first() == ("a", "[SECRET] x token=token:abcdefg [SECRET]", 7)
+
+
+def test_sql_gives_the_same(spark):
+    import duckdb
+
+    rows = [(i, t) for i, t in enumerate(texts())]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", [*rows, (99999, None)])
+    want = con.execute(s.sql()).fetchall()
+    got = s.digest(s.scan(spark.createDataFrame([*rows, (99999, None)], "doc_id long, text string"))).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
