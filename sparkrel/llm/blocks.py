@@ -8,6 +8,7 @@ empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
@@ -18,6 +19,15 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1_000_000
 
 
+def release() -> None:
+    """Gives freed memory back to the system: workers live on after a task, and others need it."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # a C library without it
+        pass
+
+
 @dataclass
 class Block:
     """ids: the id column's slice; data: bytes of all texts; starts: n + 1 offsets into data."""
@@ -55,6 +65,7 @@ def blocks(batches: Iterable[pa.RecordBatch], id_col: int = 0, text_col: int = 1
             j = min(max(j, i + 1), n)
             yield Block(ids.slice(i, j - i), data[starts[i] : starts[j]], starts[i : j + 1] - starts[i])
             i = j
+    release()
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

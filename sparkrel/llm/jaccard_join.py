@@ -43,7 +43,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, mix64, prefix_hash, span_hash, word_spans
+from .blocks import Block, blocks, mix64, prefix_hash, release, span_hash, word_spans
 from .components import components, forest
 from .shared import bounded_batches, keep
 
@@ -178,6 +178,7 @@ def shared_tokens(num: int, den: int):
         pair = (token[1:] == token[:-1]) & (den * size[:-1] >= num * size[1:])
         ok = np.concatenate([pair, [False]]) | np.concatenate([[False], pair]) if len(token) else np.zeros(0, bool)
         yield pa.RecordBatch.from_arrays([pa.array(token[ok]), pa.array(key[ok]), pa.array(place[ok])], names=["token", "key", "place"])
+        release()
 
     return part
 
@@ -211,6 +212,7 @@ def references(num: int, den: int):
         lead = np.minimum.reduceat(key, at)[np.cumsum(new) - 1]
         pair = np.unique(np.stack([lead, key], 1)[lead != key], axis=0)
         yield pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], names=["ref", "key"])
+        release()
 
     return part
 

@@ -36,7 +36,7 @@ END_ID = 2
 #: Tokens that one salt of a class holds about; decides the number of salts.
 SALT_TOKENS = 1 << 27
 #: Words whose ids a worker remembers.
-WORDS = 1_200_000
+WORDS = 900_000
 
 
 _IS_ALNUM = np.zeros(256, bool)

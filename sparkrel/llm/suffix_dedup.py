@@ -41,7 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BYTE_CODES, Block, blocks, mix64, prefix_hash, span_hash, text_buffers
+from .blocks import BYTE_CODES, Block, blocks, mix64, prefix_hash, release, span_hash, text_buffers
 from .shared import bounded_batches, keep
 
 LENGTH = 100
@@ -217,6 +217,7 @@ def collapse(length: int, classes: int):
         pick = again | rest
         kind = np.where(again, 0, np.where(many > classes, 2, 1))
         yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(place[pick])], names=["open", "anchor", "doc_id", "place"])
+        release()
 
     return part
 
@@ -325,6 +326,7 @@ def compare(length: int, array_bytes: int):
                 pending, total = [], 0
         if pending:
             yield flush()
+        release()
 
     return part
 

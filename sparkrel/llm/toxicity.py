@@ -46,13 +46,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import Block, blocks, prefix_hash, span_hash, text_buffers, word_spans
+from .blocks import Block, blocks, prefix_hash, release, span_hash, text_buffers, word_spans
 from .shared import bounded_batches
 
 SPAN = 6
 DECAY = 0.7
 PIECE, STRIDE = 32, 16
-TRAIN_DOCS = 1500
+TRAIN_DOCS = 1200
 TRAIN_BYTES = 12_000
 LANDMARKS = 96
 FLOOR = -0.9
@@ -263,10 +263,11 @@ class Model:
         out = np.full(len(total), FLOOR)
         hot = np.flatnonzero(total > REACH * np.maximum(low, 1e-9)) if self.landmarks is not None else np.zeros(0, int)
         hot = hot[total[hot] > REACH * exact_norm(words.data, words.start[hot], words.end[hot])]
-        if len(hot):
-            k = self.landmarks.kernel(words.data, words.start[hot], words.end[hot])
+        for i in range(0, len(hot), 10_000):
+            some = hot[i : i + 10_000]
+            k = self.landmarks.kernel(words.data, words.start[some], words.end[some])
             f = k**POWER @ self.alpha + self.bias
-            out[hot] = np.where(k[:, : self.n_toxic].max(axis=1) >= REACH, np.maximum(f, FLOOR), FLOOR)
+            out[some] = np.where(k[:, : self.n_toxic].max(axis=1) >= REACH, np.maximum(f, FLOOR), FLOOR)
         return out
 
     def pooled(self, words: Words, n: int) -> np.ndarray:
@@ -373,7 +374,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, tra
     rows = small.filter(F.col("doc_id").isin(chosen)).join(F.broadcast(ids[0].union(ids[1])), "doc_id").orderBy(*by_hash)
     sample = rows.filter("y = 0").limit(train_docs).union(rows.filter("y = 1").limit(train_docs)).collect()
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    return train([r.text for r in sample], np.array([r.y for r in sample], int), share)
+    model = train([r.text for r in sample], np.array([r.y for r in sample], int), share)
+    release()
+    return model
 
 
 def held_out(doc_id: F.Column) -> F.Column:
