@@ -53,6 +53,8 @@ NUM, DEN = 4, 5
 RANKED = 1 << 17
 CHUNK = 2_000_000
 BLOCK = 256
+#: Keys of sets that a task remembers, to give the rows of copies once.
+SEEN = 50_000
 #: Ids that are broadcast at most (8 bytes each); more are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 
@@ -134,9 +136,14 @@ def prefixes(ranks, width: int, num: int, den: int):
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, level = ranks.value
+        seen = np.zeros(0, np.int64)  # keys whose rows this task gave already: copies are dropped before the shuffle
         for block in blocks(batches):
             d, h = shingles(block, width)
             k1, _, n = set_keys(d, h, len(block))
+            fresh = np.zeros(len(block), bool)
+            fresh[np.unique(k1, return_index=True)[1]] = True
+            fresh &= ~np.isin(k1, seen)
+            seen = np.concatenate([seen, k1[fresh]])[-SEEN:]
             rank = np.zeros(len(h), np.int8)
             if len(tokens) and len(h):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
@@ -146,7 +153,7 @@ def prefixes(ranks, width: int, num: int, den: int):
             length = n - -(-num * n // den) + 1
             place = np.arange(len(h)) - first[d]
             early = n - -(-2 * num * n // (num + den)) + 1
-            at = np.flatnonzero(place < extended(n, num, den)[d])
+            at = np.flatnonzero((place < extended(n, num, den)[d]) & fresh[d])
             take, of = order[at], d[at]
             yield pa.RecordBatch.from_arrays([pa.array(h[take].view(np.int64)), pa.array(k1[of]), pa.array(4 * n[of] + 2 * (place[at] < length[of]) + (place[at] < early[of]))], names=["token", "key", "place"])
 
