@@ -13,6 +13,7 @@ from typing import TYPE_CHECKING, Any
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..expr import ColumnRef, Expr, QueryError, Scope, as_expr, literal
 from ..schema import Named, Sequence, Table
@@ -94,6 +95,37 @@ def _value(v: Any, scope: Scope, table: Table, name: str):
     return (as_expr(v).lower(scope) if isinstance(v, Expr) else literal(v)).cast(t.spark)
 
 
+def _plain_rows(spark, table: Table, rows: list[dict], given: list[str]) -> DataFrame:
+    """Rows of Python values as one local table: __n, the given columns, and __has_<column>."""
+    import json
+    from decimal import Decimal
+
+    def value(n: str, v: Any) -> Any:
+        t = table.columns[n].type
+        if v is None:
+            return None
+        if t.name == "jsonb":
+            return v if isinstance(v, str) else json.dumps(v)
+        if why := t.accepts(v):
+            raise ConstraintError(f"{table.table_name}.{n}: {why}")
+        if isinstance(t.spark, T.DecimalType):
+            return Decimal(str(v)).quantize(Decimal(1).scaleb(-t.spark.scale))
+        if isinstance(t.spark, T.ArrayType) and isinstance(t.spark.elementType, T.FloatType):
+            return [float(x) for x in v]
+        return float(v) if isinstance(t.spark, T.DoubleType) else v
+
+    fields = [T.StructField("__n", T.LongType())]
+    for n in given:
+        spark_type = table.columns[n].type.spark
+        fields += [T.StructField(n, T.StringType() if isinstance(spark_type, T.VariantType) else spark_type), T.StructField(f"__has_{n}", T.BooleanType())]
+    data = [(i, *(x for n in given for x in (value(n, r.get(n)), n in r))) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(data, T.StructType(fields))
+    for n in given:
+        if isinstance(table.columns[n].type.spark, T.VariantType):
+            df = df.withColumn(n, F.parse_json(F.col(f"`{n}`")))
+    return df
+
+
 @dataclass(frozen=True)
 class Insert(Change):
     engine: Engine
@@ -136,8 +168,9 @@ class Insert(Change):
         else:
             rows = [self.rows] if isinstance(self.rows, dict) else list(self.rows)
             given = {c for r in rows for c in r}
-            df = None
-            for i, r in enumerate(rows):
+            plain = not any(isinstance(v, Expr) for r in rows for v in r.values())
+            df = _plain_rows(spark, t, rows, [c for c in t.columns if c in given]) if plain else None
+            for i, r in enumerate(() if plain else rows):
                 one = spark.range(1).select(F.lit(i).cast("long").alias("__n"), *(x for c in given if c in t.columns for x in ((_value(r[c], scope, t, c) if c in r else F.lit(None).cast(t.columns[c].type.spark)).alias(c), F.lit(c in r).alias(f"__has_{c}"))))
                 df = one if df is None else df.unionByName(one)
             has = {c: F.col(f"__has_{c}") for c in given}
@@ -218,11 +251,9 @@ class Insert(Change):
         right = new.select(F.struct("__n", *t.columns).alias("e"))
         both = left.join(right, [F.col(f"o.`{c}`") == F.col(f"e.`{c}`") for c in key], "full")
         excluded = Named("excluded", {n: c.type for n, c in t.columns.items()})
-        names = {("column", (t.table_name, n), ()): n for n in t.columns}
         wide = both.select("o", "e", *(F.col(f"o.`{n}`").alias(f"__old_{n}") for n in t.columns), *(F.col(f"e.`{n}`").alias(f"__new_{n}") for n in t.columns))
         done = {t.c[n].key: f"__old_{n}" for n in t.columns} | {excluded.c[n].key: f"__new_{n}" for n in t.columns}
         inner = Scope(args=scope.args, done=done)
-        del names
         hit = F.col("o").isNotNull() & F.col("e").isNotNull()
         change = hit if self.where_ is None else hit & F.coalesce(self.where_(excluded).lower(inner), F.lit(False))
         sets_ = {**{n: c.update_fn() for n, c in t.columns.items() if c.update_fn}, **self.set_(excluded)}

@@ -176,3 +176,25 @@ def test_log(db, caplog):
     done, failed = caplog.records[0], caplog.records[-1]
     assert done.query == "select from users" and done.duration_ms > 0 and done.levelname == "INFO"
     assert failed.levelname == "ERROR" and failed.query == "insert users"
+
+
+def test_all_types_round_trip(spark, tmp_path):
+    import datetime as dt
+    from decimal import Decimal
+
+    given = {
+        "a": (T.smallint(), 3), "b": (T.integer(), -4), "c": (T.bigint(), 2**40), "d": (T.numeric(10, 2), "12.345"), "e": (T.boolean(), False), "f": (T.text(), "é'\\"), "g": (T.char(4), "ab "), "h": (T.date(), dt.date(2024, 2, 29)), "i": (T.timestamp(), dt.datetime(2024, 1, 1, 12)),
+        "j": (T.time(), "12:30:00"), "k": (T.bytea(), b"\x00\xff"), "l": (T.json(), '{"a": null}'), "m": (T.integer().array(None, None), [[1, None], []]), "n": (T.vector(2), [1, 2.5]), "o": (T.point(), (1.5, -2.0)), "p": (T.bit(3), "010"), "q": (T.sparsevec(3), "{1:2.5}/3"), "r": (T.double(), 2),
+        "s": (T.inet(), "10.0.0.1"), "t": (T.linestring(), [(0.0, 0.0), (1.0, 2.0)]), "u": (T.jsonb(), {"x": [1, None]}),
+    }
+    t = s.Table("t", {n: c for n, (c, _) in given.items()})
+    e = s.Engine(spark, s.Store(spark, f"file://{tmp_path}/q"), [t])
+    e.insert(t).values([{n: v for n, (_, v) in given.items()}, {}]).execute()
+    rows = e.from_(t).select().order_by(s.asc(t.a)).df.drop("u").collect()
+    got = rows[0].asDict(True)
+    want = {n: v for n, (_, v) in given.items() if n != "u"} | {"d": Decimal("12.34"), "g": "ab", "k": bytearray(b"\x00\xff"), "n": [1.0, 2.5], "o": {"lon": 1.5, "lat": -2.0}, "r": 2.0, "t": [{"lon": 0.0, "lat": 0.0}, {"lon": 1.0, "lat": 2.0}]}
+    assert got == want and set(rows[1].asDict().values()) == {None}
+    assert e.frame(t).selectExpr("variant_get(u, '$.x[0]', 'int') AS x").where("x is not null").first().x == 1
+    for bad in ({"j": "noon"}, {"q": "1:2"}, {"p": "01"}, {"m": 3}, {"n": [1.0]}):
+        with pytest.raises(s.QueryError):
+            e.insert(t).values(bad).execute()
