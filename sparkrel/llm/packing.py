@@ -19,6 +19,7 @@ ignored; an empty table gives no piece.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
@@ -45,6 +46,18 @@ _IS_SPACE = np.zeros(256, bool)
 _IS_SPACE[9:14] = _IS_SPACE[32] = True
 
 
+class Known(dict):
+    """Ids by word; unknown words are noted and have no ids yet."""
+
+    def __init__(self):
+        super().__init__()
+        self.missing: list[bytes] = []
+
+    def __missing__(self, word: bytes) -> bytes:
+        self.missing.append(word)
+        return b""
+
+
 class WordEncoder:
     """Token ids of whole texts for a lower-casing word tokenizer whose tokens never cross ASCII white space.
 
@@ -60,7 +73,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.known = Known()
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -69,6 +82,15 @@ class WordEncoder:
 
     def encode(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
         """Ids of each text of a block."""
+        collects = gc.isenabled()
+        gc.disable()  # words and ids form no cycles, but the collector would look at all of them again and again
+        try:
+            return self._encode(data, starts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _encode(self, data: np.ndarray, starts: np.ndarray) -> list[bytes]:
         raw = data.tobytes()
         lower = np.frombuffer(raw.lower(), np.uint8)
         n = len(lower)
@@ -77,19 +99,25 @@ class WordEncoder:
             edge = np.zeros(n + 1, bool)
             edge[starts] = True
             stop = stop[(stop > 0) & ~edge[stop]]
-            stop = stop[_IS_ALNUM[lower[stop - 1]] & (edge[stop + 1] | _IS_SPACE[lower[np.minimum(stop + 1, n - 1)]])]
+            before, two = lower[stop - 1], lower[np.maximum(stop - 2, 0)]
+            latin = (two == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7)  # a letter of Latin-1
+            stop = stop[(_IS_ALNUM[before] | latin) & (edge[stop + 1] | _IS_SPACE[lower[np.minimum(stop + 1, n - 1)]])]
         spaced = np.insert(lower, stop, 32).tobytes()
         at = (starts + np.searchsorted(stop, starts)).tolist()
         split = [spaced[a:b].split() for a, b in zip(at, at[1:], strict=False)]
         known = self.known
         if len(known) > WORDS:
             known.clear()
-        found = [list(map(known.get, words)) for words in split]
-        part = [d for d, ids in enumerate(found) if None in ids]
-        self.learn({w for d in part for w, ids in zip(split[d], found[d], strict=True) if ids is None})
-        for d in part:
-            found[d] = map(known.__getitem__, split[d])
-        out = list(map(b"".join, found))
+        out, again = [], []
+        for d, words in enumerate(split):
+            n = len(known.missing)
+            out.append(b"".join(map(known.__getitem__, words)))
+            if len(known.missing) > n:
+                again.append(d)
+        self.learn(set(known.missing))
+        known.missing.clear()
+        for d in again:
+            out[d] = b"".join(map(known.__getitem__, split[d]))
         if b"<|" in raw:
             for d in range(len(out)):
                 text = raw[starts[d] : starts[d + 1]]
