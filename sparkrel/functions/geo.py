@@ -11,9 +11,11 @@ from __future__ import annotations
 from typing import Any
 
 import pandas as pd
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from ..expr import Expr, as_expr, require
+from ..ship import ship
 
 RADIUS = 6371008.8
 #: WGS 84: semi-major axis and flattening.
@@ -81,5 +83,9 @@ def vincenty(lon1: pd.Series, lat1: pd.Series, lon2: pd.Series, lat2: pd.Series)
 
 def geodesic_distance(column: Any, point: Any) -> Expr:
     """Metres between points, on the ellipsoid."""
-    fn = F.pandas_udf(vincenty, "double")
-    return _pair("geodesic", column, point, lambda a, b: fn(a.getField("lon"), a.getField("lat"), b.getField("lon"), b.getField("lat")))
+
+    def render(a, b):
+        ship(SparkSession.active())
+        return F.pandas_udf(vincenty, "double")(a.getField("lon"), a.getField("lat"), b.getField("lon"), b.getField("lat"))
+
+    return _pair("geodesic", column, point, render)
