@@ -8,7 +8,8 @@ at equal places. The consecutive windows of one anchor occurrence form a
 segment, and segments meet by their anchor's hash.
 
 * Segments with the same content are one class. All its occurrences but the
-  earliest go; this collapses copies, however many, before any text moves.
+  earliest go; this collapses copies, however many, before any text moves, and
+  within a task's stretch of documents before any row is shuffled.
 * An anchor with a single class is done. For the others, the classes' earliest
   segments are compared by a suffix array of their texts, in four-byte symbols
   aligned to the anchor: equal windows are neighbours in it, and all but the
@@ -165,15 +166,39 @@ PACK = 1 << 10
 SEGMENTS = "anchor long, content long, doc_id long, place long"
 #: An anchor's hash is cut to so many bits; where two anchors meet by that, their segments still differ.
 ANCHOR_BITS = 44
+#: Bytes of text within which a task drops copies of segments before the shuffle.
+STRETCH = 8 << 20
 SPANS = "doc_id long, lo long, hi long"
 
 
 def find_segments(length: int, anchor: int):
+    """Segments of a task's documents. Of those with one content in a stretch of documents only the earliest must meet others: the rest are marked (their anchors are negative, and any partition will do), so copies don't pile up at one anchor."""
+
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        size = 0
+
+        def stretch() -> pa.RecordBatch:
+            a, c, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            order = np.lexsort((place, doc, c, a))
+            a, c, doc, place = a[order], c[order], doc[order], place[order]
+            new = np.ones(len(a), bool)
+            new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
+            first = np.flatnonzero(new)[np.cumsum(new) - 1]
+            again = ~new & ((doc != doc[first]) | (place != place[first]))
+            spread = (mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.view(np.uint64)) >> np.uint64(20)).view(np.int64)
+            return pa.RecordBatch.from_arrays([pa.array(np.where(again, -1 - spread, a)), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(place)], names=["anchor", "content", "doc_id", "place"])
+
         for block in blocks(batches, max_bytes=1 << 19):
             for offset, data, starts, ids in pieces(block, length):
                 doc, lo, n, off, a, c = segments(data, starts, length, anchor)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64)), ids.take(pa.array(doc)), pa.array(((lo - starts[doc] + offset) * PACK + n) * PACK + off)], names=["anchor", "content", "doc_id", "place"])
+                held.append((a.view(np.int64), c.view(np.int64), ids.to_numpy()[doc], ((lo - starts[doc] + offset) * PACK + n) * PACK + off))
+                size += len(data)
+            if size > STRETCH:
+                yield stretch()
+                held, size = [], 0
+        if held:
+            yield stretch()
 
     return part
 
@@ -204,16 +229,17 @@ def collapse(length: int, classes: int):
         order = np.lexsort((place, doc, content, anchor))
         anchor, content, doc, place = anchor[order], content[order], doc[order], place[order]
         del order
+        marked = anchor < 0
         new_anchor = np.ones(len(anchor), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new = new_anchor.copy()
         new[1:] |= content[1:] != content[:-1]
         number = np.cumsum(new_anchor) - 1
         many = np.bincount(number, new).astype(np.int64)[number]
-        rest = new & (many > 1)
+        rest = new & (many > 1) & ~marked
         # Occurrences in the same place as the class's earliest one are the same document's: not earlier than each other.
         first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ((doc != doc[first]) | (place != place[first]))
+        again = ~new & ((doc != doc[first]) | (place != place[first])) | marked
         pick = again | rest
         kind = np.where(again, 0, np.where(many > classes, 2, 1))
         yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(place[pick])], names=["open", "anchor", "doc_id", "place"])
