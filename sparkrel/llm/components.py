@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import keep
+from .shared import bounded_batches, keep
 
 TASK_LINKS = 2_000_000
 
@@ -58,6 +58,7 @@ def contract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def components(links: DataFrame, task_links: int = TASK_LINKS) -> DataFrame:
     """(node, root) for every node of the links (two long columns, no nulls): root is the smallest node of its component."""
+    bounded_batches(links.sparkSession)
     a, b = links.columns
     links = keep(links.select(F.col(a).alias("a"), F.col(b).alias("b")), "links")
     n = links.count()

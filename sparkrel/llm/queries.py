@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, suffix_dedup, token_counts, toxicity, url_filter
 

@@ -13,6 +13,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..ship import ship
+
 KEY = "spark.checkpoint.dir"
 BATCH_KEY, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
@@ -29,7 +31,8 @@ def folder(spark: SparkSession) -> str:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Lowers the session's limit of bytes in an Arrow batch to a few MB: thousands of long texts at once are no worker's business."""
+    """Prepares a session for Python workers: sends them the package, and lowers the limit of bytes in an Arrow batch to a few MB (thousands of long texts at once are no worker's business)."""
+    ship(spark)
     have = str(spark.conf.get(BATCH_KEY)).rstrip("b")
     if not have.isdigit() or not 0 < int(have) <= BATCH_BYTES:
         spark.conf.set(BATCH_KEY, str(BATCH_BYTES))
