@@ -56,6 +56,8 @@ ENCODINGS = (
     ("base64", "^[A-Za-z0-9+/]+$", LOWER.upper() + LOWER + DIGITS + "+/"),
     ("base64url", "^[A-Za-z0-9_-]+$", LOWER.upper() + LOWER + DIGITS + "-_"),
 )
+SPANS = "array<struct<start: int, kind: int, end: int, token: string>>"
+RUN = 64
 GRID = 20  # steps of the p-value's decimal logarithm
 GRID_END = 300 * GRID
 
@@ -66,15 +68,25 @@ def placed(text: Column, pattern: str, name: int) -> Column:
 
     def spans(found: Column, between: Column) -> Column:
         lengths = F.zip_with(F.slice(between, 1, F.size(found)), found, lambda b, m: F.struct(F.length(b).alias("b"), F.length(m).alias("m"), m.alias("token")))
-        zero = F.struct(F.lit(0).alias("at"), F.expr("cast(array() as array<struct<start: int, kind: int, end: int, token: string>>)").alias("out"))
-        return F.aggregate(
-            lengths,
-            zero,
-            lambda a, x: F.struct((a.at + x.b + x.m).alias("at"), F.concat(a.out, F.array(F.struct((a.at + x.b).alias("start"), F.lit(name).alias("kind"), (a.at + x.b + x.m).alias("end"), x.token.alias("token")))).alias("out")),
-            lambda a: a.out,
+        none = F.expr(f"cast(array() as {SPANS})")
+
+        def run(at: Column, some: Column) -> Column:
+            """struct<at, out>: where these matches end, and their places, given where they begin."""
+            step = lambda a, x: F.struct((a.at + x.b + x.m).alias("at"), F.concat(a.out, F.array(F.struct((a.at + x.b).alias("start"), F.lit(name).alias("kind"), (a.at + x.b + x.m).alias("end"), x.token.alias("token")))).alias("out"))
+            return F.aggregate(some, F.struct(at.alias("at"), none.alias("out")), step)
+
+        # An array grows by copying, so matches are placed in runs and the runs joined.
+        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.slice(lengths, i * RUN + 1, RUN))
+        ends = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x.b + x.m)
+        joined = F.aggregate(
+            runs,
+            F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out")),
+            lambda a, some: F.struct((a.at + ends(some)).alias("at"), F.concat(a.out, F.array(run(a.at, some).getField("out"))).alias("out")),
+            lambda a: F.flatten(a.out),
         )
+        return F.when(F.size(found) <= RUN, run(F.lit(0), lengths).getField("out")).otherwise(joined)
 
-    return F.when(F.size(found) > 0, spans(found, F.split(text, pattern, -1))).otherwise(F.expr("cast(array() as array<struct<start: int, kind: int, end: int, token: string>>)"))
+    return F.when(F.size(found) > 0, spans(found, F.split(text, pattern, -1))).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
 def tail(z: Column) -> Column:
