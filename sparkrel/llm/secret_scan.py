@@ -75,16 +75,19 @@ def placed(text: Column, pattern: str, name: int) -> Column:
             step = lambda a, x: F.struct((a.at + x.b + x.m).alias("at"), F.concat(a.out, F.array(F.struct((a.at + x.b).alias("start"), F.lit(name).alias("kind"), (a.at + x.b + x.m).alias("end"), x.token.alias("token")))).alias("out"))
             return F.aggregate(some, F.struct(at.alias("at"), none.alias("out")), step)
 
-        # An array grows by copying, so matches are placed in runs and the runs joined.
-        runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / RUN).cast("int")), lambda i: F.slice(lengths, i * RUN + 1, RUN))
-        ends = lambda some: F.aggregate(some, F.lit(0), lambda a, x: a + x.b + x.m)
-        joined = F.aggregate(
-            runs,
-            F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out")),
-            lambda a, some: F.struct((a.at + ends(some)).alias("at"), F.concat(a.out, F.array(run(a.at, some).getField("out"))).alias("out")),
-            lambda a: F.flatten(a.out),
-        )
-        return F.when(F.size(found) <= RUN, run(F.lit(0), lengths).getField("out")).otherwise(joined)
+        def place(all_: Column) -> Column:
+            # An array grows by copying, so many matches are placed in runs and the runs joined.
+            runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, RUN))
+            joined = F.aggregate(
+                runs,
+                F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out")),
+                lambda a, some: F.struct((a.at + F.aggregate(some, F.lit(0), lambda n, x: n + x.b + x.m)).alias("at"), F.concat(a.out, F.array(run(a.at, some).getField("out"))).alias("out")),
+                lambda a: F.flatten(a.out),
+            )
+            return F.when(F.size(all_) <= RUN, run(F.lit(0), all_).getField("out")).otherwise(joined)
+
+        # A lambda's variable is evaluated once, however often it is used.
+        return F.element_at(F.transform(F.array(lengths), place), 1)
 
     return F.when(F.size(found) > 0, spans(found, F.split(text, pattern, -1))).otherwise(F.expr(f"cast(array() as {SPANS})"))
 

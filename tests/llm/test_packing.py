@@ -67,3 +67,12 @@ def test_round_trip(spark, odd_docs):
 
 def test_empty(no_docs):
     assert packing.pack(no_docs, PATH).count() == 0
+
+
+def test_word_encoder_forgets_and_remembers(monkeypatch):
+    monkeypatch.setattr(packing, "WORDS", 3)
+    e, t = packing.WordEncoder(PATH), Tokenizer.from_file(PATH)
+    for x in ["one two three four five", "two six", "one seven eight nine ten", "five two one", "six. one,"]:
+        data, starts = text_buffers(pa.array([x]))
+        assert np.frombuffer(e.encode(data, starts)[0], "<u4").tolist() == t.encode(x, add_special_tokens=False).ids
+        assert len(e.older) + len(e.known) <= 14
