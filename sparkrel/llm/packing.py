@@ -36,8 +36,8 @@ CAPACITY = 4096
 END_ID = 2
 #: Tokens that one salt of a class holds about; decides the number of salts.
 SALT_TOKENS = 1 << 27
-#: Words whose ids a worker remembers.
-WORDS = 900_000
+#: Words of one generation whose ids a worker remembers; the generation before it stays too.
+WORDS = 600_000
 
 
 _IS_ALNUM = np.zeros(256, bool)
@@ -74,6 +74,7 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known = Known()
+        self.older: dict[bytes, bytes] = {}
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
 
@@ -107,7 +108,8 @@ class WordEncoder:
         split = [spaced[a:b].split() for a, b in zip(at, at[1:], strict=False)]
         known = self.known
         if len(known) > WORDS:
-            known.clear()
+            self.older, self.known = known, Known()
+            known = self.known
         out, again = [], []
         for d, words in enumerate(split):
             n = len(known.missing)
@@ -128,6 +130,9 @@ class WordEncoder:
     def learn(self, new: set[bytes]) -> None:
         whole, rest = [], []
         for w in new:
+            if (ids := dict.get(self.older, w)) is not None:
+                self.known[w] = ids
+                continue
             (whole if (w if w.isascii() else w.decode()).isalpha() else rest).append(w)
         ids = self.ids(b" ".join(whole).decode())
         ends = np.flatnonzero(self.last[ids]) + 1
@@ -135,7 +140,7 @@ class WordEncoder:
             raw, cut = ids.tobytes(), (ends * 4).tolist()
             self.known.update(zip(whole, [raw[a:b] for a, b in zip([0, *cut], cut, strict=False)], strict=True))
         else:  # the tokenizer's Unicode tables differ from Python's
-            rest = new
+            rest += whole
         got = self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)
         self.known.update((w, np.array(g.ids, "<u4").tobytes()) for w, g in zip(rest, got, strict=True))
 
