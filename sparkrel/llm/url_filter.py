@@ -4,9 +4,10 @@ A url's host and path first meet the rules: the longest one that fits
 decides. Urls without a rule are judged by a template tree. Per host, paths
 become templates level by level: segments that look like numbers, hashes or
 identifiers turn into wildcards, so do segments that are too rare among many
-siblings, and branches whose labelled block rate does not differ from their
-parent's by a two-proportion test merge. Urls decided by a rule are the
-labels. A template is rejected when its block rate, smoothed first towards
+siblings without labels, and branches with labels whose block rate does not
+differ from their parent's by a two-proportion test merge. A branch without
+labels has no rate to test: it merges with no labelled one. Urls decided by a
+rule are the labels. A template is rejected when its block rate, smoothed first towards
 the same template's rate over all hosts and then towards the overall rate,
 reaches ``threshold``.
 
@@ -52,15 +53,15 @@ def _level(i: int, rare: int, z: float) -> list[tuple[str, str]]:
     up = ["host", *(f"t{k}" for k in range(1, i))]
     source, keys = f"{{u{i - 1}}}", ", ".join(up)
     on = lambda a, b: " AND ".join(f"{a}.{c} = {b}.{c}" for c in up)
-    rate = "pb * 1.0e0 / pl"
+    rate = "pb * 1.0e0 / nullif(pl, 0)"
     return [
         (f"b{i}", f"SELECT {keys}, g{i}, sum(n) AS bn, sum(nl) AS bl, sum(nb) AS bb FROM {source} GROUP BY {keys}, g{i}"),
-        (f"p{i}", f"SELECT {keys}, sum(bn) AS pn, sum(bl) AS pl, sum(bb) AS pb, count(*) AS kids FROM {{b{i}}} GROUP BY {keys}"),
+        (f"p{i}", f"SELECT {keys}, sum(bn) AS pn, sum(bl) AS pl, sum(bb) AS pb, count(*) AS kids, count(CASE WHEN bl > 0 THEN 1 END) AS told FROM {{b{i}}} GROUP BY {keys}"),
         (
             f"k{i}",
             f"""SELECT {', '.join(f'b.{c}' for c in up)}, g{i},
-      CASE WHEN kids > {rare} AND bn * {rare} < pn THEN '*'
-           WHEN bl = 0 OR bl = pl OR abs(bb * 1.0e0 / bl - {rate}) <= {z} * sqrt({rate} * (1 - {rate}) * (1.0e0 / bl - 1.0e0 / pl)) THEN CASE WHEN kids = 1 THEN g{i} ELSE '~' END
+      CASE WHEN bl = 0 THEN CASE WHEN kids > {rare} AND bn * {rare} < pn THEN '*' ELSE g{i} END
+           WHEN told > 1 AND abs(bb * 1.0e0 / bl - {rate}) <= {z} * sqrt({rate} * (1 - {rate}) * (1.0e0 / bl - 1.0e0 / pl)) THEN '~'
            ELSE g{i} END AS t{i}
     FROM {{b{i}}} b JOIN {{p{i}}} p ON {on('b', 'p')}""",
         ),
