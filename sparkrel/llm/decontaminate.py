@@ -11,7 +11,7 @@ with the pattern's. Only about one word in m-B+1 is looked up.
 The benchmark is the stated pattern set. Its patterns are read on the driver
 in parts of at most ``part_bytes`` of text, so what is broadcast is bounded;
 a larger benchmark is searched in several parts, each over all documents, and
-the parts' hits are merged per document.
+the parts' hits are merged per id and text.
 
 Defined results: a null or wordless text has no words and is never
 contaminated; a wordless or null item has no window; items with the same text
@@ -22,6 +22,7 @@ are ignored. An empty benchmark hits nothing.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -173,11 +174,11 @@ def benchmark_parts(items: DataFrame, id_col: str, text_col: str, part_bytes: in
         yield ids, texts
 
 
-OUT = "doc_id long, n_words long, runs array<struct<s: long, e: long>>, items array<string>"
+OUT = "doc_id long, digest binary, n_words long, runs array<struct<s: long, e: long>>, items array<string>"
 
 
 def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text", window: int = WINDOW, part_bytes: int = PART_BYTES) -> tuple[DataFrame, int]:
-    """One row for each document and benchmark part: words, hit runs of words, items with occurrences; and the number of parts."""
+    """One row for each document and benchmark part: a digest of the text, words, hit runs of words, items with occurrences; and the number of parts."""
     bounded_batches(spark)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     out, n = None, 0
@@ -192,11 +193,12 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str
                 yield pa.RecordBatch.from_arrays(
                     [
                         block.ids,
+                        pa.array([blake2b(block.data[a:b], digest_size=16).digest() for a, b in zip(block.starts[:-1].tolist(), block.starts[1:].tolist(), strict=True)], pa.binary()),
                         pa.array([x[1] for x in found], pa.int64()),
                         pa.array([[{"s": a, "e": b} for a, b in x[2]] for x in found], pa.list_(pa.struct([("s", pa.int64()), ("e", pa.int64())]))),
                         pa.array([sorted(names[i] for i in x[3]) for x in found], pa.list_(pa.string())),
                     ],
-                    names=["doc_id", "n_words", "runs", "items"],
+                    names=["doc_id", "digest", "n_words", "runs", "items"],
                 )
 
         return source.mapInArrow(part, OUT)
@@ -220,8 +222,8 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, sha
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated (n_hit > 0 and share * n_hit >= n_words), items."""
     found, parts = hits(spark, docs, items, **options)
     if parts > 1:
-        # Each part gives one row for every document row, so repeated rows stay repeated: they are numbered by content.
-        found = found.groupBy("doc_id", "n_words").agg(F.collect_list("runs").alias("all"), F.flatten(F.collect_list("items")).alias("items"), (F.count(F.lit(1)) / parts).cast("int").alias("copies"))
+        # Each part gives one row for every document row, so repeated rows stay repeated. Rows of one id and text are alike in each part.
+        found = found.groupBy("doc_id", "digest", "n_words").agg(F.collect_set("runs").alias("all"), F.flatten(F.collect_set("items")).alias("items"), (F.count(F.lit(1)) / parts).cast("int").alias("copies"))
         count = F.udf(merged, "long")
         found = found.select("doc_id", "n_words", count("all").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
     else:

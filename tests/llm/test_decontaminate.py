@@ -40,6 +40,14 @@ def test_against_brute_force(spark, odd_docs, part_bytes):
     assert sorted(map(tuple, got), key=str) == sorted(brute([tuple(r) for r in docs.collect()], ITEMS), key=str)
 
 
+@pytest.mark.parametrize("part_bytes", [1 << 20, 20])
+def test_rows_that_share_an_id_and_a_word_count_are_judged_singly(spark, part_bytes):
+    rows = [(i, t) for i in (None, 7) for t in ("short item one", "äpfel über alles", "three clean words", "three clean words", "Short item, one")] + [(None, None), (None, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = d.decontaminate(spark, docs, spark.createDataFrame(ITEMS, "item_id long, text string"), part_bytes=part_bytes).drop("items").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(brute(rows, ITEMS), key=str)
+
+
 def test_nothing_to_find(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "item_id long, text string")
     assert {r.n_hit for r in d.decontaminate(spark, odd_docs, none).collect()} == {0}
