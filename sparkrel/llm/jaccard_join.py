@@ -31,7 +31,8 @@ Defined results: a null text or one without words has the empty set and links
 with nothing; fewer than five words are one shingle; texts with equal sets
 link whatever their order; repeated rows give one result row each; extra
 columns are ignored; an empty table gives no row. Rows with a null id are
-compared like others and take the smallest id that is not null.
+compared like others and take the smallest id that is not null. Different
+texts under one id are compared each, and are not linked by the id.
 """
 
 from __future__ import annotations
@@ -334,18 +335,17 @@ def join_group(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[
 
 
 def verify(num: int, den: int):
-    """Links (a, b) between the representatives of one group's block pair, as stars."""
+    """Links (a, b) between the keys of one group's block pair, as stars."""
 
     def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
-        rep = table.column("rep").to_numpy()
-        rep, at = np.unique(rep, return_index=True)
+        keys, at = np.unique(table.column("key").to_numpy(), return_index=True)
         col = table.column("hashes").combine_chunks() if table.column("hashes").num_chunks != 1 else table.column("hashes").chunk(0)
         flat, offs = col.values.to_numpy().view(np.uint64), col.offsets.to_numpy()
         sets = [flat[offs[i] : offs[i + 1]] for i in at.tolist()]
         a, b = join_group(sets, num, den) if len(sets) > 1 else (np.zeros(0, np.int64),) * 2
         if len(a):
-            a, b = forest(rep[a], rep[b])
+            a, b = forest(keys[a], keys[b])
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return part
@@ -357,11 +357,17 @@ def full_sets(width: int):
             d, h = shingles(block, width)
             k1, _, n = set_keys(d, h, len(block))
             offsets = pa.array(np.concatenate([[0], np.cumsum(n)]).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([block.ids, pa.array(k1), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["rep", "key", "hashes"])
+            yield pa.RecordBatch.from_arrays([pa.array(k1), pa.ListArray.from_arrays(offsets, pa.array(h.view(np.int64)))], names=["key", "hashes"])
 
     return part
 
 
+def bounded(ids: DataFrame) -> DataFrame:
+    """ids, written once, for a semi join: broadcast up to BROADCAST_IDS."""
+    ids = keep(ids, "ids")
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids.hint("shuffle_hash")
+
+
 def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WIDTH, num: int = NUM, den: int = DEN, block: int = BLOCK, ranked: int = RANKED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per document: doc_id, n_shingles, component_id."""
     bounded_batches(spark)
@@ -387,18 +393,27 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WID
     pairs = keep(relisted.mapInArrow(references(num, den), "ref long, key long").distinct(), "pairs")
     members = pairs.union(pairs.select("ref", F.col("ref").alias("key")).distinct())
     sizes = pairs.groupBy("ref").agg((F.ceil((F.count(F.lit(1)) + 1) / block)).cast("int").alias("k"))
-    wanted = members.select("key").distinct().join(classes.select(F.col("k1").alias("key"), "rep"), "key").select(F.col("rep").alias("doc_id")).filter("doc_id is not null")
-    wanted = keep(wanted.distinct(), "wanted")
-    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_IDS else wanted.hint("shuffle_hash")
-    sets = keep(source.join(wanted, "doc_id", "left_semi").mapInArrow(full_sets(width), "rep long, key long, hashes array<long>"), "shingles")
+    wanted = keep(members.select("key").distinct().join(classes.select(F.col("k1").alias("key"), "rep"), "key"), "wanted")
+    sets_of = "key long, hashes array<long>"
+    named = bounded(wanted.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
+    sets = source.join(named, "doc_id", "left_semi").mapInArrow(full_sets(width), sets_of)
+    nameless = wanted.filter("rep is null").select("key")
+    if not nameless.isEmpty():
+        sets = sets.union(source.filter("doc_id is null").mapInArrow(full_sets(width), sets_of).join(bounded(nameless), "key", "left_semi").dropDuplicates(["key"]))
+    sets = keep(sets, "shingles")
 
     own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
     placed = members.join(sizes, "ref").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     placed = placed.select("ref", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = placed.join(sets, "key").select("ref", "i", "j", "rep", "hashes").groupBy("ref", "i", "j").applyInArrow(verify(num, den), "a long, b long")
+    links = placed.join(sets, "key").select("ref", "i", "j", "key", "hashes").groupBy("ref", "i", "j").applyInArrow(verify(num, den), "a long, b long")
     roots = components(links)
-    named = rows.join(classes.withColumnRenamed("n", "_n").hint("shuffle_merge"), (F.col("n") == F.col("_n")) & (rows.k1 == classes.k1) & (rows.k2 == classes.k2), "left").select("doc_id", "n", F.coalesce("rep", "doc_id").alias("rep"))
-    return named.join(roots.hint("shuffle_merge"), named.rep == roots.node, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("root", "rep").alias("component_id"))
+    # Components are of keys; the smallest id of any of its classes names one.
+    rooted = keep(classes.join(roots, classes.k1 == roots.node, "left").select("k1", "k2", F.col("n").alias("_n"), "rep", "root"), "rooted")
+    lowest = keep(rooted.filter("root is not null").groupBy("root").agg(F.min("rep").alias("low")), "lowest")
+    lowest = F.broadcast(lowest) if lowest.count() <= BROADCAST_IDS else lowest.hint("shuffle_merge")
+    named = rooted.join(lowest, "root", "left").select("k1", "k2", "_n", F.when(F.col("root").isNull(), F.col("rep")).otherwise(F.col("low")).alias("component_id"))
+    found = rows.join(named.hint("shuffle_merge"), (F.col("n") == F.col("_n")) & (rows.k1 == named.k1) & (rows.k2 == named.k2), "left")
+    return found.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
 
 
 def keep_one(spark: SparkSession, docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:

@@ -77,6 +77,23 @@ def test_against_brute_force(spark, odd_docs, block):
     assert len(got) == docs.count() and set(got) == want
 
 
+def test_links_through_null_and_shared_ids(spark):
+    def family(name, lo, hi):
+        """100 words, those before lo and from hi on altered; the shift between neighbours keeps only these similar."""
+        return " ".join(f"{name}{i}" if lo <= i < hi else f"{name}x{i}y{lo}y{hi}" for i in range(100))
+
+    rows = [(1, family("a", 8, 100)), (None, family("a", 0, 100)), (None, family("a", 0, 100)), (2, family("a", 0, 92))]
+    rows += [(9, family("b", 8, 100)), (7, family("b", 0, 100)), (3, family("c", 8, 100)), (7, family("c", 0, 100)), (5, family("c", 0, 92))]
+    rows += [(40, family("d", 8, 100)), (6, family("d", 0, 100)), (6, family("d", 0, 92)), (41, family("d", 0, 92) + " end"), (None, "alone without a name"), (None, None), (8, "")]
+    sets = [shingle_set(t) for _, t in rows]
+    roots = brute_sets(sets)
+    low = {r: min((i for (i, _), x in zip(rows, roots) if x == r and i is not None), default=None) for r in roots}
+    want = [(i, len(s), low[r]) for (i, _), s, r in zip(rows, sets, roots)]
+    got = [tuple(r) for r in j.jaccard_components(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert (2, 96, 1) in got and (5, 96, 3) in got and (9, 96, 7) in got
+
+
 def test_null_id_and_empty(spark, odd_docs, no_docs):
     assert j.jaccard_components(spark, no_docs).count() == 0
     assert j.jaccard_components(spark, odd_docs).count() == odd_docs.count()
