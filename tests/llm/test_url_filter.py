@@ -1,3 +1,9 @@
+import random
+import re
+from collections import defaultdict
+
+import pytest
+
 from sparkrel.llm import url_filter as u
 
 RULES = (("block", "net", "/es/"), ("block", "net", "/fr/"), ("allow", "net", "/it/"))
@@ -16,3 +22,109 @@ def test_branches_without_labels_are_not_merged_with_blocked_ones(spark):
     assert {url: r.verdict for url, r in got.items()} == said
     assert len({got[f"http://a.net/{x}/p"].template for x in ("es", "fr")}) == 1
     assert len({got[f"http://a.net/{x}/p"].template for x in ("es", "en", "de")}) == 3
+
+
+def general(seg):
+    if re.fullmatch(r"[0-9]+([.][A-Za-z]+)?", seg):
+        return "<n>"
+    if re.fullmatch(r"[0-9a-f]{16,}", seg):
+        return "<h>"
+    return "<i>" if re.search(r"[0-9]", seg) and len(seg) >= 8 else seg
+
+
+def parsed(url):
+    rest = (url or "").partition("://")[2]
+    cut = min([rest.index(c) for c in "/?#" if c in rest], default=len(rest))
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in rest[:cut])
+    return host, re.split("[?#]", rest[cut:])[0]
+
+
+def plain(urls, rules, rare, z, weight=4.0, threshold=0.5):
+    """(host, path, rule, verdict, template, purity) for each url, without SQL."""
+    rows = []
+    for url in urls:
+        host, path = parsed(url)
+        fit = [(h + p, v) for v, h, p in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        rule, said = max(fit, key=lambda x: len(x[0]), default=(None, None))
+        segs = (path.split("/", 3)[1:] + [""] * 3)[:3]
+        rows.append((host, path, rule, said, tuple(map(general, segs))))
+    token = {}
+
+    def split(group, up, i):
+        kids = defaultdict(list)
+        for row in group:
+            kids[row[4][i]].append(row[3])
+        labels = {g: [x for x in v if x] for g, v in kids.items()}
+        every = [x for v in labels.values() for x in v]
+        rate = every.count("block") / len(every) if every else 0
+        for g, v in kids.items():
+            mine = labels[g]
+            name = g
+            if not mine and len(kids) > rare and len(v) * rare < len(group):
+                name = "*"
+            elif mine and sum(map(bool, labels.values())) > 1:
+                bound = z * max(0, rate * (1 - rate) * (1 / len(mine) - 1 / len(every))) ** 0.5
+                name = "~" if abs(mine.count("block") / len(mine) - rate) <= bound else g
+            token[up, g] = name
+        below = defaultdict(list)
+        for row in group:
+            below[token[up, row[4][i]]].append(row)
+        for name, part in below.items():
+            if i < 2:
+                split(part, (*up, name), i + 1)
+
+    for host in {r[0] for r in rows}:
+        split([r for r in rows if r[0] == host], (host,), 0)
+    of = []
+    for host, *_, g in rows:
+        key = (host,)
+        for seg in g:
+            key = (*key, token[key, seg])
+        of.append(key)
+    said, shapes = defaultdict(list), defaultdict(list)
+    for key, row in zip(of, rows, strict=True):
+        if row[3]:
+            said[key].append(row[3] == "block")
+            shapes[key[1:]].append(row[3] == "block")
+    every = [x for v in said.values() for x in v]
+    overall = sum(every) / len(every) if every else 0
+    for key, (host, path, rule, v, _) in zip(of, rows, strict=True):
+        shape = (sum(shapes[key[1:]]) + weight * overall) / (len(shapes[key[1:]]) + weight)
+        purity = (sum(said[key]) + weight * shape) / (len(said[key]) + weight)
+        yield host, path, rule, v or ("block" if said[key] and purity >= threshold else "allow"), "/".join(("", *key[1:])), purity
+
+
+MIXED = (*RULES, ("block", "x.net", "/mix/bad/"), ("allow", "x.net", "/mix/good/"), ("block", "x.net", "/more/bad/"), ("block", "org", "/u/17/"))
+ODD = [None, "", "no scheme", "//a.net/es/", "HTTP://WWW.A.NET/es/x", "http://a.net/ES/x", "http://a.net", "http://a.net?q=/es/", "http://a.net/es/x?y#z", "http://a.net:80/es/", "ftp://b.net//es/", "http://net/fr/", "http://cabinet/fr/", "x://y://z/es/", "http://a.net/es", "http://é.net/es/ü", "http://a.net/es/x", "http://a.net/es/x"]
+
+
+def many(rng):
+    out = list(ODD)
+    for host in ("a.net", "x.net", "o.org"):
+        for _ in range(150):
+            first = rng.choice(["es", "fr", "it", "en", "de", "mix", "more", "u", rng.choice("abcdefghijklmnopqrstuvwxyz") * 2])
+            second = rng.choice(["bad", "good", "17", "18", "page.html", "0123456789abcdef01", "user12345", ""])
+            out.append(f"http://{host}/{first}/{second}" + rng.choice(["", "/", "/7.html", "/deep/er"]))
+    return out
+
+
+@pytest.mark.parametrize("rare", [16, 4])
+def test_against_plain_python(spark, rare):
+    urls = many(random.Random(4))
+    pages = spark.createDataFrame([(i, x, "h", "p", "r", 1, "block") for i, x in enumerate(urls)], "page_id long, url string, host string, path string, rule string, g1 int, verdict string")
+    got = sorted(u.judge(spark, pages, MIXED, rare=rare).collect())
+    want = list(plain(urls, MIXED, rare, 1.96))
+    assert [r.page_id for r in got] == list(range(len(urls)))
+    assert [tuple(r)[1:6] for r in got] == [w[:5] for w in want]
+    assert [r.purity for r in got] == pytest.approx([w[5] for w in want], abs=2e-6)
+    assert {"~", "*"} <= {x for r in got for x in r.template.split("/")}
+    assert any(r.rule is None and r.verdict == "block" for r in got)
+
+
+def test_empty_table_repeated_rows_and_no_rules(spark):
+    none = spark.createDataFrame([], "page_id long, url string")
+    assert u.judge(spark, none).count() == 0
+    twice = spark.createDataFrame([(1, "http://a.net/es/"), (1, "http://a.net/es/"), (None, "http://a.net/en/"), (None, None)], "page_id long, url string")
+    got = sorted((r.page_id or 0, r.verdict) for r in u.judge(spark, twice, RULES).collect())
+    assert got == [(0, "allow"), (0, "allow"), (1, "block"), (1, "block")]
+    assert {r.verdict for r in u.judge(spark, twice, (("block", "nowhere", "/"),)).collect()} == {"allow"}
