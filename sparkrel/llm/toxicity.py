@@ -52,7 +52,7 @@ from .shared import bounded_batches
 SPAN = 6
 DECAY = 0.7
 PIECE, STRIDE = 32, 16
-TRAIN_DOCS = 1200
+TRAIN_DOCS = 1500
 TRAIN_BYTES = 12_000
 LANDMARKS = 96
 FLOOR = -0.9
@@ -132,9 +132,11 @@ def folded(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(sum of the weights over each word's subsequences, a lower bound of its kernel norm)."""
     n = len(words.start)
     total, low = np.zeros(n), np.zeros(n)
-    for w, u, weight in subsequences(words.data, words.start, words.end):
-        total += weight * np.bincount(w, weights[u], n)
-        low += weight * weight * np.bincount(w, minlength=n)
+    for i in range(0, n, 10_000):
+        s = words.start[i : i + 10_000]
+        for w, u, weight in subsequences(words.data, s, words.end[i : i + 10_000]):
+            total[i : i + 10_000] += weight * np.bincount(w, weights[u], len(s))
+            low[i : i + 10_000] += weight * weight * np.bincount(w, minlength=len(s))
     return total, np.sqrt(low)
 
 

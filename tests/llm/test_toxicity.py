@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -87,3 +88,21 @@ def test_no_labels(spark, odd_docs, no_docs):
     none = spark.createDataFrame([], "doc_id long, toxic int")
     assert {r.predicted for r in t.toxicity(spark, odd_docs, none).collect()} == {0}
     assert t.toxicity(spark, no_docs, none).count() == 0
+
+
+def test_sample_holds_1500_documents_of_each_class(spark, monkeypatch):
+    docs = spark.range(4000).selectExpr("id as doc_id", "concat('text ', id) as text")
+    labels = spark.range(4000).selectExpr("id as doc_id", "cast(id % 2 as int) as toxic")
+    monkeypatch.setattr(t, "train", lambda texts, y, share: (len(texts), int(y.sum())))
+    assert t.fit(docs, labels) == (3000, 1500)
+
+
+def test_memory_of_folding_does_not_grow_with_the_sample():
+    rng = random.Random(2)
+    w = t.read_words(block([" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(120_000))]))
+    tracemalloc.start()
+    total, low = t.folded(w, np.ones(t.CODES))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(total) == len(w.start) > 100_000 and total[0] > low[0] > 0
+    assert peak < 20_000_000
