@@ -9,7 +9,7 @@ segment, and segments meet by their anchor's hash.
 
 * Segments with the same content are one class. All its occurrences but the
   earliest go; this collapses copies, however many, before any text moves, and
-  within a task's stretch of documents before any row is shuffled.
+  within a task, which remembers repeated contents, before any row is shuffled.
 * An anchor with a single class is done. For the others, the classes' earliest
   segments are compared by a suffix array of their texts, in four-byte symbols
   aligned to the anchor: equal windows are neighbours in it, and all but the
@@ -26,10 +26,13 @@ An anchor with more than ``classes`` classes sends each window by its own hash
 instead of its segment (the exact way for the rest).
 
 Defined results: a null or empty text has no bytes; shorter texts than a window
-lose nothing; rows with one doc_id count as one document's text each and
-aren't earlier than each other; a null id comes after all others; extra
-columns are ignored; an empty table gives no row. Matches never cross
-documents, and windows are judged on the input.
+lose nothing; a null id comes after all others; extra columns are ignored; an
+empty table gives no row. Matches never cross documents, and windows are
+judged on the input. Rows that share an id (or have none) are texts of one
+document: of equal windows in them the one at the smallest place is the
+earliest, and those at that same place all stay. Such rows are told apart by
+their texts' hashes, so each loses only its own bytes; rows alike in id and
+text are judged once and give a result each.
 """
 
 from __future__ import annotations
@@ -54,6 +57,8 @@ ARRAY_BYTES = 400_000
 SYMBOL_BYTES = 4
 BROADCAST_IDS = 1_000_000
 LAST_ID = (1 << 63) - 1
+#: Contents of repeated segments that a task remembers.
+SEEN = 200_000
 
 
 def suffix_array(text) -> list[int]:
@@ -163,38 +168,83 @@ def segments(data: np.ndarray, starts: np.ndarray, length: int, anchor: int) ->
 
 #: A segment's first window, number of windows and anchor's place in one number.
 PACK = 1 << 10
-SEGMENTS = "anchor long, content long, doc_id long, place long"
+SEGMENTS = "anchor long, content long, doc_id long, variant long, place long"
 #: An anchor's hash is cut to so many bits; where two anchors meet by that, their segments still differ.
 ANCHOR_BITS = 44
 #: Bytes of text within which a task drops copies of segments before the shuffle.
 STRETCH = 8 << 20
-SPANS = "doc_id long, lo long, hi long"
+SPANS = "doc_id long, variant long, lo long, hi long"
 
 
-def find_segments(length: int, anchor: int):
-    """Segments of a task's documents. Of those with one content in a stretch of documents only the earliest must meet others: the rest are marked (their anchors are negative, and any partition will do), so copies don't pile up at one anchor."""
+def names(ids: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
+    """doc_id and variant of documents."""
+    return ids.field(0).to_numpy(), ids.field(1).to_numpy()
+
+
+def after(doc: np.ndarray, place: np.ndarray, of_doc: np.ndarray, of_place: np.ndarray) -> np.ndarray:
+    """Whether segments stand after others."""
+    return (doc > of_doc) | ((doc == of_doc) & (place > of_place))
+
+
+class Remembered:
+    """A bounded number of repeated contents with an early segment of each, the latest ones met."""
+
+    def __init__(self, most: int = SEEN):
+        self.most = most
+        self.content = self.doc = self.place = np.zeros(0, np.int64)
+
+    def find(self, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(whether a content is remembered, its number)."""
+        if not len(self.content):
+            return np.zeros(len(content), bool), np.zeros(len(content), np.int64)
+        at = np.minimum(np.searchsorted(self.content, content), len(self.content) - 1)
+        return self.content[at] == content, at
+
+    def add(self, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+        """Remembers these distinct contents, in place of what is known of them."""
+        old = ~np.isin(self.content, content)
+        keep_old = np.flatnonzero(old)[: max(0, self.most - len(content))]
+        content, doc, place = (np.concatenate([new[: self.most], had[keep_old]]) for new, had in ((content, self.content), (doc, self.doc), (place, self.place)))
+        order = np.argsort(content)
+        self.content, self.doc, self.place = content[order], doc[order], place[order]
+
+
+def find_segments(length: int, anchor: int, stretch_bytes: int = STRETCH):
+    """Segments of a task's documents. Of those with one content only early ones must meet others: the rest are marked (their anchors are negative, and any partition will do), so copies don't pile up at one anchor."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         size = 0
+        known = Remembered()
 
         def stretch() -> pa.RecordBatch:
-            a, c, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+            a, c, doc, variant, place = (np.concatenate(x) for x in zip(*held, strict=True))
             order = np.lexsort((place, doc, c, a))
-            a, c, doc, place = a[order], c[order], doc[order], place[order]
+            a, c, doc, variant, place = a[order], c[order], doc[order], variant[order], place[order]
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
-            first = np.flatnonzero(new)[np.cumsum(new) - 1]
-            again = ~new & ((doc != doc[first]) | (place != place[first]))
+            at = np.flatnonzero(new)
+            group = np.cumsum(new) - 1
+            hit, number = known.find(c[at])
+            # A group's earliest segment is its own first one, or the remembered one.
+            early_doc, early_place = doc[at], place[at]
+            if hit.any():
+                old = hit.copy()
+                old[hit] = after(early_doc[hit], early_place[hit], known.doc[number[hit]], known.place[number[hit]])
+                early_doc, early_place = np.where(old, known.doc[number], early_doc), np.where(old, known.place[number], early_place)
+            again = after(doc, place, early_doc[group], early_place[group])
+            repeated = hit | (np.bincount(group, again, len(at)) > 0)
+            known.add(c[at][repeated], early_doc[repeated], early_place[repeated])
             spread = (mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.view(np.uint64)) >> np.uint64(20)).view(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.where(again, -1 - spread, a)), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(place)], names=["anchor", "content", "doc_id", "place"])
+            return pa.RecordBatch.from_arrays([pa.array(np.where(again, -1 - spread, a)), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(variant), pa.array(place)], names=["anchor", "content", "doc_id", "variant", "place"])
 
         for block in blocks(batches, max_bytes=1 << 19):
             for offset, data, starts, ids in pieces(block, length):
                 doc, lo, n, off, a, c = segments(data, starts, length, anchor)
-                held.append((a.view(np.int64), c.view(np.int64), ids.to_numpy()[doc], ((lo - starts[doc] + offset) * PACK + n) * PACK + off))
+                ids, variants = names(ids)
+                held.append((a.view(np.int64), c.view(np.int64), ids[doc], variants[doc], ((lo - starts[doc] + offset) * PACK + n) * PACK + off))
                 size += len(data)
-            if size > STRETCH:
+            if size > stretch_bytes:
                 yield stretch()
                 held, size = [], 0
         if held:
@@ -213,8 +263,8 @@ def pieces(block: Block, length: int, most: int = 1 << 20) -> Iterator[tuple[int
         yield at, data, np.array([0, len(data)]), block.ids
 
 
-def spans_batch(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(doc.astype(np.int64)), pa.array(lo.astype(np.int64)), pa.array(hi.astype(np.int64))], names=["doc_id", "lo", "hi"])
+def spans_batch(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c.astype(np.int64)) for c in columns], names=["doc_id", "variant", "lo", "hi"])
 
 
 def collapse(length: int, classes: int):
@@ -224,10 +274,10 @@ def collapse(length: int, classes: int):
         held = [tuple(c.to_numpy() for c in b.columns) for b in batches]
         if not held:
             return
-        anchor, content, doc, place = (np.concatenate(x) for x in zip(*held, strict=True))
+        anchor, content, doc, variant, place = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
         order = np.lexsort((place, doc, content, anchor))
-        anchor, content, doc, place = anchor[order], content[order], doc[order], place[order]
+        anchor, content, doc, variant, place = anchor[order], content[order], doc[order], variant[order], place[order]
         del order
         marked = anchor < 0
         new_anchor = np.ones(len(anchor), bool)
@@ -242,31 +292,30 @@ def collapse(length: int, classes: int):
         again = ~new & ((doc != doc[first]) | (place != place[first])) | marked
         pick = again | rest
         kind = np.where(again, 0, np.where(many > classes, 2, 1))
-        yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(place[pick])], names=["open", "anchor", "doc_id", "place"])
+        yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(variant[pick]), pa.array(place[pick])], names=["open", "anchor", "doc_id", "variant", "place"])
         release()
 
     return part
 
 
 def cut_texts(length: int):
-    """(anchor, doc_id, lo, off, text) for each segment (open, anchor, place) listed beside its document's text."""
+    """(anchor, doc_id, variant, lo, off, text) for each segment (open, anchor, place) listed beside its document's text."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, starts = text_buffers(batch.column(1))
+            data, starts = text_buffers(batch.column(2))
             out: list[tuple] = []
-            for d, (i, segs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True)):
+            for d, (i, v, segs) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True)):
                 raw = data[starts[d] : starts[d + 1]].tobytes()
                 for s in segs:
                     lo, n, off = s["place"] // PACK // PACK, s["place"] // PACK % PACK, s["place"] % PACK
                     if s["open"] == 1:
-                        out.append((s["anchor"], i, lo, off, raw[lo : lo + n - 1 + length]))
+                        out.append((s["anchor"], i, v, lo, off, raw[lo : lo + n - 1 + length]))
                     else:
-                        for at in range(lo, lo + n):
-                            w = raw[at : at + length]
-                            out.append((int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little", signed=True), i, at, 0, w))
-            cols = list(zip(*out, strict=True)) if out else [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*(pa.int64(),) * 4, pa.binary()), strict=True)], names=["anchor", "doc_id", "lo", "off", "text"])
+                        h, at = prefix_hash(data[starts[d] + lo : starts[d] + lo + n - 1 + length], BYTE_CODES), np.arange(n)
+                        out += [(k, i, v, lo + w, 0, raw[lo + w : lo + w + length]) for w, k in enumerate(span_hash(h, at, at + length).view(np.int64).tolist())]
+            cols = list(zip(*out, strict=True)) if out else [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (*(pa.int64(),) * 5, pa.binary()), strict=True)], names=["anchor", "doc_id", "variant", "lo", "off", "text"])
 
     return part
 
@@ -325,11 +374,11 @@ def compare(length: int, array_bytes: int):
     """Spans of the segments' windows that repeat an earlier one with the same anchor; several anchors share a suffix array."""
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_numpy(), b.column(3).to_numpy(), b.column(4).to_pylist()) for b in batches]
+        held = [(*(b.column(k).to_numpy() for k in range(5)), b.column(5).to_pylist()) for b in batches]
         if not held:
             return
-        anchor, doc, lo, off = (np.concatenate([h[k] for h in held]) for k in range(4))
-        texts = [t for h in held for t in h[4]]
+        anchor, doc, variant, lo, off = (np.concatenate([h[k] for h in held]) for k in range(5))
+        texts = [t for h in held for t in h[5]]
         order = np.argsort(anchor, kind="stable")
         change = np.flatnonzero(np.diff(anchor[order]) != 0) + 1
         groups = np.split(order, change) if len(order) else []
@@ -340,7 +389,7 @@ def compare(length: int, array_bytes: int):
             at = np.concatenate(pending)
             seg, place = repeats([texts[i] for i in at.tolist()], off[at], doc[at], lo[at], length)
             start = lo[at[seg]] + place
-            return merged_batch(doc[at[seg]], start, start + length)
+            return merged_batch(doc[at[seg]], variant[at[seg]], start, start + length)
 
         for g in groups:
             if len(g) < 2:
@@ -357,23 +406,18 @@ def compare(length: int, array_bytes: int):
     return part
 
 
-def merge(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Maximal runs of spans, by document."""
+def merged_batch(doc: np.ndarray, variant: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
+    """Maximal runs of spans, by text."""
     if not len(doc):
-        return doc, lo, hi
-    order = np.lexsort((lo, doc))
-    doc, lo, hi = doc[order], lo[order], hi[order]
-    number = np.cumsum(np.concatenate([[0], doc[1:] != doc[:-1]]))
-    # Documents are laid out one after another, far apart, so that one running maximum serves all.
+        return spans_batch(doc, variant, lo, hi)
+    order = np.lexsort((lo, variant, doc))
+    doc, variant, lo, hi = doc[order], variant[order], lo[order], hi[order]
+    number = np.cumsum(np.concatenate([[0], (doc[1:] != doc[:-1]) | (variant[1:] != variant[:-1])]))
+    # Texts are laid out one after another, far apart, so that one running maximum serves all.
     far = int(hi.max()) + 2
     top = np.maximum.accumulate(hi + number * far)
-    new = np.concatenate([[True], lo[1:] + number[1:] * far > top[:-1]])
-    at = np.flatnonzero(new)
-    return doc[at], lo[at], top[np.append(at[1:] - 1, len(doc) - 1)] - number[at] * far
-
-
-def merged_batch(doc: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> pa.RecordBatch:
-    return spans_batch(*merge(doc, lo, hi))
+    at = np.flatnonzero(np.concatenate([[True], lo[1:] + number[1:] * far > top[:-1]]))
+    return spans_batch(doc[at], variant[at], lo[at], top[np.append(at[1:] - 1, len(doc) - 1)] - number[at] * far)
 
 
 def merge_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -384,25 +428,40 @@ def merge_spans(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def repeated_spans(spark: SparkSession, source: DataFrame, *, length: int = LENGTH, anchor: int = ANCHOR, classes: int = CLASSES, array_bytes: int = ARRAY_BYTES) -> DataFrame:
-    """(doc_id, lo, hi): spans of bytes to remove; they may touch or overlap. source: doc_id (no nulls), text."""
-    rows = source.mapInArrow(find_segments(length, anchor), SEGMENTS).repartition("anchor")
-    found = keep(rows.mapInArrow(collapse(length, classes), "open int, anchor long, doc_id long, place long"), "segments")
+    """(doc_id, variant, lo, hi): spans of bytes to remove; they may touch or overlap. source: doc_id, variant (no nulls, unique together), text."""
+    rows = source.select(F.struct("doc_id", "variant").alias("id"), "text").mapInArrow(find_segments(length, anchor), SEGMENTS).repartition("anchor")
+    found = keep(rows.mapInArrow(collapse(length, classes), "open int, anchor long, doc_id long, variant long, place long"), "segments")
     lo, n = F.shiftright("place", 20), F.shiftright("place", 10).bitwiseAND(F.lit(PACK - 1))
-    whole = found.filter("open = 0").select("doc_id", lo.alias("lo"), (lo + n - 1 + length).alias("hi"))
-    wanted = found.filter("open > 0").groupBy("doc_id").agg(F.collect_list(F.struct("open", "anchor", "place")).alias("segs"))
-    texts = source.join(wanted.hint("shuffle_hash"), "doc_id").select("doc_id", "text", "segs").mapInArrow(cut_texts(length), "anchor long, doc_id long, lo long, off long, text binary")
+    whole = found.filter("open = 0").select("doc_id", "variant", lo.alias("lo"), (lo + n - 1 + length).alias("hi"))
+    wanted = found.filter("open > 0").groupBy("doc_id", "variant").agg(F.collect_list(F.struct("open", "anchor", "place")).alias("segs"))
+    texts = source.join(wanted.hint("shuffle_hash"), ["doc_id", "variant"]).select("doc_id", "variant", "text", "segs").mapInArrow(cut_texts(length), "anchor long, doc_id long, variant long, lo long, off long, text binary")
     compared = texts.repartition("anchor").mapInArrow(compare(length, array_bytes), SPANS)
     return whole.unionByName(compared)
 
 
+def told_apart(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Rows (named: the id as given; doc_id, variant, text) of docs, and the distinct ones among them. variant is 0 for an id of one row, else the hash of the text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("named"), F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    shared = keep(rows.groupBy("doc_id").count().filter("count > 1").select("doc_id", F.lit(True).alias("shared")), "shared-ids")
+    n = shared.count()
+    if not n:
+        rows = rows.withColumn("variant", F.lit(0).cast("long"))
+        return rows, rows
+    shared = F.broadcast(shared) if n <= BROADCAST_IDS else shared.hint("shuffle_hash")
+    text_hash = F.xxhash64("text")
+    rows = rows.join(shared, "doc_id", "left").withColumn("variant", F.when(F.col("shared"), F.when(text_hash == 0, 1).otherwise(text_hash)).otherwise(0).cast("long")).drop("shared")
+    once = rows.filter("variant = 0").unionByName(rows.filter("variant != 0").dropDuplicates(["doc_id", "variant"]))
+    return rows, once
+
+
 def deduplicate(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = False, **options) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256, and with keep_text the bytes kept."""
     if length >= PACK:
         raise ValueError(f"length is below {PACK}")
     bounded_batches(spark)
-    source = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST_ID)).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    spans = repeated_spans(spark, source, length=length, **options)
-    runs = keep(spans.repartition("doc_id").mapInArrow(merge_spans, SPANS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs")), "runs")
+    source, once = told_apart(docs, id_col, text_col)
+    spans = repeated_spans(spark, once, length=length, **options)
+    runs = keep(spans.repartition("doc_id", "variant").mapInArrow(merge_spans, SPANS).groupBy("doc_id", "variant").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("runs")), "runs")
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep_text
 
     def part(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -417,13 +476,13 @@ def deduplicate(spark: SparkSession, docs: DataFrame, *, length: int = LENGTH, i
                     removed += r["hi"] - r["lo"]
                     at = r["hi"]
                 rest = b"".join(kept) + text[at:]
-                row = (None if i == LAST_ID else i, len(text), removed, len(runs or ()), hashlib.sha256(rest).hexdigest())
+                row = (i, len(text), removed, len(runs or ()), hashlib.sha256(rest).hexdigest())
                 rows.append((*row, rest) if keep_text else row)
             cols = list(zip(*rows, strict=True)) if rows else [[]] * (5 + keep_text)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=False)], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"][: len(cols)])
 
-    joined = source.join(F.broadcast(runs) if is_small(runs) else runs.hint("shuffle_hash"), "doc_id", "left").select("doc_id", "text", "runs")
+    joined = source.join(F.broadcast(runs) if is_small(runs) else runs.hint("shuffle_hash"), ["doc_id", "variant"], "left").select("named", "text", "runs")
     return joined.mapInArrow(part, out)
 
 

@@ -27,7 +27,8 @@ def brute(rows, length):
     for i, text in sorted(rows, key=lambda r: (r[0] is None, r[0])):
         t = (text or "").encode()
         for p in range(len(t) - length + 1):
-            first.setdefault(t[p : p + length], (i is None, i, p))
+            k = t[p : p + length]
+            first[k] = min(first.get(k, (2,)), (i is None, i, p))
     out = []
     for i, text in rows:
         t = (text or "").encode()
@@ -58,6 +59,39 @@ def test_against_brute_force(spark, odd_docs, options):
     assert got == sorted(brute([tuple(r) for r in docs.collect()], options.get("length", 100)), key=str)
 
 
+def passages(rng, n):
+    return ["".join(rng.choice("abcdefghijklmnop ") for _ in range(140)) for _ in range(n)]
+
+
+def test_rows_that_share_an_id_lose_only_their_own_bytes(spark):
+    p = passages(random.Random(9), 8)
+    rows = [(1, p[0]), (None, p[0] + "x"), (None, p[1] + p[2]), (5, p[3]), (5, "y" + p[0]), (5, p[4] * 2), (5, p[4] * 2), (6, p[3] + p[5]), (None, None), (None, ""), (None, p[1] + p[2]), (1 << 62, p[5] + p[6]), (None, p[6] + p[7])]
+    rows += [(7, p[7]), (7, p[7] + "tail"), (7, "head" + p[7])]
+    got = [tuple(r) for r in s.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 100), key=str)
+    assert (None, 280, 0, 0) in {r[:4] for r in got} and (7, 140, 0, 0) in {r[:4] for r in got}
+
+
+def test_many_rows_share_ids(spark):
+    rng = random.Random(8)
+    p = passages(rng, 12)
+    rows = [(rng.choice([None, None, 1, 2, 3, rng.randrange(50)]), "".join(rng.sample(p, rng.randrange(1, 4)))[rng.randrange(60) :]) for _ in range(150)]
+    rows += rng.choices(rows, k=30)
+    got = [tuple(r) for r in s.deduplicate(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()]
+    assert sorted(got, key=str) == sorted(brute(rows, 100), key=str)
+
+
+def test_a_task_remembers_repeated_contents():
+    import pyarrow as pa
+
+    p = passages(random.Random(3), 30)
+    texts = [p[k % 3] + p[3 + k % 27] for k in range(300)]
+    ids = pa.StructArray.from_arrays([pa.array(range(300), pa.int64()), pa.array([0] * 300, pa.int64())], names=["doc_id", "variant"])
+    batches = [pa.RecordBatch.from_arrays([ids.slice(k, 10), pa.array(texts[k : k + 10])], names=["id", "text"]) for k in range(0, 300, 10)]
+    sent = {size: sum(int((b.column(0).to_numpy() >= 0).sum()) for b in s.find_segments(100, 32, size)(iter(batches))) for size in (1000, 1 << 20)}
+    assert sent[1000] <= 2 * sent[1 << 20]  # remembering contents across stretches is nearly as good as one stretch
+
+
 def test_pieces_cover_all_windows():
     from sparkrel.llm.blocks import Block
 
