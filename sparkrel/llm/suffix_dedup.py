@@ -28,11 +28,9 @@ instead of its segment (the exact way for the rest).
 Defined results: a null or empty text has no bytes; shorter texts than a window
 lose nothing; a null id comes after all others; extra columns are ignored; an
 empty table gives no row. Matches never cross documents, and windows are
-judged on the input. Rows that share an id (or have none) are texts of one
-document: of equal windows in them the one at the smallest place is the
-earliest, and those at that same place all stay. Such rows are told apart by
-their texts' hashes, so each loses only its own bytes; rows alike in id and
-text are judged once and give a result each.
+judged on the input. Different texts under one id, or without one, are
+documents of their own that follow each other by the hashes of their texts;
+rows alike in id and text are judged once and give a result each.
 """
 
 from __future__ import annotations
@@ -181,32 +179,33 @@ def names(ids: pa.StructArray) -> tuple[np.ndarray, np.ndarray]:
     return ids.field(0).to_numpy(), ids.field(1).to_numpy()
 
 
-def after(doc: np.ndarray, place: np.ndarray, of_doc: np.ndarray, of_place: np.ndarray) -> np.ndarray:
-    """Whether segments stand after others."""
-    return (doc > of_doc) | ((doc == of_doc) & (place > of_place))
+def after(x: tuple[np.ndarray, ...], y: tuple[np.ndarray, ...]) -> np.ndarray:
+    """Whether segments (doc_id, variant, place) stand after others."""
+    return (x[0] > y[0]) | (x[0] == y[0]) & ((x[1] > y[1]) | (x[1] == y[1]) & (x[2] > y[2]))
 
 
 class Remembered:
-    """A bounded number of repeated contents with an early segment of each, the latest ones met."""
+    """A bounded number of repeated contents with an early segment (doc_id, variant, place) of each, the latest ones met."""
 
     def __init__(self, most: int = SEEN):
         self.most = most
-        self.content = self.doc = self.place = np.zeros(0, np.int64)
+        self.content = np.zeros(0, np.int64)
+        self.early = (self.content,) * 3
 
-    def find(self, content: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(whether a content is remembered, its number)."""
+    def find(self, content: np.ndarray) -> tuple[np.ndarray, tuple[np.ndarray, ...]]:
+        """(whether a content is remembered, its early segment)."""
         if not len(self.content):
-            return np.zeros(len(content), bool), np.zeros(len(content), np.int64)
+            return np.zeros(len(content), bool), (np.zeros(len(content), np.int64),) * 3
         at = np.minimum(np.searchsorted(self.content, content), len(self.content) - 1)
-        return self.content[at] == content, at
+        return self.content[at] == content, tuple(x[at] for x in self.early)
 
-    def add(self, content: np.ndarray, doc: np.ndarray, place: np.ndarray) -> None:
+    def add(self, content: np.ndarray, early: tuple[np.ndarray, ...]) -> None:
         """Remembers these distinct contents, in place of what is known of them."""
-        old = ~np.isin(self.content, content)
-        keep_old = np.flatnonzero(old)[: max(0, self.most - len(content))]
-        content, doc, place = (np.concatenate([new[: self.most], had[keep_old]]) for new, had in ((content, self.content), (doc, self.doc), (place, self.place)))
-        order = np.argsort(content)
-        self.content, self.doc, self.place = content[order], doc[order], place[order]
+        keep_old = np.flatnonzero(~np.isin(self.content, content))[: max(0, self.most - len(content))]
+        joined = np.concatenate([content[: self.most], self.content[keep_old]])
+        order = np.argsort(joined)
+        self.content = joined[order]
+        self.early = tuple(np.concatenate([x[: self.most], y[keep_old]])[order] for x, y in zip(early, self.early, strict=True))
 
 
 def find_segments(length: int, anchor: int, stretch_bytes: int = STRETCH):
@@ -219,22 +218,20 @@ def find_segments(length: int, anchor: int, stretch_bytes: int = STRETCH):
 
         def stretch() -> pa.RecordBatch:
             a, c, doc, variant, place = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((place, doc, c, a))
-            a, c, doc, variant, place = a[order], c[order], doc[order], variant[order], place[order]
+            order = np.lexsort((place, variant, doc, c, a))
+            a, c, *where = (x[order] for x in (a, c, doc, variant, place))
             new = np.ones(len(a), bool)
             new[1:] = (a[1:] != a[:-1]) | (c[1:] != c[:-1])
             at = np.flatnonzero(new)
             group = np.cumsum(new) - 1
-            hit, number = known.find(c[at])
             # A group's earliest segment is its own first one, or the remembered one.
-            early_doc, early_place = doc[at], place[at]
-            if hit.any():
-                old = hit.copy()
-                old[hit] = after(early_doc[hit], early_place[hit], known.doc[number[hit]], known.place[number[hit]])
-                early_doc, early_place = np.where(old, known.doc[number], early_doc), np.where(old, known.place[number], early_place)
-            again = after(doc, place, early_doc[group], early_place[group])
+            hit, old = known.find(c[at])
+            own = tuple(x[at] for x in where)
+            early = tuple(np.where(hit & after(own, old), x, y) for x, y in zip(old, own, strict=True))
+            again = after(where, tuple(x[group] for x in early))
             repeated = hit | (np.bincount(group, again, len(at)) > 0)
-            known.add(c[at][repeated], early_doc[repeated], early_place[repeated])
+            known.add(c[at][repeated], tuple(x[repeated] for x in early))
+            doc, variant, place = where
             spread = (mix64(doc.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) ^ place.view(np.uint64)) >> np.uint64(20)).view(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.where(again, -1 - spread, a)), pa.array(np.where(again, 0, c)), pa.array(doc), pa.array(variant), pa.array(place)], names=["anchor", "content", "doc_id", "variant", "place"])
 
@@ -276,7 +273,7 @@ def collapse(length: int, classes: int):
             return
         anchor, content, doc, variant, place = (np.concatenate(x) for x in zip(*held, strict=True))
         del held
-        order = np.lexsort((place, doc, content, anchor))
+        order = np.lexsort((place, variant, doc, content, anchor))
         anchor, content, doc, variant, place = anchor[order], content[order], doc[order], variant[order], place[order]
         del order
         marked = anchor < 0
@@ -287,9 +284,7 @@ def collapse(length: int, classes: int):
         number = np.cumsum(new_anchor) - 1
         many = np.bincount(number, new).astype(np.int64)[number]
         rest = new & (many > 1) & ~marked
-        # Occurrences in the same place as the class's earliest one are the same document's: not earlier than each other.
-        first = np.flatnonzero(new)[np.cumsum(new) - 1]
-        again = ~new & ((doc != doc[first]) | (place != place[first])) | marked
+        again = ~new | marked
         pick = again | rest
         kind = np.where(again, 0, np.where(many > classes, 2, 1))
         yield pa.RecordBatch.from_arrays([pa.array(kind[pick].astype(np.int32)), pa.array(anchor[pick]), pa.array(doc[pick]), pa.array(variant[pick]), pa.array(place[pick])], names=["open", "anchor", "doc_id", "variant", "place"])
@@ -320,7 +315,7 @@ def cut_texts(length: int):
     return part
 
 
-def repeats(texts: list[bytes], off: np.ndarray, doc: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+def repeats(texts: list[bytes], off: np.ndarray, doc: np.ndarray, variant: np.ndarray, lo: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     """(segment, place in it) of every window that an earlier one of these segments equals.
 
     off: where a segment's anchor stands. Equal windows hold their anchor at
@@ -360,13 +355,11 @@ def repeats(texts: list[bytes], off: np.ndarray, doc: np.ndarray, lo: np.ndarray
         rest = np.zeros(len(r), np.uint64)
         for k in [*range(head), *range(head + whole * SYMBOL_BYTES, length)]:
             rest = (rest << np.uint64(8)) | data[base[g] + start + k]
-        order = np.lexsort((lo[g] + start, doc[g], rest, r))
+        order = np.lexsort((lo[g] + start, variant[g], doc[g], rest, r))
         r, g, start, rest = r[order], g[order], start[order], rest[order]
         new = np.ones(len(r), bool)
         new[1:] = (r[1:] != r[:-1]) | (rest[1:] != rest[:-1])
-        earliest = np.flatnonzero(new)[np.cumsum(new) - 1]
-        later = (doc[g] != doc[g[earliest]]) | (lo[g] + start != lo[g[earliest]] + start[earliest])
-        out.append((g[later], start[later]))
+        out.append((g[~new], start[~new]))
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
@@ -387,7 +380,7 @@ def compare(length: int, array_bytes: int):
 
         def flush() -> pa.RecordBatch:
             at = np.concatenate(pending)
-            seg, place = repeats([texts[i] for i in at.tolist()], off[at], doc[at], lo[at], length)
+            seg, place = repeats([texts[i] for i in at.tolist()], off[at], doc[at], variant[at], lo[at], length)
             start = lo[at[seg]] + place
             return merged_batch(doc[at[seg]], variant[at[seg]], start, start + length)
 
