@@ -29,6 +29,8 @@ empty table gives no row.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -77,21 +79,38 @@ def placed(text: Column, pattern: str, name: int) -> Column:
 
         def place(all_: Column) -> Column:
             # An array grows by copying, so many matches are placed in runs and the runs joined.
-            runs = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_) - 1) / RUN).cast("int")), lambda i: F.slice(all_, i * RUN + 1, RUN))
             joined = F.aggregate(
-                runs,
+                runs_of(all_, F.lit(RUN)),
                 F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPANS}>)").alias("out")),
                 lambda a, some: F.struct((a.at + F.aggregate(some, F.lit(0), lambda n, x: n + x.b + x.m)).alias("at"), F.concat(a.out, F.array(run(a.at, some).getField("out"))).alias("out")),
                 lambda a: F.flatten(a.out),
             )
             return F.when(F.size(all_) <= RUN, run(F.lit(0), all_).getField("out")).otherwise(joined)
 
-        # A lambda's variable is evaluated once, however often it is used.
-        return F.element_at(F.transform(F.array(lengths), place), 1)
+        return once(lengths, place)
 
     return F.when(F.size(found) > 0, spans(found, F.split(text, pattern, -1))).otherwise(F.expr(f"cast(array() as {SPANS})"))
 
 
+def once(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value): a lambda's variable is evaluated once, however often f uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
+def runs_of(spans: Column, size: Column) -> Column:
+    """A sorted array of spans in pieces of some size."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(spans) - 1) / size).cast("int")), lambda i: F.slice(spans, i * size + 1, size))
+
+
+def apart(tokens: Column, base: Column) -> Column:
+    """Tokens that overlap no base span. Many base spans are looked up by the hulls of their runs."""
+    meets = lambda t, b: (b.start < t.end) & (t.start < b.end)
+    few = F.filter(tokens, lambda t: ~F.exists(base, lambda b: meets(t, b)))
+    hulls = F.transform(runs_of(base, F.ceil(F.sqrt(F.size(base))).cast("int")), lambda r: F.struct(F.element_at(r, 1).start.alias("start"), F.array_max(F.transform(r, lambda b: b.end)).alias("end"), r.alias("spans")))
+    many = once(hulls, lambda h: F.filter(tokens, lambda t: ~F.exists(h, lambda r: meets(t, r) & F.exists(r.spans, lambda b: meets(t, b)))))
+    return F.when(F.size(base) <= RUN, few).otherwise(many)
+
+
 def tail(z: Column) -> Column:
     """Upper tail of the standard normal distribution, within a few per cent everywhere."""
     core = 1 / (1 + F.exp(1.5976 * z + 0.07056 * z * z * z))
@@ -113,7 +132,7 @@ def battery(t: Column) -> Column:
     """The battery's p-value for a struct of tested()."""
     alphabet = F.element_at(F.array(*(F.lit(a) for _, _, a in ENCODINGS)), t.encoding + 1)
     token = F.when(t.encoding == 0, F.lower(t.token)).otherwise(t.token)
-    places = F.transform(F.sequence(F.lit(1), t.n), lambda i: F.instr(alphabet, F.substring(token, i, F.lit(1))) - 1)
+    places = F.transform(F.split(token, ""), lambda x: F.instr(alphabet, x) - 1)
     return F.aggregate(F.array(F.struct(places.alias("x"), F.length(alphabet).cast("double").alias("q"), t.n.cast("double").alias("n"))), F.lit(0.0), lambda _, s: _p_value(s.x, s.q, s.n))
 
 
@@ -145,8 +164,7 @@ def scan(docs: DataFrame, *, alpha: float = 0.05, id_col: str = "doc_id", text_c
     value = lambda s: F.length(F.regexp_extract(s.token, ASSIGN, 2)) >= 6
     plain = lambda c: F.transform(c, lambda s: F.struct(s.start.alias("start"), s.kind.alias("kind"), s.end.alias("end")))
     d = d.select("doc_id", *kept, F.array_sort(F.concat(plain(F.filter("_assign", value)), plain(F.col("_access")), plain(F.col("_hex")))).alias("_base"), F.filter(F.transform("_token", tested), lambda t: t.encoding.isNotNull()).alias("_tested"))
-    apart = lambda t: ~F.exists("_base", lambda b: (b.start < t.end) & (t.start < b.end))
-    d = d.withColumn("_tested", F.filter("_tested", apart))
+    d = d.withColumn("_tested", apart(F.col("_tested"), F.col("_base")))
     judged = lambda t: F.struct(t.start.alias("start"), t.end.alias("end"), (t.encoding * 64 + F.floor(F.log2(t.n.cast("double"))).cast("int")).alias("stratum"), F.least(F.lit(GRID_END), F.floor(-GRID * F.log10(battery(t) + F.lit(1e-300)))).cast("int").alias("grid"))
     d = keep(d.withColumn("_tested", F.transform("_tested", judged)), "secrets")
     counts = d.select(F.explode("_tested").alias("t")).groupBy("t.stratum", "t.grid").agg(F.count(F.lit(1)).alias("n"))
@@ -181,14 +199,29 @@ def digest(found: DataFrame) -> DataFrame:
     return found.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(named(F.col("_base")), 256).alias("base_sha256"), named(F.col("found")).alias("spans"))
 
 
+def covered(text: Column, spans: Column, mark: str) -> Column:
+    """text with a mark for each group of overlapping spans (sorted). Runs of spans are cut from a piece of text each, so many spans cost no more than a few passes over the text."""
+
+    def run(piece: Column, at: Column, some: Column) -> Column:
+        """The piece of text from at to the last end of some spans, covered."""
+        step = lambda a, s: F.when(s.start >= a.at, F.struct(F.concat(a.out, F.substring(piece, a.at - at + 1, s.start - a.at), F.lit(mark)).alias("out"), s.end.alias("at"))).otherwise(F.struct(a.out.alias("out"), F.greatest(a.at, s.end).alias("at")))
+        return F.aggregate(some, F.struct(F.lit("").alias("out"), at.alias("at")), step, lambda a: a.out)
+
+    def step(a: Column, some: Column) -> Column:
+        end = F.greatest(a.at, F.array_max(F.transform(some, lambda s: s.end)))
+        return F.struct(F.concat(a.out, F.array(once(F.substring(text, a.at + 1, end - a.at), lambda piece: run(piece, a.at, some)))).alias("out"), end.alias("at"))
+
+    begin = F.struct(F.expr("cast(array() as array<string>)").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(runs_of(spans, F.lit(RUN)), begin, step, lambda a: F.concat(F.array_join(a.out, ""), F.substring(text, a.at + 1, F.length(text))))
+
+
 def redact(docs: DataFrame, *, mark: str = "[SECRET]", text_col: str = "text", **options) -> DataFrame:
     """docs with every span of text_col replaced by a mark; overlapping spans share one. Other columns and other rows stay as they are."""
     found = scan(docs, text_col=text_col, carry=True, **options)
     text = F.col("_row").getField(text_col).cast("string")
-    step = lambda a, s: F.when(s.start >= a.at, F.struct(F.concat(a.out, F.substring(text, a.at + 1, s.start - a.at), F.lit(mark)).alias("out"), s.end.alias("at"))).otherwise(F.struct(a.out.alias("out"), F.greatest(a.at, s.end).alias("at")))
-    clean = F.aggregate("found", F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, lambda a: F.concat(a.out, F.substring(text, a.at + 1, F.length(text))))
-    column = lambda n: F.when(F.size("found") > 0, clean).otherwise(text) if n == text_col else F.col("_row").getField(n)
-    return found.select(*(column(n).alias(n) for n in docs.columns))
+    clean = F.when(F.size("found") > 0, once(text, lambda t: covered(t, F.col("found"), mark))).otherwise(text)
+    done = found.select("_row", clean.alias("_clean"))  # apart from the given names, which may be any
+    return done.select(*((F.col("_clean") if n == text_col else F.col("_row").getField(n)).alias(n) for n in docs.columns))
 
 
 def sql(alpha: float = 0.05) -> str:

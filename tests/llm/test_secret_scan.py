@@ -2,6 +2,7 @@ import hashlib
 import math
 import random
 import re
+import time
 
 from sparkrel.llm import secret_scan as s
 
@@ -96,3 +97,31 @@ def test_sql_gives_the_same(spark):
     want = con.execute(s.sql()).fetchall()
     got = s.digest(s.scan(spark.createDataFrame([*rows, (99999, None)], "doc_id long, text string"))).collect()
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+def plain_redact(text, spans):
+    out, at = [], 0
+    for a, e in spans:
+        if a >= at:
+            out += [text[at:a], "[SECRET]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_long_tokens_and_many_secrets_take_time_in_proportion(spark):
+    rng = random.Random(2)
+    blob = "".join(rng.choices(s.ENCODINGS[4][2], k=1_000_000))
+    many = " ".join(f"é{k} token={k:07d} " + "".join(rng.choices("0123456789abcdef", k=30)) + (f" {blob[k : k + 40]}" if k % 5 == 0 else "") for k in range(25_000))
+    crossing = "password=" + "=".join(f"token{k}" for k in range(200)) + " " + " ".join("0123456789abcdef" * 2 + f"/token=abcdef{k}" for k in range(300))
+    df = spark.createDataFrame([(1, blob), (2, many), (3, crossing)], "doc_id long, text string")
+    began = time.monotonic()
+    got = {r.doc_id: r for r in s.digest(s.scan(df)).collect()}
+    clean = {r.doc_id: r.text for r in s.redact(df).collect()}
+    took = time.monotonic() - began
+    assert got[1].spans == "random:0:1000000" and clean[1] == "[SECRET]"
+    assert (got[2].n_assign, got[2].n_hex) == (25_000, 25_000)
+    for i, text in ((2, many), (3, crossing)):
+        spans = [x.split(":") for x in got[i].spans.split(",")]
+        assert [(int(a), s.KINDS.index(k), int(e)) for k, a, e in spans if k != "random"] == base(text)
+        assert clean[i] == plain_redact(text, [(int(a), int(e)) for _, a, e in spans])
+    assert took < 120  # a second or two of a quiet machine; quadratic ways take many minutes
