@@ -24,3 +24,23 @@ def test_every_shard_fits_and_only_full_buckets_split(spark, odd_docs):
 
 def test_empty(no_docs):
     assert sharding.shards(no_docs).count() == 0
+
+
+def test_names_depend_on_the_documents_alone_and_sql_gives_the_same(spark):
+    import duckdb
+
+    rows = [(k, f"{k} " * (1 + k * 7 % 90) if k % 11 else None) for k in range(400)] + [(None, "x" * 3000), (None, "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted((tuple(r) for r in sharding.shards(docs.repartition(7), limit=700).collect()), key=str)
+    assert got == sorted((tuple(r) for r in sharding.shards(docs.coalesce(1), limit=700, step=10).collect()), key=str)
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == sorted(con.execute(sharding.sql(700)).fetchall(), key=str)
+    assert len({r[2] for r in got}) > 50 and {r[3] for r in got if not r[6]} >= {6, 7}
+
+
+def test_a_hot_group_of_equal_rows_splits_by_row(spark):
+    docs = spark.createDataFrame([(None, "z" * 50)] * 300 + [(1, "a")], "doc_id long, text string")
+    rows = sharding.shards(docs, limit=200).collect()
+    assert len(rows) == 301 and max(r.shard_bytes for r in rows) <= 200 and not any(r.oversize for r in rows)
