@@ -4,34 +4,35 @@ The kernel of two words is the gap-weighted subsequence kernel: it sums, over
 all subsequences of three symbols that span at most six, the product of their
 weights ``DECAY ** gaps`` in either word, and is normalised to k(w, w) = 1. An
 insult with inserted or missing characters, or with an unseen ending, keeps
-most of its subsequences. Symbols are a-z (A-Z alike), one for digits and 36
-for the bytes of other letters; what else stands in a word only widens gaps.
-The machine's kernel is the fourth power of this one. Words are the texts' runs
+most of its subsequences. Symbols are one for a word's beginning, a-z (A-Z
+alike), one for digits and 35 for the bytes of other letters; what else stands
+in a word only widens gaps, or before its first letter nothing.
+The machine's kernel is the eighth power of this one. Words are the texts' runs
 of non-space characters; longer ones are read in overlapping pieces, and runs
 of single-character words (spelt-out insults) are also read as one word.
 
-Training is multiple-instance: a labelled document's sentences are its bags of
-words. Landmarks are words whose presence goes with the label, thinned by the
+Training is multiple-instance: a labelled document is a bag of words. Landmarks are words whose presence goes with the label, thinned by the
 kernel, and frequent words of clean documents. A word's features are its
 kernel values with the landmarks times the inverse square root of the
 landmarks' own kernel matrix (Nystroem), so a linear machine on them is a
 kernel machine. The first positives are words that go with the label beyond
-chance; then, in turn, the best word of every toxic sentence joins if the
-machine accepts it and no clean document has it, the best words of clean
-sentences join as hard negatives, and the squared-hinge problem is solved by
+chance; then, in turn, the two best words of every toxic document join if the
+machine accepts them and they go with the label, the second-best words of clean
+documents join as hard negatives, and the squared-hinge problem is solved by
 Newton steps. A document's margin is the
-mean of its two best words', turned into a probability by a logistic fit.
+mean of its two best words' (margins count up to ``CEILING``), turned into a
+probability by a logistic fit.
 
-A word whose kernel with every toxic landmark is below ``REACH`` has the floor
-margin. One table of the landmarks' largest weight for each subsequence bounds
-these kernels from above, which spares most words all further work.
+Every word is scored by the machine. A worker remembers the margins of a
+bounded number of words, by their hashes, so a word of many documents is
+scored about once.
 
 The sample is bounded and documented: the ``train_docs`` labelled documents of
 each class with the smallest hashes among those of at most ``train_bytes``
 bytes. Every document is scored, whole.
 
-Defined results: a null, empty or wordless text has the floor margin, hence a
-low score; repeated rows are scored alike; repeated labels of a document count
+Defined results: a null, empty or wordless text has the margin ``FLOOR``, hence
+a low score, and so has the second word of a text of one; repeated rows are scored alike; repeated labels of a document count
 once, the largest; extra columns are ignored; without labels of both classes
 every score is the toxic share among the labels (0 if there are none).
 """
@@ -43,7 +44,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, prefix_hash, release, span_hash, text_buffers, word_spans
@@ -55,11 +56,18 @@ PIECE, STRIDE = 32, 16
 TRAIN_DOCS = 1500
 TRAIN_BYTES = 12_000
 LANDMARKS = 96
-FLOOR = -0.9
-#: Power of the normalised kernel; least kernel with a toxic landmark.
-POWER, REACH = 4, 0.45
+#: Margin of a word that isn't there.
+FLOOR = -1.0
+#: Margins of words count up to this, so one sure word is not enough.
+CEILING = 2.0
+#: Power of the normalised kernel.
+POWER = 8
+#: Least margin and association of a best word of a toxic document that joins the positives.
+ACCEPT, LIKELY = 0.3, 3.0
+#: Words whose margins a worker remembers.
+REMEMBERED = 400_000
 #: Least association of a first positive word.
-SEED = 4.5
+SEED = 3.0
 #: Positive words that are also learnt in disguise.
 SEEDS = 40
 GAPS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b))
@@ -71,15 +79,15 @@ CODES = 1 << 3 * BITS
 SYMBOL = np.full(256, 27, np.int64)
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(26)
 SYMBOL[48:58] = 26
-SYMBOL[128:] = 28 + np.arange(128) % 36
-SENTENCE_END = np.zeros(256, bool)
-SENTENCE_END[[10, 33, 46, 63]] = True
+SYMBOL[128:] = 28 + np.arange(128) % 35
+BEGIN = 63
 
 
 @dataclass
 class Words:
-    """Distinct words of a block, and its tokens in order: their documents, word numbers and last bytes."""
+    """Distinct words of a block with their hashes, in order of these, and its tokens in order: their documents, word numbers and last bytes."""
 
+    hash: np.ndarray
     data: np.ndarray
     start: np.ndarray
     end: np.ndarray
@@ -112,15 +120,26 @@ def read_words(block: Block) -> Words:
         ps = s[rep] + k * STRIDE
         short = np.flatnonzero(e - s <= PIECE)
         s, e, doc, at = np.concatenate([s[short], ps]), np.concatenate([e[short], np.minimum(ps + PIECE, e[rep])]), np.concatenate([doc[short], doc[rep]]), np.concatenate([at[short], at[rep]])
-    _, first, word = np.unique(span_hash(prefix_hash(data), s, e), return_index=True, return_inverse=True)
-    return Words(data, s[first], e[first], doc, word, at)
+    known, first, word = np.unique(span_hash(prefix_hash(data), s, e), return_index=True, return_inverse=True)
+    return Words(known, data, s[first], e[first], doc, word, at)
 
 
 def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
     """(word, subsequence code, weight) of all gapped triples, one step of gaps at a time; words in ascending order in each."""
-    size = end - start
+    start = start.copy()
+    while True:  # what stands before the first letter
+        skip = np.flatnonzero(start < end)
+        skip = skip[SYMBOL[data[start[skip]]] == 27]
+        if not len(skip):
+            break
+        start[skip] += 1
+    size = end - start + 1
     word = np.repeat(np.arange(len(size)), size)
-    symbol = SYMBOL[data[np.arange(size.sum()) + np.repeat(start - np.cumsum(size) + size, size)]]
+    first = np.cumsum(size) - size
+    at = np.arange(size.sum()) - np.repeat(first - start + 1, size)
+    at[first] = 0
+    symbol = SYMBOL[data[at]] if len(data) else np.zeros(len(at), np.int64)
+    symbol[first] = BEGIN
     left = np.repeat(np.cumsum(size), size) - np.arange(len(symbol)) - 1  # symbols after each one in its word
     for a, b, weight in GAPS:
         at = np.flatnonzero(left >= b)
@@ -128,18 +147,6 @@ def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterat
         yield word[at], (symbol[at] << 2 * BITS) | (symbol[at + a] << BITS) | symbol[at + b], weight
 
 
-def folded(words: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(sum of the weights over each word's subsequences, a lower bound of its kernel norm)."""
-    n = len(words.start)
-    total, low = np.zeros(n), np.zeros(n)
-    for i in range(0, n, 10_000):
-        s = words.start[i : i + 10_000]
-        for w, u, weight in subsequences(words.data, s, words.end[i : i + 10_000]):
-            total[i : i + 10_000] += weight * np.bincount(w, weights[u], len(s))
-            low[i : i + 10_000] += weight * weight * np.bincount(w, minlength=len(s))
-    return total, np.sqrt(low)
-
-
 def exact_norm(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     """sqrt(k(w, w)) before normalisation; 1 where it is 0."""
     out = np.ones(len(start))
@@ -244,51 +251,59 @@ def disguises(word: np.ndarray) -> list[np.ndarray]:
 
 @dataclass
 class Model:
-    """A word's margin is its kernel values with the landmarks, to the power, times alpha, plus bias; the first ``n_toxic`` landmarks are toxic ones."""
+    """A word's margin is its kernel values with the landmarks, to the power, times alpha, plus bias."""
 
     landmarks: Vectors | None
-    n_toxic: int
     alpha: np.ndarray
     bias: float
     slope: float
     offset: float
 
     def __post_init__(self):
-        self.bound = np.zeros(CODES)
-        if self.landmarks is not None and self.n_toxic:
-            has = self.landmarks.row >= 0
-            self.bound[has] = self.landmarks.values[: self.n_toxic].max(axis=0)[self.landmarks.row[has]]
-
-    def margins(self, words: Words) -> np.ndarray:
-        """Margins of distinct words."""
-        total, low = folded(words, self.bound)
-        out = np.full(len(total), FLOOR)
-        hot = np.flatnonzero(total > REACH * np.maximum(low, 1e-9)) if self.landmarks is not None else np.zeros(0, int)
-        hot = hot[total[hot] > REACH * exact_norm(words.data, words.start[hot], words.end[hot])]
-        for i in range(0, len(hot), 10_000):
-            some = hot[i : i + 10_000]
-            k = self.landmarks.kernel(words.data, words.start[some], words.end[some])
-            f = k**POWER @ self.alpha + self.bias
-            out[some] = np.where(k[:, : self.n_toxic].max(axis=1) >= REACH, np.maximum(f, FLOOR), FLOOR)
+        self.hash, self.margin = np.zeros(0, np.uint64), np.zeros(0)
+
+    def margins(self, words: Words, some: np.ndarray) -> np.ndarray:
+        """Margins of the distinct words with these numbers."""
+        out = np.full(len(some), FLOOR)
+        if self.landmarks is not None:
+            for i in range(0, len(some), 10_000):
+                at = some[i : i + 10_000]
+                out[i : i + 10_000] = self.landmarks.kernel(words.data, words.start[at], words.end[at]) ** POWER @ self.alpha + self.bias
         return out
 
-    def pooled(self, words: Words, n: int) -> np.ndarray:
-        """Mean of each document's two best margins."""
-        f = self.margins(words)[words.word]
-        hot = np.flatnonzero(f > FLOOR)
-        order = np.lexsort((-f[hot], words.doc[hot]))
-        d, f = words.doc[hot][order], f[hot][order]
-        out = np.full((n, 2), FLOOR)
-        first = np.searchsorted(d, np.arange(n))
-        for k in (0, 1):
-            at = np.minimum(first + k, max(len(d) - 1, 0))
-            if len(d):
-                ok = (first + k < len(d)) & (d[at] == np.arange(n))
-                out[ok, k] = f[at[ok]]
-        return out.mean(axis=1)
+    def remembered(self, words: Words) -> np.ndarray:
+        """Margins of all distinct words; those met before are looked up."""
+        at = np.minimum(np.searchsorted(self.hash, words.hash), max(len(self.hash) - 1, 0))
+        known = self.hash[at] == words.hash if len(self.hash) else np.zeros(len(words.hash), bool)
+        out = np.empty(len(words.hash))
+        out[known] = self.margin[at[known]]
+        new = np.flatnonzero(~known)
+        out[new] = self.margins(words, new)
+        if len(self.hash) + len(new) > REMEMBERED:  # begin again with the words of this block
+            self.hash, self.margin = words.hash[:REMEMBERED], out[:REMEMBERED]
+        elif len(new):
+            place = np.searchsorted(self.hash, words.hash[new])
+            self.hash, self.margin = np.insert(self.hash, place, words.hash[new]), np.insert(self.margin, place, out[new])
+        return out
 
     def scores(self, block: Block) -> np.ndarray:
-        return 1 / (1 + np.exp(-(self.slope * self.pooled(read_words(block), len(block)) + self.offset)))
+        words = read_words(block)
+        return 1 / (1 + np.exp(-(self.slope * pooled(self.remembered(words), words, len(block)) + self.offset)))
+
+
+def pooled(margin: np.ndarray, words: Words, n: int) -> np.ndarray:
+    """Mean of each document's two best margins, given those of the distinct words."""
+    out = np.full((n, 2), FLOOR)
+    if len(words.word):
+        f = np.minimum(margin[words.word], CEILING)
+        order = np.lexsort((-f, words.doc))
+        d, f = words.doc[order], f[order]
+        first = np.searchsorted(d, np.arange(n))
+        for k in (0, 1):
+            at = np.minimum(first + k, len(d) - 1)
+            ok = (first + k < len(d)) & (d[at] == np.arange(n))
+            out[ok, k] = f[at[ok]]
+    return out.mean(axis=1)
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
@@ -297,22 +312,18 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
     words = read_words(Block(pa.nulls(len(texts)), data, starts))
     n, n_words = len(texts), len(words.start)
     toxic = labels.astype(bool)
-    nothing = Model(None, 0, np.zeros(0), FLOOR, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
+    nothing = Model(None, np.zeros(0), FLOOR, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if not n_words or toxic.all() or not toxic.any():
         return nothing
-    ends = np.concatenate([[0], np.cumsum(SENTENCE_END[words.data])])
-    sentence = (words.doc.astype(np.int64) << 32) | ends[np.minimum(words.at, len(ends) - 1)]
     pair = np.unique((words.doc.astype(np.int64) << 32) | words.word)
     d, w = pair >> 32, pair & 0xFFFFFFFF
     t, c = (np.bincount(w[of[d]], minlength=n_words) for of in (toxic, ~toxic))
     z = association(t, c, int(toxic.sum()), int((~toxic).sum()))
     pools = (np.argsort(-z)[: 6 * landmarks], landmarks, z > 3), (np.argsort(-np.where(z < 1, c, -1))[: 3 * landmarks], landmarks // 2, c > 0)
     marks: list[int] = []
-    n_toxic = None
     for pool, most, fit in pools:
         pool = pool[fit[pool] & (words.end - words.start >= 3)[pool]]
         if not len(pool):
-            n_toxic = 0 if n_toxic is None else n_toxic
             continue
         v = Vectors.of(words.data, words.start[pool], words.end[pool]).values
         near = v @ v.T
@@ -321,7 +332,6 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
             if len(taken) < most and (not taken or near[i, taken].max() < 0.85):
                 taken.append(i)
         marks += pool[taken].tolist()
-        n_toxic = len(marks) if n_toxic is None else n_toxic
     if not marks:
         return nothing
     vec = Vectors.of(words.data, words.start[marks], words.end[marks])
@@ -336,33 +346,34 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
     size = np.array([len(m) for m in masked], np.int64)
     at = np.cumsum(size)
     disguised = vec.kernel(np.concatenate(masked), at - size, at) ** POWER @ nystroem if masked else np.zeros((0, len(values)))
-    model = nothing
+    kernel = vec.kernel(words.data, words.start, words.end)  # of all words of the bounded sample, once
     for _ in range(rounds):
         negative = np.setdiff1d(np.union1d(frequent, hard), good)
         rows = np.concatenate([good, negative])
         y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
-        x = vec.kernel(words.data, words.start[rows], words.end[rows]) ** POWER @ nystroem
+        x = kernel[rows] ** POWER @ nystroem
         x, y = np.concatenate([x, disguised]), np.concatenate([y, np.ones(len(disguised))])
         weight = np.append(1 + np.log1p(t[rows] + c[rows]), np.ones(len(disguised)))
         weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / max(1e-9, weight[y < 0].sum()))
         found = svm(x, y, weight * len(y) / 2)
-        model = Model(vec, n_toxic, nystroem @ found[:-1], float(found[-1]), 1.0, 0.0)
-        score = model.margins(words)
-        f = score[words.word]
-        best = np.unique(words.word[_best(f, sentence, in_toxic)])
-        good = np.union1d(np.flatnonzero(z > min(SEED, z.max() - 1e-9)), best[(score[best] > 0.3) & (c[best] == 0)])
-        hard = np.unique(np.concatenate([hard, words.word[_best(f, sentence, ~in_toxic)]]))
+        alpha, bias = nystroem @ found[:-1], float(found[-1])
+        score = np.concatenate([kernel[i : i + 10_000] ** POWER @ alpha + bias for i in range(0, n_words, 10_000)])
+        first, second = ranked(score, words)
+        best = np.unique(words.word[np.concatenate([x[in_toxic[x]] for x in (first, second)])])
+        good = np.union1d(np.flatnonzero(z > min(SEED, z.max() - 1e-9)), best[(score[best] > ACCEPT) & (z[best] > LIKELY)])
+        hard = np.union1d(hard, words.word[second[~in_toxic[second]]])
         hard = hard[np.argsort(-score[hard])][:4000]
-    pooled = model.pooled(words, n)
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
-    return Model(vec, n_toxic, model.alpha, model.bias, *logistic(pooled, toxic.astype(float), weight))
+    return Model(vec, alpha, bias, *logistic(pooled(score, words, n), toxic.astype(float), weight))
 
 
-def _best(f: np.ndarray, bag: np.ndarray, inside: np.ndarray) -> np.ndarray:
-    """The token with the largest f of each bag, among the tokens inside."""
-    at = np.flatnonzero(inside)
-    order = at[np.lexsort((-f[at], bag[at]))]
-    return order[np.concatenate([[True], bag[order][1:] != bag[order][:-1]])] if len(order) else order
+def ranked(margin: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
+    """The tokens of each document's best word and of the best one besides it."""
+    pair, at = np.unique((words.doc.astype(np.int64) << 32) | words.word, return_index=True)
+    order = np.lexsort((-margin[words.word[at]], pair >> 32))
+    doc, at = (pair >> 32)[order], at[order]
+    new = np.concatenate([[True], doc[1:] != doc[:-1]])
+    return at[new], at[1:][new[:-1] & ~new[1:]]
 
 
 def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
@@ -371,10 +382,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, tra
     sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter((F.octet_length("text") <= train_bytes) & (F.octet_length("text") > 0))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
-    ids = [known.filter(F.col("y") == y).orderBy(*by_hash).limit(2 * train_docs) for y in (0, 1)]
-    chosen = [r.doc_id for x in ids for r in x.collect()]  # at most 4 * train_docs numbers
-    rows = small.filter(F.col("doc_id").isin(chosen)).join(F.broadcast(ids[0].union(ids[1])), "doc_id").orderBy(*by_hash)
-    sample = rows.filter("y = 0").limit(train_docs).union(rows.filter("y = 1").limit(train_docs)).collect()
+    first = [known.filter(F.col("y") == y).orderBy(*by_hash).limit(2 * train_docs) for y in (0, 1)]
+    found = small.join(F.broadcast(first[0].union(first[1])), "doc_id")  # at most 4 * train_docs ids; one scan of the texts
+    place = F.row_number().over(Window.partitionBy("y").orderBy(*by_hash, F.xxhash64("text")))
+    sample = found.withColumn("place", place).filter(F.col("place") <= train_docs).orderBy("y", "place").collect()
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     model = train([r.text for r in sample], np.array([r.y for r in sample], int), share)
     release()

@@ -1,6 +1,5 @@
 import itertools
 import random
-import tracemalloc
 import zlib
 
 import numpy as np
@@ -21,7 +20,10 @@ def block(texts):
 def brute_kernel(a, b):
     def features(w):
         out = {}
-        s = t.SYMBOL[list(w.encode())]
+        s = t.SYMBOL[list(w.encode())].tolist()
+        while s and s[0] == 27:
+            del s[0]
+        s.insert(0, t.BEGIN)
         for i, j, k in itertools.combinations(range(len(s)), 3):
             if k - i < t.SPAN and 27 not in (s[i], s[j], s[k]):
                 key = (s[i], s[j], s[k])
@@ -35,7 +37,7 @@ def brute_kernel(a, b):
 
 
 def test_kernel_equals_definition():
-    words = ["idiot", "i.d.i.o.t", "idiiot", "thing", "café", "ab", "aaaaaa", "x1y2z3"]
+    words = ["idiot", "i.d.i.o.t", "idiiot", "thing", "café", "ab", "aaaaaa", "x1y2z3", "##idiot", "...", "thidiot"]
     w = t.read_words(block([" ".join(words)]))
     names = [bytes(w.data[a:b]).decode() for a, b in zip(w.start, w.end)]
     got = t.Vectors.of(w.data, w.start, w.end).kernel(w.data, w.start, w.end)
@@ -97,12 +99,19 @@ def test_sample_holds_1500_documents_of_each_class(spark, monkeypatch):
     assert t.fit(docs, labels) == (3000, 1500)
 
 
-def test_memory_of_folding_does_not_grow_with_the_sample():
+def test_remembered_margins_equal_computed_ones(monkeypatch):
     rng = random.Random(2)
-    w = t.read_words(block([" ".join("".join(rng.choices("abcdefghij", k=9)) for _ in range(120_000))]))
-    tracemalloc.start()
-    total, low = t.folded(w, np.ones(t.CODES))
-    peak = tracemalloc.get_traced_memory()[1]
-    tracemalloc.stop()
-    assert len(total) == len(w.start) > 100_000 and total[0] > low[0] > 0
-    assert peak < 20_000_000
+    rows = corpus(rng, 200)
+    model = t.train([x for _, x, _ in rows], np.array([y for *_, y in rows]), 0.4)
+    monkeypatch.setattr(t, "REMEMBERED", 60)
+    for k in range(0, 200, 10):
+        w = t.read_words(block([x for _, x, _ in rows[k : k + 10]] + ["", "idiot " * 3]))
+        assert np.allclose(model.remembered(w), model.margins(w, np.arange(len(w.hash))), atol=1e-4)
+        assert len(model.hash) <= 60 and (np.diff(model.hash.astype(float)) > 0).all()
+
+
+def test_pooled_margin_is_the_mean_of_the_two_best(monkeypatch):
+    w = t.read_words(block(["a1 b2 c3 b2", "", "a1", None, "c3 c3"]))
+    value = {"a1": 0.5, "b2": 3.0, "c3": -0.2}
+    margin = np.array([value[bytes(w.data[a:b]).decode()] for a, b in zip(w.start, w.end)])
+    assert t.pooled(margin, w, 5).tolist() == pytest.approx([2.0, t.FLOOR, (0.5 + t.FLOOR) / 2, t.FLOOR, -0.2])
