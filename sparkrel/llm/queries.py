@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import decontaminate, embedding_dedup, jaccard_join, packing, secret_scan, sharding, suffix_dedup, token_counts, toxicity, url_filter
+from .shared import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A whole table; long texts are spread over all cores even if they are one file's only row group."""
+    found = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(found) if name == "documents" else found
 
 
 def vocabulary(name: str) -> str:

@@ -2,6 +2,7 @@ from types import SimpleNamespace
 
 import numpy as np
 import pyarrow as pa
+import pytest
 
 from sparkrel.llm import blocks, shared
 
@@ -14,8 +15,25 @@ def test_folder_is_the_sessions():
 def test_kept_tables(spark):
     kept = shared.keep(spark.range(5), "five")
     assert kept.count() == 5 and all(f"{shared.folder(spark)}/sparkrel-five-" in f for f in kept.inputFiles())
-    shared.drop(kept)
-    assert spark.sparkContext._jvm.java.io.File(shared.folder(spark).removeprefix("file:")).exists()
+    since = len(shared.made) - 1
+    more = shared.keep(spark.range(3), "three")
+    shared.sweep(spark, since, more)
+    exists = lambda df: [spark.sparkContext._jvm.java.io.File(f.removeprefix("file:")).exists() for f in df.inputFiles()]
+    assert not any(exists(kept)) and all(exists(more)) and more.count() == 3
+
+
+def test_a_cluster_needs_a_shared_folder():
+    context = SimpleNamespace(getConf=lambda: {}, getCheckpointDir=lambda: None, master="spark://host:7077")
+    with pytest.raises(ValueError):
+        shared.folder(SimpleNamespace(conf={}, sparkContext=context))
+
+
+def test_one_row_group_is_spread(spark, tmp_path):
+    spark.range(100).coalesce(1).write.parquet(str(tmp_path / "one"))
+    spark.range(100).repartition(9).write.parquet(str(tmp_path / "many"))
+    one, many = (spark.read.parquet(str(tmp_path / x)) for x in ("one", "many"))
+    assert shared.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism and shared.spread(one).count() == 100
+    assert shared.spread(many) is many
 
 
 def test_batches_are_bounded(spark):
