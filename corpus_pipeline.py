@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from sparkrel.llm import decontaminate, jaccard_join, packing, secret_scan, toxicity
 from sparkrel.llm.queries import table, vocabulary
-from sparkrel.llm.shared import keep
+from sparkrel.llm.shared import keep, made, sweep
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -57,10 +57,11 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the documents table; each stage's result is written and read again."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """All stages over the documents table; each stage's result is written and read again, and what led to it is deleted."""
+    docs, began = table(spark, sf_dir, "documents"), len(made)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i + 1 < len(STAGES):
             docs = keep(docs, name.replace(" ", "-"))
+            sweep(spark, began, docs)
     return docs
