@@ -24,8 +24,12 @@ Inside a group relations between sets save the work:
   differs from the reference, so only these are looked up. Members that the
   reference's answers link already are never compared with each other.
 
-Groups of more than ``block`` members are split into pairs of blocks. Only
-links that join something are kept, as one star for each component and task.
+Groups of more than ``block`` members are split into blocks, each compared
+together with the group's reference. Members that this leads to the reference
+are done with each other: only the others, the open ones, are compared with the
+members of other blocks, in pairs of blocks. So a family of copies of one text
+takes work in proportion to its size. Only links that join something are kept,
+as one star for each component and task.
 
 Defined results: a null text or one without words has the empty set and links
 with nothing; fewer than five words are one shingle; texts with equal sets
@@ -335,7 +339,7 @@ def join_group(sets: list[np.ndarray], num: int = NUM, den: int = DEN) -> tuple[
 
 
 def verify(num: int, den: int):
-    """Links (a, b) between the keys of one group's block pair, as stars."""
+    """Links (a, b) between the keys of a group's block, as stars; with open, also (reference, key) of each member that they don't lead to the reference."""
 
     def part(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         table = table.combine_chunks()
@@ -346,7 +350,13 @@ def verify(num: int, den: int):
         a, b = join_group(sets, num, den) if len(sets) > 1 else (np.zeros(0, np.int64),) * 2
         if len(a):
             a, b = forest(keys[a], keys[b])
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+        ref, left = key[0].as_py(), keys[:0]
+        if table.column("k")[0].as_py() > 1:
+            # a holds every linked node, its component's smallest one beside it.
+            mine = b[a == ref]
+            done = a[b == mine[0]] if len(mine) else keys[:0]
+            left = np.setdiff1d(keys, np.append(done, ref))
+        return pa.table({"a": pa.array(np.append(a, np.full(len(left), ref)), pa.int64()), "b": pa.array(np.append(b, left), pa.int64()), "open": pa.array(np.arange(len(a) + len(left)) >= len(a))})
 
     return part
 
@@ -392,7 +402,7 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WID
     relisted = shared.filter("place % 4 >= 2").join(likely, "key", "left_semi").select("token", "key", "place").repartition("token")
     pairs = keep(relisted.mapInArrow(references(num, den), "ref long, key long").distinct(), "pairs")
     members = pairs.union(pairs.select("ref", F.col("ref").alias("key")).distinct())
-    sizes = pairs.groupBy("ref").agg((F.ceil((F.count(F.lit(1)) + 1) / block)).cast("int").alias("k"))
+    sizes = keep(pairs.groupBy("ref").agg((F.ceil((F.count(F.lit(1)) + 1) / block)).cast("int").alias("k")), "sizes")
     wanted = keep(members.select("key").distinct().join(classes.select(F.col("k1").alias("key"), "rep"), "key"), "wanted")
     sets_of = "key long, hashes array<long>"
     named = bounded(wanted.filter("rep is not null").select(F.col("rep").alias("doc_id")).distinct())
@@ -402,10 +412,22 @@ def jaccard_components(spark: SparkSession, docs: DataFrame, *, width: int = WID
         sets = sets.union(source.filter("doc_id is null").mapInArrow(full_sets(width), sets_of).join(bounded(nameless), "key", "left_semi").dropDuplicates(["key"]))
     sets = keep(sets, "shingles")
 
-    own = F.pmod(F.xxhash64("key"), F.col("k")).cast("int")
-    placed = members.join(sizes, "ref").withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    placed = placed.select("ref", "key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"))
-    links = placed.join(sets, "key").select("ref", "i", "j", "key", "hashes").groupBy("ref", "i", "j").applyInArrow(verify(num, den), "a long, b long")
+    def compared(placed: DataFrame) -> DataFrame:
+        return placed.join(sets, "key").select(*placed.columns, "hashes").groupBy("ref", "i", "j").applyInArrow(verify(num, den), "a long, b long, open boolean")
+
+    # First every block with the reference, then open members with the blocks that they haven't met.
+    own = lambda k: F.pmod(F.xxhash64("key"), F.col(k)).cast("int")
+    each = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    sized = pairs.join(sizes, "ref").select("ref", "key", own("k").alias("i"), "k")
+    alone = sizes.select("ref", F.col("ref").alias("key"), each("k").alias("i"), "k")
+    first = keep(compared(sized.unionByName(alone).select("ref", "i", F.lit(-1).alias("j"), "key", "k")), "blocks")
+    links = first.filter("not open").select("a", "b")
+    left = first.filter("open").select(F.col("a").alias("ref"), F.col("b").alias("key"))
+    if not left.isEmpty():
+        parts = keep(left.groupBy("ref").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("m")).join(sizes, "ref"), "open-parts")
+        mine = left.join(parts, "ref").select("ref", "key", own("m").alias("i"), each("k").alias("j"))
+        others = pairs.join(parts, "ref").select("ref", "key", each("m").alias("i"), own("k").alias("j"))
+        links = links.unionByName(compared(mine.unionByName(others).withColumn("k", F.lit(1))).select("a", "b"))
     roots = components(links)
     # Components are of keys; the smallest id of any of its classes names one.
     rooted = keep(classes.join(roots, classes.k1 == roots.node, "left").select("k1", "k2", F.col("n").alias("_n"), "rep", "root"), "rooted")

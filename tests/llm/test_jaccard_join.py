@@ -94,6 +94,33 @@ def test_links_through_null_and_shared_ids(spark):
     assert (2, 96, 1) in got and (5, 96, 3) in got and (9, 96, 7) in got
 
 
+def test_a_family_is_compared_in_proportion_to_its_size(spark):
+    rng = random.Random(7)
+    words = [f"w{i}" for i in range(120)]
+    texts = [" ".join(edited(rng, words, 1)) for _ in range(600)] + [" ".join(f"f{k}y{i}" for i in range(20)) for k in range(20)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    met = spark.sparkContext.accumulator(0)
+    plain = j.verify
+
+    def counting(num, den):
+        part = plain(num, den)
+
+        def counted(key, table):
+            met.add(table.num_rows)
+            return part(key, table)
+
+        return counted
+
+    j.verify = counting
+    try:
+        got = j.jaccard_components(spark, docs, block=16).collect()
+    finally:
+        j.verify = plain
+    sets = [shingle_set(t) for t in texts]
+    assert sorted((r.doc_id, r.component_id) for r in got) == list(enumerate(brute_sets(sets)))
+    assert met.value < 20 * len(texts)
+
+
 def test_null_id_and_empty(spark, odd_docs, no_docs):
     assert j.jaccard_components(spark, no_docs).count() == 0
     assert j.jaccard_components(spark, odd_docs).count() == odd_docs.count()
