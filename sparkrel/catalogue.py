@@ -114,6 +114,9 @@ query("in_empty", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE F
 query("not_in_list", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus NOT IN ('F', 'O')", lambda db: db.from_(orders).select(O).where(not_in(orders.o_orderstatus, ["F", "O"])).df)
 query("not_in_empty", "SELECT count(*) AS n FROM orders", lambda db: db.from_(orders).select({"n": count("*")}).where(not_in(orders.o_orderstatus, [])).df)
 query("in_subquery", "SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000)", lambda db: db.from_(customer).select({"k": customer.c_custkey}).where(is_in(customer.c_custkey, db.from_(orders).select({"x": orders.o_custkey}).where(gt(orders.o_totalprice, 400000)))).df)
+query("in_subquery_or", "SELECT c_custkey AS k FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 400000) OR c_acctbal < 0", lambda db: db.from_(customer).select({"k": customer.c_custkey}).where(or_(is_in(customer.c_custkey, db.from_(orders).select({"x": orders.o_custkey}).where(gt(orders.o_totalprice, 400000))), lt(customer.c_acctbal, 0))).df)
+query("in_subquery_having", "SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1 HAVING count(*) IN (SELECT n_nationkey FROM nation WHERE n_nationkey > 12) OR o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 9900)", lambda db: db.from_(orders).select({"k": orders.o_custkey, "n": count("*")}).having(or_(is_in(count("*"), db.from_(nation).select({"x": nation.n_nationkey}).where(gt(nation.n_nationkey, 12))), is_in(orders.o_custkey, db.from_(customer).select({"x": customer.c_custkey}).where(gt(customer.c_acctbal, 9900))))).df)
+query("raw_numbered", "SELECT o_orderkey AS k, '$1' AS d FROM orders WHERE o_orderstatus = 'F' AND o_totalprice > 300000", lambda db: db.raw("SELECT o_orderkey AS k, '$1' AS d FROM orders WHERE o_totalprice > $2 AND o_orderstatus = $1", ["F", 300000]))
 query("and_or_nested", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F' AND (o_totalprice > 300000 OR o_totalprice < 5000)", lambda db: db.from_(orders).select(O).where(and_(eq(orders.o_orderstatus, "F"), or_(gt(orders.o_totalprice, 300000), lt(orders.o_totalprice, 5000)))).df)
 query("and_skips_none", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE o_orderstatus = 'F'", lambda db: db.from_(orders).select(O).where(and_(None, eq(orders.o_orderstatus, "F"), and_())).df)
 query("or_empty", "SELECT o_orderkey AS k, o_totalprice AS p FROM orders WHERE FALSE", lambda db: db.from_(orders).select(O).where(or_(None)).df)
@@ -302,20 +305,28 @@ query("geo_intersects", "SELECT c_custkey AS k FROM customer WHERE (c_custkey *
 
 # changes, on a copy of nation in a store
 def _changed(db: Engine, change: Callable[[Engine, Table], DataFrame | None]) -> DataFrame:
-    import tempfile
-
-    from .sources.store import Store
-
     t = Table("nation", {"n_nationkey": key(), "n_name": text, "n_regionkey": Col(integer).not_null()})
-    place = db.spark.conf.get("spark.checkpoint.dir", None) or db.spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="sparkrel-store-")
-    import uuid
-
-    e = Engine(db.spark, Store(db.spark, f"{place.rstrip('/')}/store-{uuid.uuid4().hex}"), [t])
+    e = Engine(db.spark, new_store(db), [t])
     e.insert(t).values(db.frame(nation)).execute()
     shown = change(e, t)
     return e.frame(t) if shown is None else shown
 
 
+def new_store(db: Engine):
+    """An empty store in the folder that driver and executors share; of this machine only where none is set and the master is local."""
+    import tempfile
+    import uuid
+
+    from .sources.store import Store
+
+    place = db.spark.conf.get("spark.checkpoint.dir", None) or db.spark.sparkContext.getConf().get("spark.checkpoint.dir") or None
+    if place is None:
+        if not db.spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir names no shared folder")
+        place = "file://" + tempfile.mkdtemp(prefix="sparkrel-store-")
+    return Store(db.spark, f"{place.rstrip('/')}/store-{uuid.uuid4().hex}")
+
+
 _upsert = [{"n_nationkey": 3, "n_name": "three", "n_regionkey": 0}, {"n_nationkey": 99, "n_name": "new", "n_regionkey": 4}]
 query("dml_insert_returning", "SELECT 77 AS n_nationkey, 'x' AS n_name", lambda db: _changed(db, lambda e, t: e.insert(t).values({"n_nationkey": 77, "n_name": "x", "n_regionkey": 1}).returning({"n_regionkey": False}).execute()))
 query("dml_upsert", "SELECT n_nationkey, CASE WHEN n_nationkey = 3 THEN 'three' ELSE n_name END AS n_name, n_regionkey FROM nation UNION ALL SELECT 99, 'new', 4", lambda db: _changed(db, lambda e, t: e.insert(t).values(_upsert).on_conflict(t.n_nationkey).do_update_set(lambda x: {"n_name": x.n_name}).execute()))
@@ -325,4 +336,6 @@ query("dml_delete_returning", "SELECT n_nationkey FROM nation WHERE n_regionkey
 query("dml_delete_state", "SELECT * FROM nation WHERE n_regionkey != 2", lambda db: _changed(db, lambda e, t: e.delete(t).where(eq(t.n_regionkey, 2)).execute()))
 query("dml_cte", "SELECT n_name AS n FROM nation WHERE n_regionkey = 1", lambda db: _changed(db, lambda e, t: (lambda gone: e.with_(gone).from_(gone).select({"n": gone.n_name}).df)(e.cte("gone", e.delete(t).where(eq(t.n_regionkey, 1)).returning()))))
 
+from . import catalogue_changes  # noqa: E402, F401  (registers its queries)
+
 __all__ = ["QUERIES", "SQL", "engine", "flagship", "pk"]

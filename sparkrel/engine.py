@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import logging
+import re
 import time
 from collections.abc import Callable, Iterable
 from typing import Any, Protocol
@@ -90,7 +91,9 @@ class Engine:
         return With(self, ctes)
 
     def raw(self, sql: str, args: list | dict | None = None, rows: Callable[[DataFrame], Any] | None = None) -> Any:
-        """Spark SQL over the tables as views; args bind ? or :name markers; rows turns the result into something else."""
+        """Spark SQL over the tables as views; args bind ?, $1 or :name markers; rows turns the result into something else."""
+        if isinstance(args, (list, tuple)) and (numbered := _numbered(sql)) != sql:
+            sql, args = numbered, {f"_{k}": v for k, v in enumerate(args, 1)}
         for t in self.tables.values():
             if t.table_name.lower() in sql.lower():
                 self.frame(t).createOrReplaceTempView(t.table_name)
@@ -130,5 +133,10 @@ class Engine:
         return out
 
 
+def _numbered(sql: str) -> str:
+    """$1 outside of quotes as a named marker."""
+    return re.sub(r"'(?:[^'\\]|\\.|'')*'|\"[^\"]*\"|`[^`]*`|\$(\d+)", lambda m: f":_{m[1]}" if m[1] else m[0], sql)
+
+
 def entities_of(values: Iterable[Any]) -> list[Any]:
     return [v for v in values if isinstance(v, (Table, Relations, Enum, Sequence))]

@@ -396,7 +396,7 @@ def check_rows(engine: Engine, table: Table, rows: DataFrame, states: dict[str,
     here = Scope(done={r.key: n for n, r in table.c.items()})
     tests = []
     for n, c in table.columns.items():
-        if not c.nullable:
+        if not c.nullable or n in table.key_columns:
             tests.append((f"{table.table_name}.{n} is null", F.col(f"`{n}`").isNull()))
         if c.type.check is not None:
             tests.append((f"{table.table_name}.{n} is no {c.type.name}", ~c.type.check(F.col(f"`{n}`"))))

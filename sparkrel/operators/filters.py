@@ -57,14 +57,16 @@ def is_not_null(e: Any) -> Filter:
 
 
 class InQuery(Filter):
-    """A left semi join with a query's only column."""
+    """Whether a value is among those of a query's only column: a left semi join, or within other conditions a join that marks rows."""
 
     def __init__(self, e: Expr, query: Any):
         super().__init__("in_query", (e,), params=(id(query),), kind="boolean")
         self.query = query
 
     def lower(self, scope: Scope):
-        raise QueryError("is_in with a query stands alone or in an and_")
+        if self.key not in scope.done:
+            raise QueryError("is_in with a query belongs in where or having")
+        return F.coalesce(F.col(scope.done[self.key]), F.lit(False))
 
 
 def is_in(e: Any, values: Any) -> Filter:

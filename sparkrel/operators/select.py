@@ -41,26 +41,35 @@ def orders_of(what: tuple) -> tuple[Order, ...]:
     return tuple(o if isinstance(o, Order) else Order(o) for o in items)
 
 
-def filtered(df: DataFrame, condition: Expr | None, scope: Scope) -> DataFrame:
-    """df where a condition holds; queries in it become left semi joins."""
+def listed(query: InQuery, scope: Scope, name: str) -> DataFrame:
+    """The values of a condition's query, as one column."""
+    found = query.query.frame(scope.args)
+    if len(found.columns) != 1:
+        raise QueryError("is_in takes a query with one column")
+    return found.select(F.col(f"`{found.columns[0]}`").alias(name))
+
+
+def filtered(df: DataFrame, condition: Expr | None, scope: Scope, aggregates: bool = False) -> DataFrame:
+    """df where a condition holds. A query in it becomes a left semi join if all depends on it, else a left join that marks the rows whose value it has (a null is as good as false here: nothing negates a condition)."""
     if condition is None:
         return df
-    if condition.is_aggregate:
+    if condition.is_aggregate and not aggregates:
         raise QueryError("aggregates belong in having")
     if isinstance(condition, InQuery):
-        found = condition.query.frame(scope.args)
-        if len(found.columns) != 1:
-            raise QueryError("is_in takes a query with one column")
-        found = found.select(F.col(f"`{found.columns[0]}`").alias("__in"))
-        return df.join(found, condition.children[0].lower(scope) == F.col("__in"), "left_semi")
+        return df.join(listed(condition, scope, "__in"), condition.children[0].lower(scope) == F.col("__in"), "left_semi")
     if condition.op == "and":
         plain = [c for c in condition.children if not any(isinstance(x, InQuery) for x in c.walk())]
         for c in plain:
             df = df.filter(c.lower(scope))
         for c in condition.children:
             if c not in plain:
-                df = filtered(df, c, scope)
+                df = filtered(df, c, scope, aggregates)
         return df
+    for query in (x for x in condition.walk() if isinstance(x, InQuery)):
+        mark = f"__in{len(scope.done)}"
+        values = listed(query, scope, f"{mark}_value").distinct().withColumn(mark, F.lit(True))
+        df = df.join(values, query.children[0].lower(scope) == F.col(f"{mark}_value"), "left")
+        scope.done[query.key] = mark
     return df.filter(condition.lower(scope))
 
 
@@ -161,7 +170,7 @@ class Select:
         if keys is not None:
             df, scope = _grouped(df, keys, [*items.values(), *([self.having_] if self.having_ is not None else []), *(o.what for o in orders)], scope)
             if self.having_ is not None:
-                df = df.filter(self.having_.lower(scope))
+                df = filtered(df, self.having_, scope, aggregates=True)
         if self.distinct_:
             df, orders = self._first_rows(df, orders, scope)
         df = df.select(*(e.lower(scope).alias(n) for n, e in items.items()), *(ordered(o.what, o.what.lower(scope)).alias(f"__o{i}") for i, o in enumerate(orders)))
