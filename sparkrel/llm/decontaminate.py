@@ -26,7 +26,7 @@ from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import Block, blocks, mix64, prefix_hash, span_hash, text_buffers, word_spans
@@ -209,13 +209,11 @@ def hits(spark: SparkSession, docs: DataFrame, items: DataFrame, *, id_col: str
     return (scan([], []), 1) if out is None else (out, n)
 
 
-def merged(parts: list[list[tuple[int, int]]]) -> int:
+def merged(parts: Column) -> Column:
     """Words in the union of the parts' runs."""
-    total, end = 0, -1
-    for a, b in sorted((r["s"], r["e"]) for runs in parts for r in runs):
-        total += max(0, b - max(a, end))
-        end = max(end, b)
-    return total
+    number = lambda n: F.lit(n).cast("long")
+    step = lambda a, r: F.struct((a.total + F.greatest(number(0), r.e - F.greatest(r.s, a.end))).alias("total"), F.greatest(a.end, r.e).alias("end"))
+    return F.aggregate(F.array_sort(F.flatten(parts)), F.struct(number(0).alias("total"), number(0).alias("end")), step, lambda a: a.total)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, share: int = 20, **options) -> DataFrame:
@@ -224,8 +222,7 @@ def decontaminate(spark: SparkSession, docs: DataFrame, items: DataFrame, *, sha
     if parts > 1:
         # Each part gives one row for every document row, so repeated rows stay repeated. Rows of one id and text are alike in each part.
         found = found.groupBy("doc_id", "digest", "n_words").agg(F.collect_set("runs").alias("all"), F.flatten(F.collect_set("items")).alias("items"), (F.count(F.lit(1)) / parts).cast("int").alias("copies"))
-        count = F.udf(merged, "long")
-        found = found.select("doc_id", "n_words", count("all").alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+        found = found.select("doc_id", "n_words", merged(F.col("all")).alias("n_hit"), "items", F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
     else:
         found = found.select("doc_id", "n_words", F.aggregate("runs", F.lit(0).cast("long"), lambda a, r: a + r.e - r.s).alias("n_hit"), "items")
     items_sorted = F.array_sort(F.array_distinct("items"))
