@@ -234,7 +234,7 @@ def carry_out(store: Store, state: dict, ops: list[dict]) -> dict:
         kind = o["op"]
         name = o.get("table") if isinstance(o.get("table"), str) else o.get("name")
         struct = lambda n, s: T._parse_datatype_string("struct<" + ",".join(f"`{c}`:{d['spark']}" for c, d in s["tables"][n]["columns"].items()) + ">")
-        rows = lambda n, s=state: spark.read.parquet(f"{store.path}/{store.manifest()['tables'][n]}") if n in store.manifest()["tables"] else spark.createDataFrame([], struct(n, s))
+        rows = lambda n, s=state: store.rows(n) if store.places(n) else spark.createDataFrame([], struct(n, s))
         if kind == "create_table":
             store.apply({name: store.stage(name, spark.createDataFrame([], struct(name, after)))})
         elif kind == "drop_table":

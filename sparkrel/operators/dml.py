@@ -1,8 +1,9 @@
 """Changes of a store's tables: plans from the old rows to the new ones.
 
-Every statement reads the state before it. The new version and the rows that
-RETURNING shows are written before the manifest changes; constraints are
-checked on what was written.
+Every statement reads the state before it. Its rows are written once, before
+the manifest changes: what was written is checked, shown by RETURNING and then
+named by the manifest. An insert adds a folder to its table and leaves the rest
+alone; unique keys are looked for among the old rows by the new keys only.
 """
 
 from __future__ import annotations
@@ -11,13 +12,13 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from typing import TYPE_CHECKING, Any
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..expr import ColumnRef, Expr, QueryError, Scope, as_expr, literal
 from ..schema import Named, Sequence, Table
-from ..sources.store import Store
+from ..sources.store import FOLDERS, Store
 from .select import filtered
 
 if TYPE_CHECKING:
@@ -72,8 +73,32 @@ class Change:
 
 def _persist(engine: Engine, name: str, df: DataFrame) -> DataFrame:
     """df, written to the store as files of its own, so that it is evaluated once."""
+    return _written(engine, name, df)[0]
+
+
+def _written(engine: Engine, name: str, df: DataFrame) -> tuple[DataFrame, str]:
+    """df as written, and its place."""
     store = _store(engine)
-    return engine.spark.read.schema(df.schema).parquet(f"{store.path}/{store.stage(name, df)}")
+    at = store.stage(name, df)
+    return engine.spark.read.schema(df.schema).parquet(f"{store.path}/{at}"), at
+
+
+def _divided(engine: Engine, table: Table, df: DataFrame) -> tuple[DataFrame, str]:
+    """df with __hit, written once: the rows that are hit, and the place of the others."""
+    store, schema = _store(engine), df.drop("__hit").schema
+    hit, other = store.split(table.table_name, df, "__hit")
+    empty = engine.spark.createDataFrame([], schema)
+    gone = empty if hit is None else engine.spark.read.schema(schema).parquet(f"{store.path}/{hit}")
+    return gone, other or store.stage(table.table_name, empty)
+
+
+def _computed(table: Table, df: DataFrame) -> DataFrame:
+    """df with its generated columns."""
+    for n, c in table.columns.items():
+        if c.generated == "always" and c.expression is not None:
+            e = as_expr(c.expression(table) if callable(c.expression) else c.expression)
+            df = df.withColumn(n, e.lower(Scope(done={r.key: k for k, r in table.c.items()})).cast(c.type.spark))
+    return df
 
 
 def _show(df: DataFrame, table: Table, what: Any) -> DataFrame | None:
@@ -178,52 +203,58 @@ class Insert(Change):
             raise QueryError(f"{t.table_name} has no column {sorted(unknown)[0]}")
         if fixed := [c for c in given if t.columns[c].generated == "always"]:
             raise QueryError(f"{t.table_name}.{fixed[0]} is generated always")
-        out, computed = [], []
+        out = []
         for n, c in t.columns.items():
             fill = F.lit(None)
             if c.insert_fn is not None:
                 fill = _value(c.insert_fn(), scope, t, n)
             elif c.has_default and not isinstance(c.default_value, Sequence):
                 fill = _value(c.default_value, scope, t, n)
-            if c.generated == "always" and c.expression is not None:
-                computed.append((n, c))
             value = F.when(has[n], F.col(f"`{n}`")).otherwise(fill) if n in given else fill
             out.append(value.cast(c.type.spark).alias(n))
-        numbered = [n for n, c in t.columns.items() if c.numbered]
-        flags = [(~has[n] if n in given else F.lit(True)).alias(f"__new_{n}") for n in numbered]
-        df = _persist(self.engine, f"_incoming/{t.table_name}", df.select("__n", *out, *flags))
+        numbered = [n for n, c in t.columns.items() if c.numbered or isinstance(c.default_value, Sequence)]
+        flags = [(~has[n] if n in given and t.columns[n].numbered else F.col(f"`{n}`").isNull() if n in given else F.lit(True)).alias(f"__new_{n}") for n in numbered]
+        df = df.select("__n", *out, *flags)
+        if numbered:
+            df = _persist(self.engine, f"_incoming/{t.table_name}", df)
         for n in numbered:
-            missing = df.filter(F.col(f"__new_{n}")).count()
-            if missing:
-                first = _store(self.engine).take(f"{t.table_name}.{n}", missing)
-                rank = F.row_number().over(Window.partitionBy(f"__new_{n}").orderBy("__n")) if not isinstance(self.rows, DataFrame) else _ranks(df, n)
-                if isinstance(self.rows, DataFrame):
-                    df = rank
-                    rank = F.col("__rank")
-                df = df.withColumn(n, F.when(F.col(f"__new_{n}"), (rank + (first - 1)).cast(t.columns[n].type.spark)).otherwise(F.col(n))).drop("__rank")
-        for n, c in t.columns.items():
-            if isinstance(c.default_value, Sequence):  # a number of the sequence for each row that has none; meant for few rows
-                missing = [r[0] for r in df.filter(F.col(f"`{n}`").isNull()).select("__n").orderBy("__n").collect()]
-                numbers = {i: _store(self.engine).nextval(c.default_value) for i in missing}
-                if numbers:
-                    table = F.create_map(*(F.lit(x) for pair in numbers.items() for x in pair))
-                    df = df.withColumn(n, F.coalesce(F.col(f"`{n}`"), F.try_element_at(table, F.col("__n")).cast(c.type.spark)))
-        for n, c in computed:
-            df = df.withColumn(n, as_expr(c.expression(t) if callable(c.expression) else c.expression).lower(Scope(done={r.key: k for k, r in t.c.items()})).cast(c.type.spark))
-        return df.select("__n", *t.columns)
+            c, missing = t.columns[n], df.filter(F.col(f"__new_{n}")).count()
+            if not missing:
+                continue
+            if isinstance(self.rows, DataFrame):
+                df = _ranks(df, n)
+            else:
+                df = df.withColumn("__rank", F.row_number().over(Window.partitionBy(f"__new_{n}").orderBy("__n")))
+            if c.numbered:
+                number = F.col("__rank") + (_store(self.engine).take(f"{t.table_name}.{n}", missing) - 1)
+            else:
+                number = _sequence(c.default_value, F.col("__rank") - 1, *_store(self.engine).reserve(c.default_value, missing))
+            df = df.withColumn(n, F.when(F.col(f"__new_{n}"), number.cast(c.type.spark)).otherwise(F.col(f"`{n}`"))).drop("__rank")
+        return _computed(t, df).select("__n", *t.columns)
 
     def _run(self, scope: Scope) -> DataFrame | None:
-        t = self.table
-        new = _persist(self.engine, f"_rows/{t.table_name}", self._incoming(scope))
+        t, store = self.table, _store(self.engine)
+        seen = dict(store.manifest()["tables"])
         old = self.engine.frame(t)
         if self.action is None:
-            after, shown, added = old.unionByName(new.drop("__n")), new, new
+            shown, at = self._added(self._incoming(scope))
         else:
-            after, shown, added = self._conflicts(old, new, scope)
-        replace_rows(self.engine, {t.table_name: after}, {t.table_name: added})
+            shown, at = self._conflicts(old, _persist(self.engine, f"_rows/{t.table_name}", self._incoming(scope)), scope)
+        if self.action != "update":  # the new rows only; the old ones stay where they are
+            places = store.places(t.table_name)
+            at = [*places, at] if len(places) < FOLDERS else store.stage(t.table_name, store.read(*places, at))
+        replace_rows(self.engine, {t.table_name: at}, {t.table_name: shown}, seen)
         return _show(shown.orderBy("__n"), t, self.returning_)
 
-    def _conflicts(self, old: DataFrame, new: DataFrame, scope: Scope) -> tuple[DataFrame, DataFrame, DataFrame]:
+    def _added(self, new: DataFrame) -> tuple[DataFrame, str]:
+        """New rows as a folder of the table, with the columns that are stored."""
+        stored = _store(self.engine).rows(self.table.table_name)
+        if stored is not None:
+            new = new.select("__n", *((F.col(f"`{f.name}`") if f.name in new.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in stored.schema))
+        return _written(self.engine, self.table.table_name, new)
+
+    def _conflicts(self, old: DataFrame, new: DataFrame, scope: Scope) -> tuple[DataFrame, str]:
+        """The rows added or changed, and their place (with an update: that of all rows)."""
         t = self.table
         sets = [self.target] if self.target else t.unique_sets()
         if self.target and set(self.target) not in [set(u) for u in t.unique_sets()]:
@@ -231,15 +262,14 @@ class Insert(Change):
         if self.action == "nothing":
             fresh = new
             for u in sets:
-                known = old.select(*(F.col(f"`{c}`").alias(f"__u_{c}") for c in u)).distinct()
+                known = old.select(*(F.col(f"`{c}`").alias(f"__u_{c}") for c in u))
                 fresh = fresh.join(known, [F.col(f"`{c}`") == F.col(f"__u_{c}") for c in u], "left_anti")
             for u in sets:
                 whole = F.lit(True)
                 for c in u:
                     whole = whole & F.col(f"`{c}`").isNotNull()
                 fresh = fresh.withColumn("__r", F.row_number().over(Window.partitionBy(*u).orderBy("__n"))).filter((F.col("__r") == 1) | ~whole).drop("__r")
-            fresh = _persist(self.engine, f"_rows/{t.table_name}", fresh)
-            return old.unionByName(fresh.drop("__n")), fresh, fresh
+            return self._added(fresh)
         key = list(self.target)
         whole = [F.col(f"`{c}`").isNotNull() for c in key]
         twice = new
@@ -261,9 +291,17 @@ class Insert(Change):
         for n in t.columns:
             updated = _value(sets_[n], inner, t, n) if n in sets_ else F.col(f"__old_{n}")
             cols.append(F.when(change, updated).when(F.col("o").isNotNull(), F.col(f"__old_{n}")).otherwise(F.col(f"__new_{n}")).alias(n))
-        rows = _persist(self.engine, f"_rows/{t.table_name}", wide.select(*cols, F.col("e.__n").alias("__n"), (change | F.col("o").isNull()).alias("__touched")))
-        touched = rows.filter("__touched")
-        return rows.select(*t.columns), touched, touched
+        rows, at = _written(self.engine, t.table_name, wide.select(*cols, F.col("e.__n").alias("__n"), (change | F.col("o").isNull()).alias("__touched")))
+        return rows.filter("__touched"), at
+
+
+def _sequence(s: Sequence, k: Column, first: int, room: int, again: int) -> Column:
+    """The number k places after first, of a sequence that starts over at again after room places."""
+    if not s.cycle:
+        return F.lit(first) + k * s.increment
+    low, high = s.minimum if s.minimum is not None else 1, s.maximum if s.maximum is not None else -1
+    length = F.lit(abs((high if s.increment > 0 else low) - again) // abs(s.increment) + 1)
+    return F.when(k <= room, F.lit(first) + k * s.increment).otherwise(F.lit(again) + F.pmod(k - room - 1, length) * s.increment)
 
 
 def _ranks(df: DataFrame, n: str) -> DataFrame:
@@ -294,7 +332,7 @@ class Update(Change):
         return replace(self, returning_=what, box={})
 
     def _run(self, scope: Scope) -> DataFrame | None:
-        t = self.table
+        t, seen = self.table, dict(_store(self.engine).manifest()["tables"])
         if not self.values:
             raise QueryError("nothing is set")
         for n in self.values:
@@ -306,12 +344,10 @@ class Update(Change):
         df = _marked(self.engine, t, self.condition, scope)
         hit = F.col("__hit")
         out = [F.when(hit, _value(sets[n], scope, t, n)).otherwise(F.col(f"`{t.table_name}`.`{n}`")).cast(c.type.spark).alias(n) if n in sets else F.col(f"`{t.table_name}`.`{n}`").alias(n) for n, c in t.columns.items()]
-        rows = _persist(self.engine, f"_rows/{t.table_name}", df.select(*out, "__hit"))
-        for n, c in t.columns.items():
-            if c.generated == "always" and c.expression is not None:
-                rows = rows.withColumn(n, as_expr(c.expression(t) if callable(c.expression) else c.expression).lower(Scope(done={r.key: k for k, r in t.c.items()})).cast(c.type.spark))
-        replace_rows(self.engine, {t.table_name: rows.select(*t.columns)}, {t.table_name: rows.filter("__hit")})
-        return _show(rows.filter("__hit"), t, self.returning_)
+        rows, at = _written(self.engine, t.table_name, _computed(t, df.select(*out, F.col("__hit").alias("__touched"))))
+        touched = rows.filter("__touched")
+        replace_rows(self.engine, {t.table_name: at}, {t.table_name: touched}, seen)
+        return _show(touched, t, self.returning_)
 
 
 @dataclass(frozen=True)
@@ -329,12 +365,11 @@ class Delete(Change):
         return replace(self, returning_=what, box={})
 
     def _run(self, scope: Scope) -> DataFrame | None:
-        t = self.table
+        t, seen = self.table, dict(_store(self.engine).manifest()["tables"])
         df = _marked(self.engine, t, self.condition, scope).select(*(F.col(f"`{t.table_name}`.`{n}`").alias(n) for n in t.columns), "__hit")
-        rows = _persist(self.engine, f"_rows/{t.table_name}", df)
-        gone = rows.filter("__hit").select(*t.columns)
-        states = cascade(self.engine, t, rows.filter("not __hit").select(*t.columns), gone)
-        replace_rows(self.engine, states, {n: d for n, d in states.items() if n != t.table_name})
+        gone, at = _divided(self.engine, t, df)
+        states, touched = cascade(self.engine, t, at, gone)
+        replace_rows(self.engine, states, touched, seen)
         return _show(gone, t, self.returning_)
 
 
@@ -350,9 +385,9 @@ def _marked(engine: Engine, table: Table, condition: Expr | None, scope: Scope)
     return df.withColumn("__hit", F.coalesce(condition.lower(scope), F.lit(False)))
 
 
-def cascade(engine: Engine, table: Table, left: DataFrame, gone: DataFrame) -> dict[str, DataFrame]:
-    """New rows of every table that a deletion reaches through foreign keys, to the fixpoint."""
-    state: dict[str, DataFrame] = {table.table_name: left}
+def cascade(engine: Engine, table: Table, left: str, gone: DataFrame) -> tuple[dict[str, str], dict[str, DataFrame]]:
+    """New places of every table that a deletion reaches through foreign keys, to the fixpoint, and the rows of those that lost a reference."""
+    store, state, altered = _store(engine), {table.table_name: left}, set()
     todo = [(table, gone)]
     while todo:
         parent, lost = todo.pop()
@@ -360,35 +395,33 @@ def cascade(engine: Engine, table: Table, left: DataFrame, gone: DataFrame) -> d
             for own, target, action in child.foreign_keys():
                 if target[0].table != parent.table_name:
                     continue
-                rows = state.get(child.table_name)
-                rows = engine.frame(child) if rows is None else rows
+                rows = store.read(state[child.table_name]).select(*child.columns) if child.table_name in state else engine.frame(child)
                 keys = lost.select(*(F.col(f"`{c.name}`").alias(f"__t{i}") for i, c in enumerate(target))).distinct()
                 on = [F.col(f"`{c}`") == F.col(f"__t{i}") for i, c in enumerate(own)]
-                hit = rows.join(keys, on, "left_semi")
-                if hit.isEmpty():
+                if rows.join(keys, on, "left_semi").isEmpty():
                     continue
                 if action in ("RESTRICT", "NO ACTION"):
                     raise ConstraintError(f"rows of {child.table_name} refer to deleted rows of {parent.table_name}")
+                marked = rows.join(keys.withColumn("__lost", F.lit(True)), on, "left").withColumn("__hit", F.col("__lost").isNotNull())
                 if action == "CASCADE":
-                    hit = _persist(engine, f"_rows/{child.table_name}", hit)
-                    state[child.table_name] = _persist(engine, f"_rows/{child.table_name}", rows.join(keys, on, "left_anti"))
+                    hit, state[child.table_name] = _divided(engine, child, marked.select(*child.columns, "__hit"))
                     todo.append((child, hit))
                 else:
                     fill = lambda n: literal(child.columns[n].default_value) if action == "SET DEFAULT" and child.columns[n].has_default else F.lit(None)  # noqa: E731, B023
-                    marked = rows.join(keys.withColumn("__lost", F.lit(True)), on, "left")
-                    state[child.table_name] = _persist(engine, f"_rows/{child.table_name}", marked.select(*(F.when(F.col("__lost"), fill(n)).otherwise(F.col(f"`{n}`")).cast(c.type.spark).alias(n) if n in own else F.col(f"`{n}`").alias(n) for n, c in child.columns.items())))
-    return state
+                    values = (F.when(F.col("__hit"), fill(n)).otherwise(F.col(f"`{n}`")).cast(c.type.spark).alias(n) if n in own else F.col(f"`{n}`") for n, c in child.columns.items())
+                    state[child.table_name] = store.stage(child.table_name, marked.select(*values))
+                    altered.add(child.table_name)
+    return state, {n: store.read(state[n]) for n in altered}
 
 
-def replace_rows(engine: Engine, states: dict[str, DataFrame], touched: dict[str, DataFrame]) -> None:
-    """Writes new versions, checks them, and makes them current together."""
+def replace_rows(engine: Engine, states: dict[str, str | list[str]], touched: dict[str, DataFrame], seen: dict) -> None:
+    """Checks what was written and makes it current together; ``seen``: the manifest's tables that the change read."""
     store = _store(engine)
-    staged = {n: store.stage(n, df) for n, df in states.items()}
-    frames = {n: engine.spark.read.schema(engine.tables[n].struct if n in engine.tables else states[n].schema).parquet(f"{store.path}/{at}") for n, at in staged.items()}
+    frames = {n: store.read(*([at] if isinstance(at, str) else at)) for n, at in states.items()}
     for n in states:
         if n in engine.tables and n in touched:
             check_rows(engine, engine.tables[n], touched[n], frames)
-    store.apply(staged)
+    store.apply(states, seen=seen)
 
 
 def check_rows(engine: Engine, table: Table, rows: DataFrame, states: dict[str, DataFrame]) -> None:
@@ -407,10 +440,9 @@ def check_rows(engine: Engine, table: Table, rows: DataFrame, states: dict[str,
         for (what, _), bad in zip(tests, found, strict=True):
             if bad:
                 raise ConstraintError(what)
-    for u in table.unique_sets():
-        whole = states[table.table_name]
-        for c in u:
-            whole = whole.filter(F.col(f"`{c}`").isNotNull())
+    for u in table.unique_sets():  # a key that now occurs twice is one of the changed rows'
+        keys = rows.select(*(F.col(f"`{c}`").alias(f"__k{i}") for i, c in enumerate(u))).na.drop()
+        whole = states[table.table_name].join(keys, [F.col(f"`{c}`") == F.col(f"__k{i}") for i, c in enumerate(u)], "left_semi")
         if not whole.groupBy(*u).count().filter("count > 1").isEmpty():
             raise ConstraintError(f"{table.table_name} repeats {', '.join(u)}")
     for own, target, _ in table.foreign_keys():

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 import sparkrel as s
 from sparkrel import types as T
@@ -115,6 +116,43 @@ def test_transactions(db, spark):
     assert db.source.vacuum() > 0 and db.shortcuts.count(users) == 5
 
 
+def test_an_insert_adds_a_folder(db, monkeypatch):
+    st = db.source
+    first = st.places("users")
+    db.insert(users).values({"name": "dee"}).execute()
+    assert len(first) == 1 and st.places("users")[:1] == first and len(st.places("users")) == 2
+    assert st.read(st.places("users")[1]).count() == 1
+    db.insert(users).values([{"name": "dee"}, {"name": "eve"}]).on_conflict("name").do_nothing().execute()
+    assert len(st.places("users")) == 3 and st.read(st.places("users")[2]).count() == 1
+    db.delete(users).where(s.eq(users.name, "ann")).execute()
+    db.insert(users).values({"name": "fay"}).execute()
+    assert len(st.places("users")) == 2 and sorted(names(db)) == ["bob", "cy", "dee", "eve", "fay"]
+    assert st.vacuum() > 0 and st.vacuum() == 0 and sorted(names(db)) == ["bob", "cy", "dee", "eve", "fay"]
+    monkeypatch.setattr("sparkrel.operators.dml.FOLDERS", 2)
+    db.insert(users).values({"name": "gil"}).execute()
+    assert len(st.places("users")) == 1 and len(names(db)) == 6
+    db.delete(users).execute()
+    assert names(db) == {} and db.insert(users).values({"name": "ann"}).returning({"id": True}).collect() == [{"id": 9}]
+
+
+def test_a_change_finds_out_that_another_came_first(db):
+    seen = db.source.manifest()["tables"]
+    db.insert(users).values({"name": "dee"}).execute()
+    with pytest.raises(Conflict):
+        db.source.apply({"users": "users/v-0"}, seen=seen)
+    assert len(names(db)) == 4
+
+
+def test_a_row_that_is_set_null_and_deleted(spark, tmp_path):
+    a = s.Table("a", {"id": s.Col(T.bigint()).primary_key()})
+    b = s.Table("b", {"id": s.Col(T.bigint()).primary_key(), "x": s.Col(T.bigint()).references(lambda: a.id, "SET NULL"), "y": s.Col(T.bigint()).references(lambda: a.id)})
+    e = s.Engine(spark, s.Store(spark, f"file://{tmp_path}/q"), [a, b])
+    e.insert(a).values([{"id": 1}, {"id": 2}]).execute()
+    e.insert(b).values([{"id": 1, "x": 1, "y": 1}, {"id": 2, "x": 1, "y": 2}, {"id": 3, "x": 2, "y": 1}]).execute()
+    e.delete(a).where(s.eq(a.id, 1)).execute()
+    assert e.from_(b).select().collect() == [{"id": 2, "x": None, "y": 2}]
+
+
 def test_change_in_named_query_happens_once(db):
     gone = db.cte("gone", db.delete(users).where(s.eq(users.name, "cy")).returning())
     q = db.with_(gone).from_(gone).select({"n": gone.c["name"]})
@@ -168,6 +206,25 @@ def test_sequence_default(spark, tmp_path):
     assert sorted((r["id"], r["x"]) for r in e.from_(t).select().collect()) == [(5, "b"), (100, "a"), (102, "c")]
 
 
+@pytest.mark.parametrize("start, increment, low, high", [(10, 5, 1, 20), (20, 5, 1, 20), (-3, -4, -10, -1), (1, 1, 1, 3)])
+def test_sequence_that_cycles(spark, tmp_path, start, increment, low, high):
+    from sparkrel.operators.dml import _sequence
+
+    step = s.Sequence("step", start=start, increment=increment, minimum=low, maximum=high, cycle=True)
+    one, all_ = (s.Store(spark, f"file://{tmp_path}/{n}") for n in "ab")
+    want = [one.nextval(step) for _ in range(14)]
+    got = []
+    for n in (1, 3, 9, 1):
+        place = all_.reserve(step, n)
+        got += [r.v for r in spark.range(n).withColumn("v", _sequence(step, F.col("id"), *place)).orderBy("id").collect()]
+    again = low if increment > 0 else high
+    plain, v = [], start
+    for _ in range(14):
+        plain.append(v)
+        v = v + increment if low <= v + increment <= high else again
+    assert want == got == plain
+
+
 def test_log(db, caplog):
     with caplog.at_level("INFO", "sparkrel"):
         db.from_(users).select({"n": users.name}).collect()
