@@ -18,6 +18,7 @@ from pyspark.sql import types as T
 
 from ..expr import ColumnRef, Expr, QueryError, Scope, as_expr, literal
 from ..schema import Named, Sequence, Table
+from ..sources.catalog import Jdbc
 from ..sources.store import FOLDERS, Store
 from .select import filtered
 
@@ -182,8 +183,8 @@ class Insert(Change):
     def returning(self, what: Any = "*") -> Insert:
         return replace(self, returning_=what, box={})
 
-    def _incoming(self, scope: Scope) -> DataFrame:
-        """The new rows, complete, with __n as their order."""
+    def _given(self, scope: Scope) -> tuple[DataFrame, dict[str, Column], set[str]]:
+        """The rows with __n as their order, whether a row has a column, and the columns that some have."""
         t, spark = self.table, self.engine.spark
         if self.rows is None or self.rows == []:
             raise QueryError("no rows to insert")
@@ -203,15 +204,23 @@ class Insert(Change):
             raise QueryError(f"{t.table_name} has no column {sorted(unknown)[0]}")
         if fixed := [c for c in given if t.columns[c].generated == "always"]:
             raise QueryError(f"{t.table_name}.{fixed[0]} is generated always")
-        out = []
-        for n, c in t.columns.items():
-            fill = F.lit(None)
-            if c.insert_fn is not None:
-                fill = _value(c.insert_fn(), scope, t, n)
-            elif c.has_default and not isinstance(c.default_value, Sequence):
-                fill = _value(c.default_value, scope, t, n)
-            value = F.when(has[n], F.col(f"`{n}`")).otherwise(fill) if n in given else fill
-            out.append(value.cast(c.type.spark).alias(n))
+        return df, has, given
+
+    def _filled(self, n: str, has: dict[str, Column], given: set[str], scope: Scope) -> Column:
+        """A column's value, or what takes its place in rows without one."""
+        t, c, fill = self.table, self.table.columns[n], F.lit(None)
+        if c.insert_fn is not None:
+            fill = _value(c.insert_fn(), scope, t, n)
+        elif c.has_default and not isinstance(c.default_value, Sequence):
+            fill = _value(c.default_value, scope, t, n)
+        value = F.when(has[n], F.col(f"`{n}`")).otherwise(fill) if n in given else fill
+        return value.cast(c.type.spark).alias(n)
+
+    def _incoming(self, scope: Scope) -> DataFrame:
+        """The new rows, complete, with __n as their order."""
+        t = self.table
+        df, has, given = self._given(scope)
+        out = [self._filled(n, has, given, scope) for n in t.columns]
         numbered = [n for n, c in t.columns.items() if c.numbered or isinstance(c.default_value, Sequence)]
         flags = [(~has[n] if n in given and t.columns[n].numbered else F.col(f"`{n}`").isNull() if n in given else F.lit(True)).alias(f"__new_{n}") for n in numbered]
         df = df.select("__n", *out, *flags)
@@ -233,7 +242,10 @@ class Insert(Change):
         return _computed(t, df).select("__n", *t.columns)
 
     def _run(self, scope: Scope) -> DataFrame | None:
-        t, store = self.table, _store(self.engine)
+        t = self.table
+        if isinstance(self.engine.source, Jdbc):
+            return self._sent(scope)
+        store = _store(self.engine)
         seen = dict(store.manifest()["tables"])
         old = self.engine.frame(t)
         if self.action is None:
@@ -246,6 +258,18 @@ class Insert(Change):
         replace_rows(self.engine, {t.table_name: at}, {t.table_name: shown}, seen)
         return _show(shown.orderBy("__n"), t, self.returning_)
 
+    def _sent(self, scope: Scope) -> None:
+        """New rows to a database: the given columns and those that are filled here."""
+        t = self.table
+        if self.action is not None or self.returning_ is not None:
+            raise QueryError("an insert by JDBC has no conflict action and returns nothing")
+        df, has, given = self._given(scope)
+        own = [n for n, c in t.columns.items() if c.insert_fn is not None or c.has_default and not isinstance(c.default_value, Sequence)]
+        if partial := [n for n in given if n not in own and not df.filter(~has[n]).isEmpty()]:
+            raise QueryError(f"some rows have {t.table_name}.{partial[0]} and others don't")
+        kept = [n for n in t.columns if n in given or n in own]
+        self.engine.source.append(t, df.select(*(self._filled(n, has, given, scope) for n in kept)))
+
     def _added(self, new: DataFrame) -> tuple[DataFrame, str]:
         """New rows as a folder of the table, with the columns that are stored."""
         stored = _store(self.engine).rows(self.table.table_name)

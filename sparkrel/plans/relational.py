@@ -2,7 +2,8 @@
 
 A relation's rows are read once, filtered, ranked and limited per parent by a
 window over the joining column, collected per parent and joined to it. Limits
-of the outermost rows apply before any relation is joined.
+of the outermost rows apply before any relation is joined, and then only the
+related rows of those that are left are ranked and collected.
 """
 
 from __future__ import annotations
@@ -74,13 +75,17 @@ class RelationQuery:
         df = filtered(self.engine.frame(self.table, scope.args).alias(self.table.table_name), o.get("where"), scope)
         limit = 1 if self.first else o.get("limit")
         by = [x.sorted(ordered(x.what, x.what.lower(scope))) for x in orders_of((o["order_by"],) if isinstance(o.get("order_by"), (Order, Expr)) else tuple(o.get("order_by") or ()))]
-        if by:
+        cut = o.get("with_") and limit is not None and bool(self.table.key_columns)
+        if cut:  # ties are broken by the key: the rows that are left are read for each relation, and must be the same
+            by_key = [F.col(f"`{self.table.table_name}`.`{c}`").asc() for c in self.table.key_columns]
+            df = df.orderBy(*by, *by_key)
+        elif by:
             df = df.orderBy(*by)
         if o.get("offset") is not None:
             df = df.offset(int(scope.value(o["offset"])))
         if limit is not None:
             df = df.limit(int(scope.value(limit)))
-        df = nested(self.engine, self.table, df, o, scope, self.table.table_name)
+        df = nested(self.engine, self.table, df, o, scope, self.table.table_name, few=bool(cut))
         if by and o.get("with_"):  # joins don't keep the order
             return df.orderBy(*(F.col(f"__by{i}").desc_nulls_first() if x.descending else F.col(f"__by{i}").asc_nulls_last() for i, x in enumerate(self._orders()))).select(*(c for c in df.columns if not c.startswith("__by")))
         return df
@@ -93,6 +98,10 @@ class RelationQuery:
     def df(self) -> DataFrame:
         return self.frame()
 
+    def explain(self, **args: Any) -> None:
+        """Prints the physical plan."""
+        self.frame(args).explain("formatted")
+
     def collect(self, **args: Any) -> Any:
         rows = self.engine.logged(f"find in {self.table.table_name}", args, lambda: [r.asDict(True) for r in self.frame(args).collect()])
         return (rows[0] if rows else None) if self.first else rows
@@ -101,8 +110,8 @@ class RelationQuery:
         return {n: self.table.c[n].type if n in self.table.c else None for n in [*picked(self.table, self.options.get("columns")), *(self.options.get("with_") or {})]}
 
 
-def nested(engine: Engine, table: Table, df: DataFrame, options: dict, scope: Scope, alias: str, keep: str | None = None) -> DataFrame:
-    """df (aliased) with picked columns and its relations; keep: a column to hold on as __key."""
+def nested(engine: Engine, table: Table, df: DataFrame, options: dict, scope: Scope, alias: str, keep: str | None = None, few: bool = False) -> DataFrame:
+    """df (aliased) with picked columns and its relations; keep: a column to hold on as __key; few: a limit is above, so relations' rows are looked up by df's keys."""
     columns = picked(table, options.get("columns"))
     wanted = options.get("with_") or {}
     related = engine.relations_of(table)
@@ -120,28 +129,32 @@ def nested(engine: Engine, table: Table, df: DataFrame, options: dict, scope: Sc
         extra.append(F.col(f"`{alias}`.`{keep}`").alias("__key"))
     if "__rank" in df.columns:
         extra.append(F.col("__rank"))
+    parents = {r: df.select(F.col(f"`{alias}`.`{p}`").alias("__parent")) if few else None for r, (p, _) in keys.items()}
     df = df.select(*(F.col(f"`{alias}`.`{c}`").alias(c) for c in columns), *extra)
     for r, inner in wanted.items():
         relation = related[r]
         inner = _checked({} if inner is True else inner, relation.kind)
-        child = child_rows(engine, relation, keys[r][1], inner, scope, f"{alias}__{r}").withColumnRenamed("__key", f"__c_{r}").withColumnRenamed("__value", r)
+        child = child_rows(engine, relation, keys[r][1], inner, scope, f"{alias}__{r}", parents[r]).withColumnRenamed("__key", f"__c_{r}").withColumnRenamed("__value", r)
         df = df.join(child, F.col(f"__p_{r}") == F.col(f"__c_{r}"), "left").drop(f"__p_{r}", f"__c_{r}")
         if relation.kind == "many":
             df = df.withColumn(r, F.coalesce(F.col(f"`{r}`"), F.array().cast(df.schema[r].dataType)))
     return df.select(*(F.col(f"`{c}`") for c in [*columns, *wanted]), *(c for c in df.columns if c.startswith("__by") or c in ("__key", "__rank")))
 
 
-def child_rows(engine: Engine, relation: Relation, column: str, options: dict, scope: Scope, alias: str) -> DataFrame:
-    """(__key, __value): a relation's rows for each value of its joining column."""
+def child_rows(engine: Engine, relation: Relation, column: str, options: dict, scope: Scope, alias: str, parents: DataFrame | None = None) -> DataFrame:
+    """(__key, __value): a relation's rows for each value of its joining column, or for those of ``parents`` only."""
     table = relation.target()
     here = Scope({**scope.aliases, table.table_name: alias}, scope.args)
     df = engine.frame(table, scope.args).alias(alias).filter(F.col(f"`{alias}`.`{column}`").isNotNull())
     df = filtered(df, options.get("where"), here)
     key = F.col(f"`{alias}`.`{column}`")
+    if parents is not None:
+        df = df.join(parents, key == F.col("__parent"), "left_semi")
+    few = parents is not None
     names = [*picked(table, options.get("columns")), *(options.get("with_") or {})]
     row = F.struct(*(F.col(f"`{n}`") for n in names))
     if relation.kind == "fk":  # the referenced column is unique
-        return nested(engine, table, df, options, here, alias, column).select("__key", row.alias("__value"))
+        return nested(engine, table, df, options, here, alias, column, few).select("__key", row.alias("__value"))
     by = orders_of((options["order_by"],) if isinstance(options.get("order_by"), (Order, Expr)) else tuple(options.get("order_by") or ()))
     order = [o.sorted(ordered(o.what, o.what.lower(here))) for o in by] or [F.col(f"`{alias}`.`{c}`").asc() for c in (table.key_columns or (column,))]
     limit, offset = (None if options.get(k) is None else int(scope.value(options[k])) for k in ("limit", "offset"))
@@ -153,7 +166,7 @@ def child_rows(engine: Engine, relation: Relation, column: str, options: dict, s
             df = df.filter(F.col("__rank") <= limit + (offset or 0))
         if offset:
             df = df.filter(F.col("__rank") > offset)
-    df = nested(engine, table, df, options, here, alias, column)
+    df = nested(engine, table, df, options, here, alias, column, few)
     if relation.kind == "one":
         return df.select("__key", row.alias("__value"))
     if "__rank" not in df.columns:

@@ -1,4 +1,4 @@
-"""Read-only sources."""
+"""Sources beside the store: folders and DataFrames, which are read only, and databases."""
 
 from __future__ import annotations
 
@@ -43,7 +43,7 @@ def database_url(host: str, database: str, *, port: int = 5432, user: str | None
 
 @dataclass(frozen=True)
 class Jdbc:
-    """Tables of a database that Spark reads by JDBC; the driver's jar must be on the class path."""
+    """Tables of a database that Spark reads, and appends to, by JDBC; the driver's jar must be on the class path."""
 
     url: str
     properties: dict[str, str] = field(default_factory=dict, hash=False)
@@ -51,8 +51,16 @@ class Jdbc:
 
     def load(self, spark: SparkSession, table: Table) -> DataFrame:
         """partitions: table -> (column, lower bound, upper bound, number), to read in parallel."""
-        r = spark.read.format("jdbc").option("url", self.url).option("dbtable", f'"{table.schema}"."{table.source}"').options(**self.properties)
+        r = spark.read.format("jdbc").option("url", self.url).option("dbtable", self.name(table)).options(**self.properties)
         if table.table_name in self.partitions:
             column, low, high, n = self.partitions[table.table_name]
             r = r.option("partitionColumn", column).option("lowerBound", low).option("upperBound", high).option("numPartitions", n)
         return r.load()
+
+    def append(self, table: Table, rows: DataFrame) -> None:
+        """Inserts rows, a connection and a transaction for each partition; the database fills in the other columns and checks its constraints."""
+        rows.write.format("jdbc").mode("append").option("url", self.url).option("dbtable", self.name(table)).options(**self.properties).save()
+
+    @staticmethod
+    def name(table: Table) -> str:
+        return f'"{table.schema}"."{table.source}"'

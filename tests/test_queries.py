@@ -175,3 +175,14 @@ def test_plan_has_no_python_and_prunes(db, spark, tmp_path):
     e = s.Engine(spark, s.ParquetFolder(str(tmp_path)), [w])
     plan = e.from_(w).select({"s": s.sum_(w.id)}).where(s.gt(w.n, 3)).df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(n), GreaterThan(n,3)]" in plan and "name" not in plan.split("ReadSchema")[1] and "Python" not in plan
+
+
+def test_a_limit_reaches_the_relations_rows(db, capsys):
+    q = db.find_many(t, order_by=s.desc(t.id), limit=2, with_={"us": {"order_by": s.asc(u.id), "limit": 1, "with_": {"t": True}}})
+    whole = db.find_many(t, order_by=s.desc(t.id), with_={"us": {"order_by": s.asc(u.id), "limit": 1, "with_": {"t": True}}})
+    q.explain()
+    limited = capsys.readouterr().out
+    whole.explain()
+    assert "LeftSemi" in limited and "LeftSemi" not in capsys.readouterr().out
+    assert q.collect() == whole.collect()[:2]
+    assert db.find_many(t, limit=3, offset=1, with_={"us": True}).frame().count() == 3
