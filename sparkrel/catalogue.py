@@ -296,7 +296,19 @@ def _places(db: Engine, build) -> DataFrame:
     return build(Engine(db.spark, Frames({"places": base}), [t]), t)
 
 
-_PLACES = "WITH places AS (SELECT c_custkey AS k, radians(((c_custkey * 37) % 360 - 180)::DOUBLE) AS lon, radians(((c_custkey * 11) % 170 - 85)::DOUBLE) AS lat FROM customer), d AS (SELECT k, 2 * 6371008.8 * asin(sqrt(pow(sin((radians(40.7128) - lat) / 2), 2) + cos(lat) * cos(radians(40.7128)) * pow(sin((radians(-74.006) - lon) / 2), 2))) AS d FROM places)"
+_PLACES = """
+WITH RECURSIVE f AS (SELECT 1 / 298.257223563 AS f, 6378137.0::DOUBLE AS a, 6378137.0 * (1 - 1 / 298.257223563) AS b),
+  p AS (SELECT c_custkey AS k, radians(((c_custkey * 37) % 360 - 180)::DOUBLE) AS lon, radians(((c_custkey * 11) % 170 - 85)::DOUBLE) AS lat FROM customer),
+  u AS (SELECT k, atan((1 - f) * tan(lat)) AS s1, atan((1 - f) * tan(radians(40.7128))) AS s2, radians(-74.006) - lon AS diff,
+    2 * 6371008.8 * asin(least(1, sqrt(pow(sin((radians(40.7128) - lat) / 2), 2) + cos(lat) * cos(radians(40.7128)) * pow(sin((radians(-74.006) - lon) / 2), 2)))) AS sphere FROM p, f),
+  w AS (SELECT k, 0 AS i, s1, s2, diff, sphere, diff AS lam, NULL::DOUBLE AS was, 0::DOUBLE AS s, 0::DOUBLE AS c, 0::DOUBLE AS cos2, 0::DOUBLE AS mid FROM u
+    UNION ALL SELECT k, i + 1, s1, s2, diff, sphere, diff + (1 - kk) * f * alpha * (atan2(s, c) + kk * s * (mid + kk * c * (2 * mid * mid - 1))), lam, s, c, cos2, mid
+    FROM (SELECT *, f / 16 * cos2 * (4 + f * (4 - 3 * cos2)) AS kk FROM (SELECT *, CASE WHEN cos2 > 1e-12 THEN c - 2 * sin(s1) * sin(s2) / cos2 ELSE 0 END AS mid FROM (SELECT *, 1 - alpha * alpha AS cos2 FROM
+      (SELECT *, CASE WHEN s > 0 THEN cos(s1) * cos(s2) * sin(lam) / s ELSE 0 END AS alpha FROM
+        (SELECT k, i, s1, s2, diff, sphere, lam, sqrt(pow(cos(s2) * sin(lam), 2) + pow(cos(s1) * sin(s2) - sin(s1) * cos(s2) * cos(lam), 2)) AS s, sin(s1) * sin(s2) + cos(s1) * cos(s2) * cos(lam) AS c FROM w WHERE i < 21)))), f)),
+  l AS (SELECT w.*, f.b, cos2 * (f.a * f.a - f.b * f.b) / (f.b * f.b) AS q FROM w, f WHERE i = 21),
+  m AS (SELECT *, 1 + q / 16384 * (4096 + q * (-768 + q * (320 - 175 * q))) AS big, q / 1024 * (256 + q * (-128 + q * (74 - 47 * q))) AS small FROM l),
+  d AS (SELECT k, CASE WHEN abs(lam - was) > 1e-9 OR abs(was) > pi() THEN sphere ELSE b * big * (atan2(s, c) - small * s * (mid + small / 4 * (c * (2 * mid * mid - 1) - small / 6 * mid * (4 * s * s - 3) * (4 * mid * mid - 3)))) END AS d FROM m)"""
 _NYC = (-74.006, 40.7128)
 query("geo_distance", f"{_PLACES} SELECT k, round(d, 1) AS d FROM d", lambda db: _places(db, lambda e, t: e.from_(t).select({"k": t.k, "d": round_(st_distance(t.at, _NYC), 1)}).df))
 query("geo_dwithin", f"{_PLACES} SELECT k FROM d WHERE d <= 3000000", lambda db: _places(db, lambda e, t: e.from_(t).select({"k": t.k}).where(st_dwithin(t.at, _NYC, 3_000_000)).df))

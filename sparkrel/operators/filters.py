@@ -7,7 +7,7 @@ from typing import Any
 from pyspark.sql import functions as F
 
 from ..expr import Arg, ColumnRef, Expr, Filter, Literal, QueryError, Scope, as_expr, ordered, require, sql
-from ..functions.geo import haversine, point_literal
+from ..functions.geo import haversine, near, point_literal
 
 #: Points nearer than this, in metres, count as equal.
 SAME_POINT = 1e-5
@@ -203,8 +203,8 @@ def _spatial(op: str, column: Any, point: Any, fn, params: tuple = (), more: tup
 
 
 def st_dwithin(column: Any, point: Any, metres: Any) -> Filter:
-    """At most so many metres from a point."""
-    return _spatial("st_dwithin", column, point, lambda a, b, m: haversine(a, b) <= m, more=(metres,))
+    """At most so many metres from a point, on the ellipsoid."""
+    return _spatial("st_dwithin", column, point, near, more=(metres,))
 
 
 def st_intersects(column: Any, point: Any) -> Filter:
