@@ -70,12 +70,15 @@ REMEMBERED = 400_000
 SEED = 3.0
 #: Positive words that are also learnt in disguise.
 SEEDS = 40
-GAPS = tuple((a, b, DECAY ** (b - 2)) for b in range(2, SPAN) for a in range(1, b))
+#: Weights by the number of symbols left out.
+DECAYS = DECAY ** np.arange(SPAN - 2)
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[9:14] = IS_WORD[32] = False
 BITS = 6
 CODES = 1 << 3 * BITS
+#: Words whose subsequences are listed at once; their numbers, three symbols and the gaps make 32 bits, so 4096 at most.
+AT_ONCE = 2048
 SYMBOL = np.full(256, 27, np.int64)
 SYMBOL[97:123] = SYMBOL[65:91] = np.arange(26)
 SYMBOL[48:58] = 26
@@ -124,8 +127,23 @@ def read_words(block: Block) -> Words:
     return Words(known, data, s[first], e[first], doc, word, at)
 
 
-def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, float]]:
-    """(word, subsequence code, weight) of all gapped triples, one step of gaps at a time; words in ascending order in each."""
+def gathered(parts: Iterable[Block]) -> Words:
+    """The words of some blocks, as if of one."""
+    found, n_docs, n_bytes, n_words = [], 0, 0, 0
+    for block in parts:
+        x = read_words(block)
+        found.append((x.hash, x.data, x.start + n_bytes, x.end + n_bytes, (x.doc + n_docs).astype(np.int32), (x.word + n_words).astype(np.int32), (x.at + n_bytes).astype(np.int32)))
+        n_docs, n_bytes, n_words = n_docs + len(block), n_bytes + len(x.data), n_words + len(x.hash)
+    if not found:
+        return read_words(Block(pa.nulls(0), np.zeros(0, np.uint8), np.zeros(1, np.int64)))
+    known, data, start, end, doc, word, at = (np.concatenate(x) for x in zip(*found, strict=True))
+    del found
+    known, first, place = np.unique(known, return_index=True, return_inverse=True)
+    return Words(known, data, start[first], end[first], doc, place.astype(np.int32)[word], at)
+
+
+def profiles(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of at most AT_ONCE words: (word, subsequence code, summed weight) of all gapped triples, by word and code, and each word's sqrt(k(w, w)) before normalisation, 1 where it is 0."""
     start = start.copy()
     while True:  # what stands before the first letter
         skip = np.flatnonzero(start < end)
@@ -134,67 +152,63 @@ def subsequences(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Iterat
             break
         start[skip] += 1
     size = end - start + 1
-    word = np.repeat(np.arange(len(size)), size)
+    word = np.repeat(np.arange(len(size), dtype=np.uint32), size)
     first = np.cumsum(size) - size
     at = np.arange(size.sum()) - np.repeat(first - start + 1, size)
     at[first] = 0
-    symbol = SYMBOL[data[at]] if len(data) else np.zeros(len(at), np.int64)
+    symbol = SYMBOL[data[at]].astype(np.uint32) if len(data) else np.zeros(len(at), np.uint32)
     symbol[first] = BEGIN
-    left = np.repeat(np.cumsum(size), size) - np.arange(len(symbol)) - 1  # symbols after each one in its word
-    for a, b, weight in GAPS:
-        at = np.flatnonzero(left >= b)
-        at = at[(symbol[at] != 27) & (symbol[at + a] != 27) & (symbol[at + b] != 27)]
-        yield word[at], (symbol[at] << 2 * BITS) | (symbol[at + a] << BITS) | symbol[at + b], weight
-
-
-def exact_norm(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """sqrt(k(w, w)) before normalisation; 1 where it is 0."""
-    out = np.ones(len(start))
-    for i in range(0, len(start), 10_000):
-        s = start[i : i + 10_000]
-        parts = list(subsequences(data, s, end[i : i + 10_000]))
-        key = np.concatenate([(w << 3 * BITS) | u for w, u, _ in parts])
-        weight = np.concatenate([np.full(len(w), x) for w, _, x in parts])
-        if len(key):
-            order = np.argsort(key)
-            key, weight = key[order], weight[order]
-            first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-            norm = np.sqrt(np.bincount(key[first] >> 3 * BITS, np.add.reduceat(weight, first) ** 2, len(s)))
-            out[i : i + 10_000] = np.where(norm > 0, norm, 1.0)
-    return out
+    letter = symbol != 27
+    # A key holds word, three symbols and the number of symbols left out.
+    begin, middle, last = (word << (3 * BITS + 2)) | (symbol << (2 * BITS + 2)), symbol << (BITS + 2), symbol << 2
+    keys = []
+    for b in range(2, SPAN):
+        ends = (word[b:] == word[:-b]) & letter[b:] & letter[:-b]
+        outer = begin[:-b] | last[b:] | np.uint32(b - 2)
+        keys += [(outer | middle[a : a - b])[ends & letter[a : a - b]] for a in range(1, b)]
+    key = np.sort(np.concatenate(keys))
+    if not len(key):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0), np.ones(len(size))
+    weight = DECAYS[key & 3]
+    key >>= 2
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    key, weight = key[new].astype(np.int64), np.add.reduceat(weight, new)
+    word = key >> 3 * BITS
+    norm = np.sqrt(np.bincount(word, weight**2, len(size)))
+    return word, key & (CODES - 1), weight, np.where(norm > 0, norm, 1.0)
 
 
 @dataclass
 class Vectors:
-    """Normalised feature vectors of a few words, over the subsequence codes that they hold; row: a code's column, or -1."""
+    """Normalised feature vectors of n words, by subsequence: code u stands in the words mark[first[u]:first[u + 1]], with these values."""
 
-    row: np.ndarray
-    values: np.ndarray
+    n: int
+    first: np.ndarray
+    mark: np.ndarray
+    value: np.ndarray
 
     @classmethod
     def of(cls, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> Vectors:
-        parts = list(subsequences(data, start, end))
-        codes = np.unique(np.concatenate([u for _, u, _ in parts]))
-        row = np.full(CODES, -1, np.int32)
-        row[codes] = np.arange(len(codes))
-        out = np.zeros((len(start), len(codes)), np.float32)
-        for w, u, weight in parts:
-            np.add.at(out, (w, row[u]), weight)
-        return cls(row, out / exact_norm(data, start, end)[:, None].astype(np.float32))
+        parts = []
+        for i in range(0, len(start), AT_ONCE):
+            word, code, weight, norm = profiles(data, start[i : i + AT_ONCE], end[i : i + AT_ONCE])
+            parts.append((word + i, code, weight / norm[word]))
+        word, code, value = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(code, kind="stable")
+        return cls(len(start), np.searchsorted(code[order], np.arange(CODES + 1)).astype(np.int32), word[order], value[order])
 
     def kernel(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Normalised kernel values of words with these."""
-        table = np.ascontiguousarray(self.values.T)
-        out = np.zeros((len(start), len(self.values)), np.float32)
-        for i in range(0, len(start), 2000):
-            s, e = start[i : i + 2000], end[i : i + 2000]
-            for w, u, weight in subsequences(data, s, e):
-                hit = self.row[u] >= 0
-                w, r = w[hit], self.row[u[hit]]
-                if len(w):
-                    edge = np.flatnonzero(np.concatenate([[True], w[1:] != w[:-1]]))
-                    out[i + w[edge]] += np.float32(weight) * np.add.reduceat(table[r], edge, axis=0)
-            out[i : i + 2000] /= exact_norm(data, s, e)[:, None]
+        """Normalised kernel values of words with these: a sum over the subsequences that they share."""
+        out = np.empty((len(start), self.n), np.float32)
+        for i in range(0, len(start), AT_ONCE):
+            word, code, weight, norm = profiles(data, start[i : i + AT_ONCE], end[i : i + AT_ONCE])
+            from_, n = self.first[code], self.first[code + 1] - self.first[code]
+            hit = np.flatnonzero(n)
+            n = n[hit]
+            at = np.arange(n.sum()) + np.repeat(from_[hit] - (np.cumsum(n) - n), n)
+            cell = np.repeat(word[hit] * self.n, n) + self.mark[at]
+            sums = np.bincount(cell, np.repeat(weight[hit], n) * self.value[at], len(norm) * self.n)
+            out[i : i + AT_ONCE] = sums.reshape(len(norm), self.n) / norm[:, None]
         return out
 
 
@@ -266,9 +280,9 @@ class Model:
         """Margins of the distinct words with these numbers."""
         out = np.full(len(some), FLOOR)
         if self.landmarks is not None:
-            for i in range(0, len(some), 10_000):
-                at = some[i : i + 10_000]
-                out[i : i + 10_000] = self.landmarks.kernel(words.data, words.start[at], words.end[at]) ** POWER @ self.alpha + self.bias
+            for i in range(0, len(some), AT_ONCE):
+                at = some[i : i + AT_ONCE]
+                out[i : i + AT_ONCE] = self.landmarks.kernel(words.data, words.start[at], words.end[at]) ** POWER @ self.alpha + self.bias
         return out
 
     def remembered(self, words: Words) -> np.ndarray:
@@ -308,15 +322,15 @@ def pooled(margin: np.ndarray, words: Words, n: int) -> np.ndarray:
 
 def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
     """The machine for labelled texts; share: of toxic ones among all labels, for the logistic fit."""
-    data, starts = text_buffers(pa.array(texts, pa.large_string()))
-    words = read_words(Block(pa.nulls(len(texts)), data, starts))
+    words = gathered(blocks([pa.record_batch([pa.nulls(len(texts)), pa.array(texts, pa.large_string())], names=["doc_id", "text"])]))
     n, n_words = len(texts), len(words.start)
     toxic = labels.astype(bool)
     nothing = Model(None, np.zeros(0), FLOOR, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
     if not n_words or toxic.all() or not toxic.any():
         return nothing
     pair = np.unique((words.doc.astype(np.int64) << 32) | words.word)
-    d, w = pair >> 32, pair & 0xFFFFFFFF
+    d, w = (pair >> 32).astype(np.int32), (pair & 0xFFFFFFFF).astype(np.int32)
+    del pair
     t, c = (np.bincount(w[of[d]], minlength=n_words) for of in (toxic, ~toxic))
     z = association(t, c, int(toxic.sum()), int((~toxic).sum()))
     pools = (np.argsort(-z)[: 6 * landmarks], landmarks, z > 3), (np.argsort(-np.where(z < 1, c, -1))[: 3 * landmarks], landmarks // 2, c > 0)
@@ -325,8 +339,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
         pool = pool[fit[pool] & (words.end - words.start >= 3)[pool]]
         if not len(pool):
             continue
-        v = Vectors.of(words.data, words.start[pool], words.end[pool]).values
-        near = v @ v.T
+        at = words.data, words.start[pool], words.end[pool]
+        near = Vectors.of(*at).kernel(*at)
         taken: list[int] = []
         for i in range(len(pool)):
             if len(taken) < most and (not taken or near[i, taken].max() < 0.85):
@@ -335,9 +349,8 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
     if not marks:
         return nothing
     vec = Vectors.of(words.data, words.start[marks], words.end[marks])
-    values, basis = np.linalg.eigh(((vec.values @ vec.values.T) ** POWER).astype(float))
+    values, basis = np.linalg.eigh((vec.kernel(words.data, words.start[marks], words.end[marks]) ** POWER).astype(float))
     nystroem = basis / np.sqrt(np.maximum(values, 1e-3))
-    in_toxic = toxic[words.doc]
     frequent = np.argsort(-np.where(z < 2, c, 0))[:4000]
     frequent = frequent[c[frequent] > 0]
     # First the words that go with the label by themselves; then, in turn, the best word of each toxic sentence that the machine accepts.
@@ -346,32 +359,30 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
     size = np.array([len(m) for m in masked], np.int64)
     at = np.cumsum(size)
     disguised = vec.kernel(np.concatenate(masked), at - size, at) ** POWER @ nystroem if masked else np.zeros((0, len(values)))
-    kernel = vec.kernel(words.data, words.start, words.end)  # of all words of the bounded sample, once
     for _ in range(rounds):
         negative = np.setdiff1d(np.union1d(frequent, hard), good)
         rows = np.concatenate([good, negative])
         y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
-        x = kernel[rows] ** POWER @ nystroem
+        x = vec.kernel(words.data, words.start[rows], words.end[rows]) ** POWER @ nystroem
         x, y = np.concatenate([x, disguised]), np.concatenate([y, np.ones(len(disguised))])
         weight = np.append(1 + np.log1p(t[rows] + c[rows]), np.ones(len(disguised)))
         weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / max(1e-9, weight[y < 0].sum()))
         found = svm(x, y, weight * len(y) / 2)
         alpha, bias = nystroem @ found[:-1], float(found[-1])
-        score = np.concatenate([kernel[i : i + 10_000] ** POWER @ alpha + bias for i in range(0, n_words, 10_000)])
-        first, second = ranked(score, words)
-        best = np.unique(words.word[np.concatenate([x[in_toxic[x]] for x in (first, second)])])
+        score = Model(vec, alpha, bias, 1.0, 0.0).margins(words, np.arange(n_words))  # anew in each round: all words' kernel values would be the driver's largest table
+        first, second = ranked(score, d, w)
+        best = np.unique(w[np.concatenate([x[toxic[d[x]]] for x in (first, second)])])
         good = np.union1d(np.flatnonzero(z > min(SEED, z.max() - 1e-9)), best[(score[best] > ACCEPT) & (z[best] > LIKELY)])
-        hard = np.union1d(hard, words.word[second[~in_toxic[second]]])
+        hard = np.union1d(hard, w[second[~toxic[d[second]]]])
         hard = hard[np.argsort(-score[hard])][:4000]
     weight = np.where(toxic, share / toxic.mean(), (1 - share) / (1 - toxic.mean()))
     return Model(vec, alpha, bias, *logistic(pooled(score, words, n), toxic.astype(float), weight))
 
 
-def ranked(margin: np.ndarray, words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """The tokens of each document's best word and of the best one besides it."""
-    pair, at = np.unique((words.doc.astype(np.int64) << 32) | words.word, return_index=True)
-    order = np.lexsort((-margin[words.word[at]], pair >> 32))
-    doc, at = (pair >> 32)[order], at[order]
+def ranked(margin: np.ndarray, doc: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of distinct (document, word), in order of documents: the places of each document's best word and of the best one besides it."""
+    at = np.lexsort((-margin[word], doc))
+    doc = doc[at]
     new = np.concatenate([[True], doc[1:] != doc[:-1]])
     return at[new], at[1:][new[:-1] & ~new[1:]]
 

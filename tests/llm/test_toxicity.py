@@ -1,5 +1,6 @@
 import itertools
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -115,3 +116,26 @@ def test_pooled_margin_is_the_mean_of_the_two_best(monkeypatch):
     value = {"a1": 0.5, "b2": 3.0, "c3": -0.2}
     margin = np.array([value[bytes(w.data[a:b]).decode()] for a, b in zip(w.start, w.end)])
     assert t.pooled(margin, w, 5).tolist() == pytest.approx([2.0, t.FLOOR, (0.5 + t.FLOOR) / 2, t.FLOOR, -0.2])
+
+
+def test_training_holds_little_memory():
+    rng = random.Random(4)
+    own = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=rng.randrange(5, 12)))
+    rows = [(" ".join([x, *(own() for _ in range(60))]), y) for _, x, y in corpus(rng, 2000)]
+    texts, labels = [x for x, _ in rows], np.array([y for _, y in rows])
+    tracemalloc.start()
+    try:
+        model = t.train(texts, labels, 0.4)
+        most = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert most < 60e6  # the kernel values of all words with all landmarks took more
+    assert ((model.scores(block(texts)) >= 0.5) == labels).mean() > 0.97
+
+
+def test_words_of_several_blocks_are_those_of_one():
+    texts = [x for _, x, _ in corpus(random.Random(5), 40)] + ["a b c d e fgh", "x" * 100, None, ""]
+    one, many = t.read_words(block(texts)), t.gathered(block([x]) for x in texts)
+    pairs = lambda w: sorted((int(d), bytes(w.data[w.start[k] : w.end[k]]).lower()) for d, k in zip(w.doc, w.word))
+    assert pairs(one) == pairs(many) and (one.hash == many.hash).all()
+    assert len(t.gathered([]).hash) == 0
