@@ -60,7 +60,7 @@ LANDMARKS = 96
 FLOOR = -1.0
 #: Margins of words count up to this, so one sure word is not enough.
 CEILING = 2.0
-#: Power of the normalised kernel.
+#: Power of the normalised kernel; one of two.
 POWER = 8
 #: Least margin and association of a best word of a toxic document that joins the positives.
 ACCEPT, LIKELY = 0.3, 3.0
@@ -212,6 +212,13 @@ class Vectors:
         return out
 
 
+def sharpened(kernel: np.ndarray) -> np.ndarray:
+    """kernel ** POWER, by squares; overwrites it."""
+    for _ in range(POWER.bit_length() - 1):
+        kernel *= kernel
+    return kernel
+
+
 def svm(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cost: float = 300.0) -> np.ndarray:
     """Weights (bias last) of the squared-hinge machine, by Newton steps on the active set."""
     x = np.column_stack([x, np.ones(len(x))]).astype(float)
@@ -282,7 +289,7 @@ class Model:
         if self.landmarks is not None:
             for i in range(0, len(some), AT_ONCE):
                 at = some[i : i + AT_ONCE]
-                out[i : i + AT_ONCE] = self.landmarks.kernel(words.data, words.start[at], words.end[at]) ** POWER @ self.alpha + self.bias
+                out[i : i + AT_ONCE] = sharpened(self.landmarks.kernel(words.data, words.start[at], words.end[at])) @ self.alpha + self.bias
         return out
 
     def remembered(self, words: Words) -> np.ndarray:
@@ -307,17 +314,16 @@ class Model:
 
 def pooled(margin: np.ndarray, words: Words, n: int) -> np.ndarray:
     """Mean of each document's two best margins, given those of the distinct words."""
-    out = np.full((n, 2), FLOOR)
-    if len(words.word):
-        f = np.minimum(margin[words.word], CEILING)
-        order = np.lexsort((-f, words.doc))
-        d, f = words.doc[order], f[order]
-        first = np.searchsorted(d, np.arange(n))
-        for k in (0, 1):
-            at = np.minimum(first + k, len(d) - 1)
-            ok = (first + k < len(d)) & (d[at] == np.arange(n))
-            out[ok, k] = f[at[ok]]
-    return out.mean(axis=1)
+    f, out = np.minimum(margin, CEILING)[words.word], []
+    for _ in range(2):
+        best = np.full(n, -np.inf)
+        np.maximum.at(best, words.doc, f)
+        out.append(np.where(best > -np.inf, best, FLOOR))
+        at = np.flatnonzero(f == best[words.doc])
+        one = np.full(n, -1)
+        one[words.doc[at]] = at  # one token, also of equal ones
+        f[one[one >= 0]] = -np.inf
+    return (out[0] + out[1]) / 2
 
 
 def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
@@ -349,7 +355,7 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
     if not marks:
         return nothing
     vec = Vectors.of(words.data, words.start[marks], words.end[marks])
-    values, basis = np.linalg.eigh((vec.kernel(words.data, words.start[marks], words.end[marks]) ** POWER).astype(float))
+    values, basis = np.linalg.eigh(sharpened(vec.kernel(words.data, words.start[marks], words.end[marks])).astype(float))
     nystroem = basis / np.sqrt(np.maximum(values, 1e-3))
     frequent = np.argsort(-np.where(z < 2, c, 0))[:4000]
     frequent = frequent[c[frequent] > 0]
@@ -358,12 +364,12 @@ def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = L
     masked = [m for i in good[np.argsort(-z[good])][:SEEDS] for m in disguises(words.data[words.start[i] : words.end[i]])]
     size = np.array([len(m) for m in masked], np.int64)
     at = np.cumsum(size)
-    disguised = vec.kernel(np.concatenate(masked), at - size, at) ** POWER @ nystroem if masked else np.zeros((0, len(values)))
+    disguised = sharpened(vec.kernel(np.concatenate(masked), at - size, at)) @ nystroem if masked else np.zeros((0, len(values)))
     for _ in range(rounds):
         negative = np.setdiff1d(np.union1d(frequent, hard), good)
         rows = np.concatenate([good, negative])
         y = np.concatenate([np.ones(len(good)), -np.ones(len(negative))])
-        x = vec.kernel(words.data, words.start[rows], words.end[rows]) ** POWER @ nystroem
+        x = sharpened(vec.kernel(words.data, words.start[rows], words.end[rows])) @ nystroem
         x, y = np.concatenate([x, disguised]), np.concatenate([y, np.ones(len(disguised))])
         weight = np.append(1 + np.log1p(t[rows] + c[rows]), np.ones(len(disguised)))
         weight = np.where(y > 0, weight / weight[y > 0].sum(), weight / max(1e-9, weight[y < 0].sum()))
@@ -396,7 +402,8 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, tra
     first = [known.filter(F.col("y") == y).orderBy(*by_hash).limit(2 * train_docs) for y in (0, 1)]
     found = small.join(F.broadcast(first[0].union(first[1])), "doc_id")  # at most 4 * train_docs ids; one scan of the texts
     place = F.row_number().over(Window.partitionBy("y").orderBy(*by_hash, F.xxhash64("text")))
-    sample = found.withColumn("place", place).filter(F.col("place") <= train_docs).orderBy("y", "place").collect()
+    sample = found.withColumn("place", place).filter(F.col("place") <= train_docs).collect()
+    sample.sort(key=lambda r: (r.y, r.place))
     share = sizes.get(1, 0) / max(1, sum(sizes.values()))
     model = train([r.text for r in sample], np.array([r.y for r in sample], int), share)
     release()

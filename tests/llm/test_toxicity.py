@@ -1,5 +1,6 @@
 import itertools
 import random
+import time
 import tracemalloc
 import zlib
 
@@ -139,3 +140,27 @@ def test_words_of_several_blocks_are_those_of_one():
     pairs = lambda w: sorted((int(d), bytes(w.data[w.start[k] : w.end[k]]).lower()) for d, k in zip(w.doc, w.word))
     assert pairs(one) == pairs(many) and (one.hash == many.hash).all()
     assert len(t.gathered([]).hash) == 0
+
+
+def test_kernel_time_is_not_that_of_a_row_of_all_landmarks_for_each_subsequence():
+    rng = random.Random(6)
+    own = lambda n: " ".join("".join(rng.choices("etaoinshrdlu", k=rng.randrange(5, 12))) for _ in range(n))
+    marks, words = (t.read_words(block([own(n)])) for n in (144, 20_000))
+    vectors = t.Vectors.of(marks.data, marks.start, marks.end)
+    seconds = [[], []]
+    table = np.ones((6000, 144), np.float32)
+    rows, edges = np.random.default_rng(6).integers(0, 6000, 30 * 20_000), np.arange(0, 30 * 20_000, 30)
+    for _ in range(3):
+        for i, f in enumerate((lambda: vectors.kernel(words.data, words.start, words.end), lambda: [np.add.reduceat(table[rows[k : k + 30_000]], edges[:1000], axis=0) for k in range(0, len(rows), 30_000)])):
+            began = time.process_time()
+            f()
+            seconds[i].append(time.process_time() - began)
+    assert min(seconds[0]) < 2 * min(seconds[1]), seconds  # it was four times that, with such rows
+
+
+def test_pooled_equals_sorted_margins():
+    rng = random.Random(7)
+    w = t.read_words(block([" ".join(rng.choices(["a1", "b2", "c3", "d4", "x" * 90], k=rng.randrange(6))) for _ in range(300)]))
+    margin = np.random.default_rng(7).normal(0, 2, len(w.hash))
+    best = [sorted([min(margin[k], t.CEILING) for k in w.word[w.doc == d]], reverse=True) + [t.FLOOR] * 2 for d in range(300)]
+    assert np.allclose(t.pooled(margin, w, 300), [sum(b[:2]) / 2 for b in best])
