@@ -55,6 +55,8 @@ DECAY = 0.7
 PIECE, STRIDE = 32, 16
 TRAIN_DOCS = 1500
 TRAIN_BYTES = 12_000
+#: Bytes of training texts read at once; the driver has little memory.
+TRAIN_BLOCK = 1 << 18
 LANDMARKS = 96
 #: Margin of a word that isn't there.
 FLOOR = -1.0
@@ -328,7 +330,7 @@ def pooled(margin: np.ndarray, words: Words, n: int) -> np.ndarray:
 
 def train(texts: list[str], labels: np.ndarray, share: float, landmarks: int = LANDMARKS, rounds: int = 3) -> Model:
     """The machine for labelled texts; share: of toxic ones among all labels, for the logistic fit."""
-    words = gathered(blocks([pa.record_batch([pa.nulls(len(texts)), pa.array(texts, pa.large_string())], names=["doc_id", "text"])]))
+    words = gathered(blocks([pa.record_batch([pa.nulls(len(texts)), pa.array(texts, pa.large_string())], names=["doc_id", "text"])], max_bytes=TRAIN_BLOCK))
     n, n_words = len(texts), len(words.start)
     toxic = labels.astype(bool)
     nothing = Model(None, np.zeros(0), FLOOR, 0.0, float(np.log(max(share, 1e-9) / max(1 - share, 1e-9))))
@@ -396,7 +398,7 @@ def ranked(margin: np.ndarray, doc: np.ndarray, word: np.ndarray) -> tuple[np.nd
 def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, train_bytes: int = TRAIN_BYTES, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Trains on the bounded sample; documents that held_out() names are never used."""
     known = labels.select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("y")).filter("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y")).filter(~held_out(F.col("doc_id")))
-    sizes = {r.y: r.n for r in known.groupBy("y").agg(F.count(F.lit(1)).alias("n")).collect()}
+    n_toxic, n_known = known.agg(F.coalesce(F.sum("y"), F.lit(0)), F.count(F.lit(1))).first()
     small = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")).filter((F.octet_length("text") <= train_bytes) & (F.octet_length("text") > 0))
     by_hash = [F.xxhash64("doc_id"), F.col("doc_id")]
     first = [known.filter(F.col("y") == y).orderBy(*by_hash).limit(2 * train_docs) for y in (0, 1)]
@@ -404,8 +406,9 @@ def fit(docs: DataFrame, labels: DataFrame, *, train_docs: int = TRAIN_DOCS, tra
     place = F.row_number().over(Window.partitionBy("y").orderBy(*by_hash, F.xxhash64("text")))
     sample = found.withColumn("place", place).filter(F.col("place") <= train_docs).collect()
     sample.sort(key=lambda r: (r.y, r.place))
-    share = sizes.get(1, 0) / max(1, sum(sizes.values()))
-    model = train([r.text for r in sample], np.array([r.y for r in sample], int), share)
+    texts, labels = [r.text for r in sample], np.array([r.y for r in sample], int)
+    del sample
+    model = train(texts, labels, n_toxic / max(1, n_known))
     release()
     return model
 
